@@ -22,6 +22,8 @@ BY_SPACE = np.ones(256, bool)
 BY_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 #: Bytes of words of letters and digits; bytes of other scripts count as letters.
 ALNUM = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+#: Words of letters and digits (1), and of other signs (2).
+LETTERS_OR_SIGNS = np.where(ALNUM, 1, np.where(BY_SPACE, 2, 0)).astype(np.uint8)
 #: A-Z to a-z, others to themselves.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -103,7 +105,10 @@ class Words:
 
 
 def words(column, kind: np.ndarray = BY_SPACE, lower: np.ndarray | None = None, slice_bytes: int = SLICE_BYTES) -> Iterator[Words]:
-    """The words of all rows of an Arrow string column (nulls are empty), slice by slice."""
+    """The words of all rows of an Arrow string column (nulls are empty), slice by slice.
+
+    kind: a number for each byte; a word is a run of bytes of one number other than 0.
+    """
     data, offsets = buffers(large(column))
     n, first = len(offsets) - 1, 0
     while first < n:
@@ -114,13 +119,14 @@ def words(column, kind: np.ndarray = BY_SPACE, lower: np.ndarray | None = None,
             part = lower[part]
         at = offsets[first : last + 1] - low
         inside = kind[part]
-        before, after = np.zeros(len(part), bool), np.zeros(len(part), bool)
+        before, after = np.zeros_like(inside), np.zeros_like(inside)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         begins, stops = at[:-1], at[1:]
         full = stops > begins
-        before[begins[full]] = False
-        after[stops[full] - 1] = False
-        starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        before[begins[full]] = 0
+        after[stops[full] - 1] = 0
+        word = inside != 0
+        starts, ends = np.flatnonzero(word & (inside != before)), np.flatnonzero(word & (inside != after)) + 1
         yield Words(first, last, part, starts, ends, np.searchsorted(starts, at))
         first = last
 
