@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, exact_dedup, mixing, quality, toxicity, url_reputation, warc
+from weftgraph.llm import chat, decontaminate, exact_dedup, language_model, mixing, quality, toxicity, url_reputation, warc
 from weftgraph.llm.stage import table
 
 
@@ -36,16 +36,24 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.url_filter(table(spark, sf_dir, "pages"), outcomes)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_quality_classifier, op4_warc, op5_url_filters, op8_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_quality_classifier, op4_warc, op5_url_filters, op6_decontamination, op8_mixing, op9_lm_scoring, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
