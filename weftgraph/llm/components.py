@@ -1,0 +1,33 @@
+"""Connected components of a graph of long ids, by label contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftgraph.llm.stage import stage
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, root for each end of an edge (a, b): root is the smallest id of its component.
+
+    Each round hangs every node on its smallest neighbour, follows these links until they end, and contracts the edges;
+    the number of rounds grows with the logarithm of a component's diameter. Rounds are written to the shared folder.
+    """
+    edges = stage(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    result = stage(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("root")), "cc-nodes")
+    while not edges.isEmpty():
+        ends = edges.select(F.col("b").alias("id"), F.col("a").alias("up"))
+        link = stage(ends.groupBy("id").agg(F.min("up").alias("up")), "cc-links")  # links go to smaller ids only, so they end
+        while True:
+            above = link.select(F.col("id").alias("up"), F.col("up").alias("upper"))
+            jumped = stage(link.join(above, "up", "left").select("id", F.coalesce("upper", "up").alias("up"), F.col("upper").isNotNull().alias("moved")), "cc-jumps")
+            link = jumped.select("id", "up")
+            if jumped.filter("moved").isEmpty():
+                break
+        follow = link.select(F.col("id").alias("root"), "up")
+        result = stage(result.join(follow, "root", "left").select("id", F.coalesce("up", "root").alias("root")), "cc-roots")
+        a, b = link.select(F.col("id").alias("a"), F.col("up").alias("ua")), link.select(F.col("id").alias("b"), F.col("up").alias("ub"))
+        moved = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ua", "a").alias("x"), F.coalesce("ub", "b").alias("y"))
+        edges = stage(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
+    return result

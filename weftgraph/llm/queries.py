@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, decontaminate, exact_dedup, language_model, mixing, quality, toxicity, url_reputation, warc
+from weftgraph.llm import chat, decontaminate, exact_dedup, language_model, mixing, ngram_join, quality, toxicity, url_reputation, warc
 from weftgraph.llm.stage import table
 
 
@@ -40,6 +40,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -53,8 +57,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_quality_classifier, op4_warc, op5_url_filters, op6_decontamination, op8_mixing, op9_lm_scoring, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_quality_classifier, op4_warc, op5_url_filters, op6_decontamination, op7_ngram_jaccard_join, op8_mixing, op9_lm_scoring, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.SQL, "op4_warc": warc.SQL, "op5_url_filters": url_reputation.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op2_chat_formatting": chat.SQL, "op4_warc": warc.SQL, "op5_url_filters": url_reputation.SQL, "op7_ngram_jaccard_join": ngram_join.SQL, "op10_exact_dedup": exact_dedup.SQL}
