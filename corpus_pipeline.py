@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
-from weftgraph.llm.stage import stage, table
+from weftgraph.stage import stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
