@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.stage import new_path, stage
+from weftgraph.stage import new_path, stage
 
 LEAST_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
