@@ -71,7 +71,12 @@ def trains(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS != HELD_OUT
 
 
-_CHUNK = "chunk bigint, docs bigint, train_tokens bigint, train_docs bigint, tokens bigint, ids binary, gone binary, lengths binary, train binary, vocabulary binary, words binary"
+_CHUNK = "chunk bigint, docs bigint, train_tokens bigint, train_docs bigint, tokens bigint, ids binary, gone binary, lengths binary, train binary, vocabulary binary, often binary, words binary"
+
+
+def by_count(often: np.ndarray) -> np.ndarray:
+    """Words in the order of their numbers: frequent first, then by hash."""
+    return np.argsort(-often.astype(np.int64), kind="stable")
 
 
 def chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
@@ -80,11 +85,13 @@ def chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
     def row(k: int, ids: list, counts: list, hashes: list) -> pa.RecordBatch:
         n, h = np.concatenate(counts), np.concatenate(hashes)
         train = np.array([trains(i) for i in ids], bool)
-        vocabulary, at = np.unique(h, return_inverse=True)
+        vocabulary, at, often = np.unique(h, return_inverse=True, return_counts=True)
+        rank = np.empty(len(often), np.int32)
+        rank[by_count(often)] = np.arange(len(often), dtype=np.int32)  # small numbers for frequent words pack better
         key = (TaskContext.get().partitionId() << 32) + k
         numbers = np.array([0 if i is None else i for i in ids], np.int64)
         gone = np.array([i is None for i in ids], bool)
-        blobs = [pack(numbers), pack(gone), pack(n.astype(np.int32)), pack(train), pack_sorted(vocabulary), pack(at.astype(np.int32))]
+        blobs = [pack(numbers), pack(gone), pack(n.astype(np.int32)), pack(train), pack_sorted(vocabulary), pack(often.astype(np.int32)), pack(rank[at])]
         numbers_out = [key, len(ids), int(n[train].sum()), int(train.sum()), len(h)]
         names = [c.split()[0] for c in _CHUNK.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in numbers_out] + [pa.array([x], pa.binary()) for x in blobs], names)
@@ -119,11 +126,12 @@ class Chunk:
     lengths: np.ndarray
 
     @staticmethod
-    def of(lengths: bytes, train: bytes, vocabulary: bytes, at: bytes) -> Chunk:
-        n = unpack(lengths).astype(np.int64)
+    def of(r) -> Chunk:
+        n = unpack(r["lengths"]).astype(np.int64)
         first = np.zeros(int(n.sum()), bool)
         first[np.cumsum(n) - n] = True
-        return Chunk(unpack_sorted(vocabulary), unpack(at), np.repeat(unpack(train), n), first, n)
+        at = by_count(unpack(r["often"]))[unpack(r["words"])]
+        return Chunk(unpack_sorted(r["vocabulary"]), at, np.repeat(unpack(r["train"]), n), first, n)
 
     def pair_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted keys of pairs, the order of tokens by key, and where each key starts in it."""
@@ -147,7 +155,7 @@ def requests(parts: DataFrame, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                c = Chunk.of(r["lengths"], r["train"], r["vocabulary"], r["words"])
+                c = Chunk.of(r)
                 keys, order, begin = c.pair_keys()
                 seen = np.add.reduceat(c.train[order].astype(np.int64), begin)
                 alone = np.bincount(c.at[c.train], minlength=len(c.vocabulary))
@@ -158,7 +166,7 @@ def requests(parts: DataFrame, ranges: int) -> DataFrame:
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["kind", "range", "chunk", "keys", "counts"])
 
-    names = ["chunk", "lengths", "train", "vocabulary", "words"]
+    names = ["chunk", "lengths", "train", "vocabulary", "often", "words"]
     return parts.select(*names).mapInArrow(run, "kind int, range bigint, chunk bigint, keys binary, counts binary")
 
 
@@ -184,7 +192,7 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("kind", "range").applyInPandas(add, "kind int, range bigint, chunk bigint, totals binary, distinct bigint")
 
 
-_JOINED = "chunk bigint, ids binary, gone binary, lengths binary, words binary, single binary, pair binary, cells array<int>, cell_counts array<bigint>"
+_JOINED = "chunk bigint, ids binary, gone binary, lengths binary, words binary, single binary, pair binary, distinct bigint, cells array<int>, cell_counts array<bigint>"
 
 
 def _half_octaves(x: np.ndarray) -> np.ndarray:
@@ -194,13 +202,14 @@ def _half_octaves(x: np.ndarray) -> np.ndarray:
 
 def joined(parts: DataFrame, replies: DataFrame) -> DataFrame:
     """Chunks with the totals of their words, each token's pair total, and training occurrences by cell, deleted from the counts."""
-    names = ["chunk", "ids", "gone", "lengths", "train", "vocabulary", "words"]
-    left = parts.select(*names, F.lit(-1).alias("kind"), F.lit(0).cast("bigint").alias("range"), F.lit(None).cast("binary").alias("totals"), F.col("all_tokens"))
-    right = replies.select("chunk", *(F.lit(None).cast("binary").alias(c) for c in names[1:]), "kind", "range", "totals", F.lit(0).cast("bigint").alias("all_tokens"))
+    names = ["chunk", "ids", "gone", "lengths", "train", "vocabulary", "often", "words"]
+    zero = F.lit(0).cast("bigint")
+    left = parts.select(*names, F.lit(-1).alias("kind"), zero.alias("range"), F.lit(None).cast("binary").alias("totals"), zero.alias("distinct"), "all_tokens")
+    right = replies.select("chunk", *(F.lit(None).cast("binary").alias(c) for c in names[1:]), "kind", "range", "totals", "distinct", zero.alias("all_tokens"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         r = group[group["kind"] == -1].iloc[0]
-        c = Chunk.of(r["lengths"], r["train"], r["vocabulary"], r["words"])
+        c = Chunk.of(r)
         single, total = (np.concatenate([unpack(x) for x in group[group["kind"] == k].sort_values("range")["totals"]]) for k in (0, 1))
         keys, order, begin = c.pair_keys()
         pair = np.empty(len(order), np.int64)
@@ -210,7 +219,7 @@ def joined(parts: DataFrame, replies: DataFrame) -> DataFrame:
         p, w, v = pair[t] - 1, word[t] - 1, context[t] - 1
         cell = (bucket_of(v) * STEPS + _half_octaves(p / np.maximum(v, 1))) * STEPS + _half_octaves(w / max(int(r["all_tokens"]) - 1, 1))
         cells, n = np.unique(cell, return_counts=True)
-        one = {"chunk": r["chunk"], "ids": r["ids"], "gone": r["gone"], "lengths": r["lengths"], "words": r["words"], "single": pack(single), "pair": pack(pair), "cells": cells.astype(np.int32), "cell_counts": n.astype(np.int64)}
+        one = {"chunk": r["chunk"], "ids": r["ids"], "gone": r["gone"], "lengths": r["lengths"], "words": r["words"], "single": pack(single[by_count(unpack(r["often"]))]), "pair": pack(pair), "distinct": group["distinct"][group["kind"] == 0].sum(), "cells": cells.astype(np.int32), "cell_counts": n.astype(np.int64)}
         return pd.DataFrame({k: [x] for k, x in one.items()})
 
     return left.unionByName(right).groupBy("chunk").applyInPandas(run, _JOINED)
@@ -289,9 +298,8 @@ def fit_and_score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, range_keys:
     parts = stage(chunks(docs, chunk_tokens), "lm-chunks")
     tokens, everything = parts.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     ranges = 1 << max(0, math.ceil(math.log2(max(1, everything / range_keys))))
-    replies = stage(answers(requests(parts, ranges)), "lm-answers")
-    distinct = replies.filter("kind = 0").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
-    both = stage(joined(parts.withColumn("all_tokens", F.lit(tokens).cast("bigint")), replies), "lm-joined")
+    both = stage(joined(parts.withColumn("all_tokens", F.lit(tokens).cast("bigint")), answers(requests(parts, ranges))), "lm-joined")
+    distinct = both.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     cells = both.select(F.explode(F.arrays_zip("cells", "cell_counts")).alias("x")).groupBy("x.cells").agg(F.sum("x.cell_counts").alias("n"))
     weights = learn_weights({r[0]: r[1] for r in cells.collect()}, distinct)
     return scores(both, weights, tokens, distinct), Model(tokens, distinct, weights)
