@@ -126,6 +126,9 @@ def digest_chats(formatted: DataFrame) -> DataFrame:
     def chars(data: bytes) -> int:
         return len(data.decode())
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i in (2, 4) else pa.int64()) for i, c in enumerate(zip(*rows))], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         open_: tuple | None = None
@@ -148,11 +151,11 @@ def digest_chats(formatted: DataFrame) -> DataFrame:
                     loss_chars += chars(text)
                 total += chars(data)
             if len(rows) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+                yield batch_of(rows)
                 rows.clear()
         close()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i in (2, 4) else pa.int64()) for i, c in enumerate(zip(*rows))], names)
+            yield batch_of(rows)
 
     return formatted.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 

@@ -62,9 +62,12 @@ def keep_one(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """
     best = {"smallest": F.min, "largest": F.max}[keep]
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.struct("doc_id", F.col("text").isNull().alias("is null"), *(F.col(f"`{c}`") for c in rest))
+    gone = "text is null"
+    while gone in rest:
+        gone += "_"
+    row = F.struct("doc_id", F.col("text").isNull().alias(gone), *(F.col(f"`{c}`") for c in rest))
     groups = docs.select(content_hash(_text()).alias("h"), _text().alias("t"), row.alias("row")).groupBy("h", "t").agg(best("row").alias("row"))
-    text = F.when(~F.col("row.is null"), F.col("t"))
+    text = F.when(~F.col(f"row.`{gone}`"), F.col("t"))
     return groups.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 

@@ -61,6 +61,7 @@ class Reputation:
     """hosts: host, n, k (labelled pages, bad ones), mean, bound. strengths: of the priors, by level."""
 
     hosts: DataFrame
+    labelled: int
     rate: float
     strengths: dict[str, float]
 
@@ -97,7 +98,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> Repu
     mean = alpha / total
     bound = mean - z * F.sqrt(mean * (1 - mean) / (total + 1))
     hosts = stage(hosts.select("host", "n", "k", mean.alias("mean"), bound.alias("bound")), "url-bounds")
-    return Reputation(hosts, rate, {"suffix": a, "domain": b, "host": c})
+    return Reputation(hosts, n, rate, {"suffix": a, "domain": b, "host": c})
 
 
 def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, block_rate: float = BLOCK_RATE) -> DataFrame:
@@ -109,7 +110,7 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z,
     item = F.expr("try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') as bigint)")
     reputation = host_reputation(parts.select("host", item.alias("item")), outcomes, z)
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("bound") > block_rate, "block").otherwise("allow")
+    method = F.when((F.col("bound") > block_rate) & F.lit(reputation.labelled > 0), "block").otherwise("allow")
     judged = parts.join(reputation.hosts.select("host", "mean", "bound"), "host", "left")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, method).alias("verdict"), F.round("mean", 6).alias("bad_mean"), F.round("bound", 6).alias("bad_bound"))
 
