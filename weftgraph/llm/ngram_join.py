@@ -22,12 +22,15 @@ and never names a group if another id can; other columns are not read; an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from weftgraph.operators.components import components
 from weftgraph.stage import stage
@@ -41,6 +44,8 @@ TOLERANCE = 1e-6
 STEP = 16
 #: The most classes of a bucket, and shingles of a group, in a block.
 BLOCK_ROWS, BLOCK_SHINGLES = 2000, 2_000_000
+#: The most bits of a filter that is sent to tasks.
+FILTER_BITS = 1 << 26
 _SIGNS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
@@ -57,7 +62,7 @@ def shingle_sets(column, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarr
 
 
 def signatures(sets: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """HASHES MinHash values (32 bits) of each set that isn't empty."""
+    """HASHES MinHash values (32 bits) of each set that isn't empty. Bands use all bits, comparisons the low 16."""
     full = np.flatnonzero(np.diff(ptr))
     out = np.empty((len(full), HASHES), np.uint32)
     if len(full):
@@ -104,6 +109,48 @@ def _key(text):
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
+def row_filter(rows: DataFrame, most_bits: int = FILTER_BITS):
+    """A Column function of (doc_id, key): false only for rows that are not among rows.
+
+    It looks hashes up in a bitmap of 16 bits for each row and at most most_bits, which is what is sent to tasks; with more
+    rows it lets more others through, and the exact join behind it does the rest. Tasks make their bitmaps, and parts of
+    these are joined across tasks.
+    """
+    spark = rows.sparkSession
+    bits = 1 << max(10, min(int(math.log2(most_bits)), math.ceil(math.log2(16 * max(1, rows.count())))))
+    part = min(bits, 1 << 16)
+    place = lambda id_, key: F.pmod(F.xxhash64(id_, key), F.lit(bits))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(bits, bool)
+        for batch in batches:
+            found[batch.column(0).to_numpy()] = True
+        parts = found.reshape(-1, part)
+        at = np.flatnonzero(parts.any(1))
+        yield _rows([at, [np.packbits(parts[i]).tobytes() for i in at]], ["part", "bits"], [pa.int64(), pa.binary()])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(x, np.uint8)
+                found[i] = found[i] | x if i in found else x
+        yield _rows([list(found), [x.tobytes() for x in found.values()]], ["part", "bits"], [pa.int64(), pa.binary()])
+
+    marked = rows.select(place(F.col("doc_id"), F.col("key")).alias("place")).mapInArrow(mark, "part bigint, bits binary")
+    whole = np.zeros((bits // part, part // 8), np.uint8)
+    for r in marked.repartition("part").mapInArrow(join, "part bigint, bits binary").toLocalIterator():
+        whole[r.part] = np.frombuffer(r.bits, np.uint8)
+    sent = spark.sparkContext.broadcast(whole.ravel())
+
+    @F.pandas_udf(BooleanType())
+    def among(place: pd.Series) -> pd.Series:
+        p = place.to_numpy()
+        return pd.Series((sent.value[p >> 3] >> (7 - (p & 7))) & 1).astype(bool)
+
+    return lambda id_, key: among(place(id_, key))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """row, doc_id, key, digest, shingles, signature (binary) and bands for each row; without words the last three are null.
 
@@ -125,7 +172,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     keys = [join_hashes(np.full(len(full), b, np.uint64), *(signs[:, b * ROWS + r].astype(np.uint64) for r in range(ROWS))) for b in range(BANDS)]
                     keys = np.stack(keys, axis=1).view(np.int64)
                     for i, r in enumerate(full.tolist()):
-                        digest[r], signature[r], bands[r] = low[i].tobytes() + high[i].tobytes(), signs[i].tobytes(), keys[i]
+                        digest[r], signature[r], bands[r] = low[i].tobytes() + high[i].tobytes(), signs[i].astype(np.uint16).tobytes(), keys[i]
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
                 yield _rows([rows.column("row"), rows.column("doc_id"), rows.column("key"), digest, n, signature, bands], names, kinds)
 
@@ -199,7 +246,7 @@ def likely_links(classes: DataFrame, tolerance: float = TOLERANCE, threshold: fl
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for group in sorted_groups(batches, ["bucket", "i", "j"]):
-            signs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint32).reshape(-1, HASHES)
+            signs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(-1, HASHES)
             ids, mine = group["class"].to_numpy(), group["mine"].to_numpy()
             forest = Forest(len(ids))
             for x in range(len(ids) - 1):
@@ -229,7 +276,8 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshol
     inside = stage(classes.join(groups, F.col("class") == F.col("id")).select("class", "doc_id", "key", "root", "size", "shingles", "signature"), "jaccard-inside")
     blocks = stage(inside.groupBy("root").agg(F.ceil(F.sum("shingles") / block_shingles).cast("bigint").alias("blocks")), "jaccard-blocks")
     ids = inside.select("class", F.col("doc_id").alias("id"), F.col("key").alias("text_key"))
-    texts = docs.select("doc_id", _key(F.col("text")).alias("key"), "text")
+    among = row_filter(inside.select("doc_id", "key"))
+    texts = docs.select("doc_id", _key(F.col("text")).alias("key"), "text").filter(among(F.col("doc_id"), F.col("key")))
     texts = texts.join(ids, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("id")))
     texts = stage(texts.groupBy("class").agg(F.first("text").alias("text")), "jaccard-texts")  # rows that repeat come once
     placed = _block_pairs(inside.join(blocks, "root").select("class", "root", "size", "signature", "blocks"), F.col("blocks"), F.col("class"))
@@ -238,7 +286,7 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshol
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["root", "i", "j"]):
             ids, mine, weight = (group[c].to_numpy() for c in ("class", "mine", "size"))
-            signs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint32).reshape(-1, HASHES)
+            signs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(-1, HASHES)
             parts, counts = [], []
             for _, sets, ptr in shingle_sets(group["text"]):
                 parts.append(sets)
@@ -318,7 +366,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = T
         rows = rows.select(F.col("doc_id").alias(id_), F.col("key").alias("other key"))
         return whole.join(rows, (F.col(key) == F.col("other key")) & F.col("doc_id").eqNullSafe(F.col(id_)), how)
 
-    kept = picked(judged.filter("not kept or n > 1"), "left_anti")
+    gone = judged.filter("not kept or n > 1")
+    among = row_filter(gone)(F.col("doc_id"), F.col(key))
+    clear = whole.filter(~among)
+    whole = whole.filter(among)
+    kept = clear.unionByName(picked(gone, "left_anti"))
     again = judged.filter("kept and n > 1")
     if not again.isEmpty():
         kept = kept.unionByName(picked(again, "left_semi").dropDuplicates(["doc_id", key]))
