@@ -214,3 +214,21 @@ def vis_nodes(g: Graph) -> DataFrame:
 
 def vis_edges(g: Graph) -> DataFrame:
     return g.e.select("src", "dst", F.coalesce("label", F.lit("")).alias("label"), shown_confidence().alias("confidence"))
+
+
+def health_by_sources(g: Graph, evidence: DataFrame, days_since_ingest: float) -> DataFrame:
+    """score of 100: diversity of groups, labels and sources, and recency, a quarter each. evidence: id, source."""
+    v = g.v.agg(F.count_distinct(shown_group()).alias("groups"))
+    e = g.e.agg(F.count(F.lit(1)).alias("m"), F.count_distinct(F.coalesce("label", F.lit(""))).alias("kinds"))
+    per = evidence.groupBy("id").agg(F.count_distinct("source").alias("n")).agg(F.coalesce(F.avg("n"), F.lit(0.0)).alias("per"))
+    recency = max(0.0, 1 - days_since_ingest / 30)
+    row = v.join(F.broadcast(e)).join(F.broadcast(per))
+    kinds = F.least(F.lit(1.0), F.col("kinds") / F.greatest(F.col("m") * 0.3, F.lit(1.0)))
+    sources = F.least(F.lit(1.0), F.col("per") / 3)
+    return row.select(F.bround(F.col("groups") / 7 * 25 + kinds * 25 + sources * 25 + recency * 25).cast("int").alias("score"), F.round(sources, 4).alias("source_diversity"), F.lit(recency).alias("recency"))
+
+
+def with_threshold(thresholds: DataFrame, id_: str, value: float) -> DataFrame:
+    """The threshold table (id, threshold) with one set."""
+    one = thresholds.sparkSession.createDataFrame([(id_, float(value))], "id string, threshold double")
+    return thresholds.filter(F.col("id") != id_).unionByName(one)
