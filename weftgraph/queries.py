@@ -396,7 +396,7 @@ _host = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)"
 tables("url_validation", f"select page_id, regexp_matches(lower(url), '^https?://') and {_host} <> '' as allowed from pages")(lambda spark, sf: table(spark, sf, "pages").select("page_id", D.url_allowed(F.col("url")).alias("allowed")))
 tables("long_articles", "select doc_id from documents where length(trim(text)) >= 200")(lambda spark, sf: table(spark, sf, "documents").filter(D.long_enough(F.col("text"))).select("doc_id"))
 tables("first_per_feed", "select source, doc_id, rn from (select source, doc_id, row_number() over (partition by source order by doc_id desc) as rn from documents) where rn <= 10")(
-    lambda spark, sf: M.keep_newest_of_each(table(spark, sf, "documents"), "source", "doc_id", 10, "doc_id").select("source", "doc_id", "rn")
+    lambda spark, sf: M.keep_newest_of_each(table(spark, sf, "documents"), "source", "doc_id", 10, "doc_id").select("source", "doc_id", F.col("rn").cast("bigint").alias("rn"))
 )
 tables("source_entity_bipartite", "select distinct regexp_extract(url, '://([^/?#]+)', 1) as source, page_id % 50 as id from pages")(lambda spark, sf: T.source_entities(table(spark, sf, "pages").select((F.col("page_id") % 50).alias("id"), "url")))
 
