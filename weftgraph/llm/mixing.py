@@ -30,7 +30,7 @@ from weftgraph.llm.words import mix
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
-LEAF, FAN_IN = 20_000, 500
+LEAF, FAN_IN = 2000, 500
 SEED = 20260101
 WORD = r"[^\x20\x09-\x0D]+"
 
