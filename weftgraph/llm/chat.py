@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.batches import bounded
 from weftgraph.llm.words import buffers, large, text_slices
 
 START, MID, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
@@ -102,7 +103,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
                     ["conv_id", "part", "formatted", "mask_start", "mask_length"],
                 )
 
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = bounded(turns).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, schema)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.llm.batches import bounded
 from weftgraph.llm.words import text_slices
 
 #: Folds of doc_id; fold 0 is held out.
@@ -49,4 +50,4 @@ def append(docs: DataFrame, name: str, kind: T.DataType, made: Callable[[pa.Reco
             for piece in text_slices(batch):
                 yield pa.RecordBatch.from_arrays([*piece.columns, made(piece)], names)
 
-    return docs.mapInArrow(run, schema), name
+    return bounded(docs).mapInArrow(run, schema), name

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.llm.batches import bounded
 from weftgraph.llm.labelled import append, fold, labelled_sample
 from weftgraph.llm.words import LETTERS_OR_SIGNS, mix, words
 
@@ -78,7 +79,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "sums"])
 
     schema = "block int, sums binary"
-    rows = docs.select("text").mapInArrow(task, schema).repartition("block").mapInArrow(add, schema).toArrow()
+    rows = bounded(docs).select("text").mapInArrow(task, schema).repartition("block").mapInArrow(add, schema).toArrow()
     out = np.zeros((BLOCKS, per * DIM))
     for block, blob in zip(rows.column("block").to_pylist(), rows.column("sums")):
         out[block] = np.frombuffer(blob.as_buffer(), np.int64)

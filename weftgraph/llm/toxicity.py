@@ -78,9 +78,15 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=
     none = np.zeros(0, np.int64)
     if len(set(labels.tolist())) < 2:
         return Weights(none, none.astype(np.float32), -50.0)
-    seen = np.bincount(np.concatenate(lists), minlength=1 << BITS)
-    lists = [x[seen[x] > 1] for x in lists]
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    seen = np.zeros(1 << BITS, np.uint32)
+    for x in lists:
+        seen[x] += 1
+    known = np.flatnonzero(seen > 1)
+    number = np.zeros(1 << BITS, np.int32)
+    number[known] = np.arange(len(known), dtype=np.int32)
+    lists = [number[x[seen[x] > 1]] for x in lists]
+    del seen, number
+    z, n = np.zeros(len(known)), np.zeros(len(known))
     bias_z = bias_n = 0.0
     for _ in range(epochs):
         for x, y in zip(lists, labels.tolist()):
@@ -94,14 +100,14 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=
             bias_z += g - ((bias_n + g * g) ** 0.5 - bias_n**0.5) / alpha * bias
             bias_n += g * g
     w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
-    index = np.flatnonzero(w)
-    return Weights(index, w[index].astype(np.float32), float(-bias_z / ((beta + bias_n**0.5) / alpha)))
+    at = np.flatnonzero(w)
+    return Weights(known[at], w[at].astype(np.float32), float(-bias_z / ((beta + bias_n**0.5) / alpha)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_ROWS) -> Weights:
     sample, name = append(labelled_sample(docs, labels, label, most), "features", T.BinaryType(), lambda b: pa.array(feature_lists(b.column("text")), pa.binary()))
     rows = sample.select("draw", "doc_id", "label", name).toArrow().sort_by([("draw", "ascending"), ("doc_id", "ascending"), ("label", "ascending")])
-    lists = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in rows.column(name)]
+    lists = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column(name)]
     return fit(lists, rows.column("label").to_numpy())
 
 

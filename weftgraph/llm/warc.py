@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.llm.batches import bounded
 from weftgraph.stage import new_path, stage
 
 LEAST_BYTES = 1000
@@ -132,7 +133,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, date:
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
-    made = plan_records(pages, least).mapInArrow(members, "member binary")
+    made = bounded(plan_records(pages, least)).mapInArrow(members, "member binary")
     made.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 20_000).text(path)
 
 
