@@ -6,6 +6,8 @@ scan, so that adaptive execution can split its skewed joins.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _own:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
+        path = tempfile.mkdtemp(prefix="weftgraph-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own[app] = f"file://{path}"
     return _own[app]
 
 
