@@ -263,6 +263,12 @@ graph(
 )(lambda g: A.entity_risk(*_country_between(g)))
 
 
+SQL["stability"] = f"""{SQL["entity_risk"].partition(" select id, round((coalesce")[0]} , risks as (select id, round((coalesce{SQL["entity_risk"].partition(" select id, round((coalesce")[2]}),
+whole as (select (select avg(risk) from risks) * 0.6 + (select avg(case when {_hostile("label")} then 1.0::double else 0.0::double end) from cl) * 100 * 0.4 as r)
+select round(100 - least(r, 100.0), 1) as stability, round(r, 1) as risk,
+  case when round(100 - least(r, 100.0), 1) < 25 then 'CRITICAL' when round(100 - least(r, 100.0), 1) < 50 then 'HIGH RISK' when round(100 - least(r, 100.0), 1) < 75 then 'MODERATE' else 'STABLE' end as label from whole"""
+
+
 @graph("stability")
 def _stability(g: Graph) -> DataFrame:
     c, b = _country_between(g)
@@ -350,7 +356,10 @@ graph(
     left join (select dst as id, string_agg('- **' || src || '** → *' || label || '* → ' || dst, chr(10) order by src) as lines from (select *, row_number() over (partition by dst order by src) as rn from e) where rn <= 10 group by dst) i on i.id = v.id
     where grp = 'country'""",
 )(lambda g: S.dossiers(g, g.v.filter("`group` = 'country'")).select("id", "grp", "confidence", F.array_join("outgoing", "\n").alias("outgoing"), F.array_join("incoming", "\n").alias("incoming")))
-graph("note_vault")(S.note_vault)
+graph(
+    "note_vault",
+    "select v.id, '# ' || v.id || chr(10) || 'type: ' || v.grp || coalesce(chr(10) || l.links, '') as note from v left join (select src as id, string_agg('- ' || label || ' [[' || dst || ']]', chr(10) order by '- ' || label || ' [[' || dst || ']]') as links from e group by src) l on l.id = v.id",
+)(S.note_vault)
 graph("graphml_rows")(S.graphml_rows)
 
 # -- documents ------------------------------------------------------------------------------------
