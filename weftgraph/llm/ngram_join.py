@@ -34,6 +34,7 @@ from pyspark.sql.types import BooleanType
 
 from weftgraph.operators.components import components
 from weftgraph.stage import stage
+from weftgraph.llm.batches import bounded
 from weftgraph.llm.words import BY_SPACE, LOWER, join_hashes, mix, shingles, words
 
 K = 5
@@ -176,7 +177,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
                 yield _rows([rows.column("row"), rows.column("doc_id"), rows.column("key"), digest, n, signature, bands], names, kinds)
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _key(F.col("text")).alias("key"), "text").mapInArrow(run, schema)
+    return bounded(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", _key(F.col("text")).alias("key"), "text").mapInArrow(run, schema)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
