@@ -30,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.stage import stage
+from weftgraph.llm.batches import bounded
 from weftgraph.llm.words import BY_SPACE, LOWER, join_hashes, words
 
 FOLDS, HELD_OUT = 7, 2
 CHUNK_TOKENS = 2_000_000
 RANGE_KEYS = 2_000_000
 EM_ROUNDS = 50
+#: Tokens in a pass of arithmetic.
+PIECE = 1 << 18
 BUCKETS, STEPS = 48, 96
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 _ZSTD = pa.Codec("zstd", 1)
@@ -112,7 +115,7 @@ def chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
         if ids:
             yield row(k, ids, counts, hashes)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _CHUNK)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, _CHUNK)
 
 
 @dataclass
@@ -140,6 +143,7 @@ class Chunk:
         before[1:] = h[:-1]
         before[self.first] = START
         keys = join_hashes(before, h)
+        del before, h
         order = np.argsort(keys)
         keys = keys[order]
         new = np.ones(len(keys), bool)
@@ -211,15 +215,19 @@ def joined(parts: DataFrame, replies: DataFrame) -> DataFrame:
         r = group[group["kind"] == -1].iloc[0]
         c = Chunk.of(r)
         single, total = (np.concatenate([unpack(x) for x in group[group["kind"] == k].sort_values("range")["totals"]]) for k in (0, 1))
-        keys, order, begin = c.pair_keys()
+        _, order, begin = c.pair_keys()
         pair = np.empty(len(order), np.int64)
         pair[order] = np.repeat(total, np.diff(np.append(begin, len(order))))
+        del order, begin, total
         word, context = contexts(c, single)
-        t = c.train
-        p, w, v = pair[t] - 1, word[t] - 1, context[t] - 1
-        cell = (bucket_of(v) * STEPS + _half_octaves(p / np.maximum(v, 1))) * STEPS + _half_octaves(w / max(int(r["all_tokens"]) - 1, 1))
-        cells, n = np.unique(cell, return_counts=True)
-        one = {"chunk": r["chunk"], "ids": r["ids"], "gone": r["gone"], "lengths": r["lengths"], "words": r["words"], "single": pack(single[by_count(unpack(r["often"]))]), "pair": pack(pair), "distinct": group["distinct"][group["kind"] == 0].sum(), "cells": cells.astype(np.int32), "cell_counts": n.astype(np.int64)}
+        n = np.zeros(BUCKETS * STEPS**2, np.int64)
+        for a in range(0, len(word), PIECE):
+            t = np.flatnonzero(c.train[a : a + PIECE]) + a
+            p, w, v = pair[t] - 1, word[t] - 1, context[t] - 1
+            cell = (bucket_of(v) * STEPS + _half_octaves(p / np.maximum(v, 1))) * STEPS + _half_octaves(w / max(int(r["all_tokens"]) - 1, 1))
+            n += np.bincount(cell, minlength=len(n))
+        cells = np.flatnonzero(n)
+        one = {"chunk": r["chunk"], "ids": r["ids"], "gone": r["gone"], "lengths": r["lengths"], "words": r["words"], "single": pack(single[by_count(unpack(r["often"]))]), "pair": pack(pair), "distinct": group["distinct"][group["kind"] == 0].sum(), "cells": cells.astype(np.int32), "cell_counts": n[cells]}
         return pd.DataFrame({k: [x] for k, x in one.items()})
 
     return left.unionByName(right).groupBy("chunk").applyInPandas(run, _JOINED)
@@ -273,13 +281,16 @@ def scores(parts: DataFrame, weights: np.ndarray, tokens: int, distinct: int) ->
                 context = np.empty_like(word)
                 context[1:] = word[:-1]
                 context[first] = word[begin + n - 1]  # the end's count is the start's
-                w = weights[bucket_of(context)]
-                p = w[:, 0] / (distinct + 1) + w[:, 1] * word / max(tokens, 1) + w[:, 2] * pair / np.maximum(context, 1)
-                base = np.log10((word + 1) / (tokens + distinct + 1))
+                log, base = np.empty(len(word)), np.empty(len(word))
+                for a in range(0, len(word), PIECE):
+                    n1, v, n2 = word[a : a + PIECE], context[a : a + PIECE], pair[a : a + PIECE]
+                    w = weights[bucket_of(v)]
+                    log[a : a + PIECE] = np.log10(w[:, 0] / (distinct + 1) + w[:, 1] * n1 / max(tokens, 1) + w[:, 2] * n2 / np.maximum(v, 1))
+                    base[a : a + PIECE] = np.log10((n1 + 1) / (tokens + distinct + 1))
                 total = lambda x: pa.array(np.add.reduceat(x, begin))
                 held = np.array([not trains(None if g else i) for i, g in zip(ids.tolist(), gone.tolist())], bool)
                 known = np.add.reduceat((word > 0).astype(np.int64), begin)
-                columns = [pa.array(ids, mask=gone), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens)), total(base), total(np.log10(p))]
+                columns = [pa.array(ids, mask=gone), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens)), total(base), total(log)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
