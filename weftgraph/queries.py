@@ -275,10 +275,28 @@ def _stability(g: Graph) -> DataFrame:
     return A.stability(c, A.entity_risk(c, b))
 
 
+def _between(g: Graph) -> tuple[Graph, DataFrame]:
+    whole = g.staged()
+    return whole, P.betweenness(whole)
+
+
+# The whole graph; the five above have the countries of their SQL.
+graph("top_betweenness_whole")(lambda g: P.top_betweenness(g.staged(), 8))
+graph("influence_rank_whole")(lambda g: A.influence(*_between(g)))
+graph("hotspots_whole")(lambda g: A.hotspots(*_between(g)).select("id", F.round("score", 4).alias("score")))
+graph("entity_risk_whole")(lambda g: A.entity_risk(*_between(g)))
+
+
+@graph("stability_whole")
+def _stability_whole(g: Graph) -> DataFrame:
+    whole, b = _between(g)
+    return A.stability(whole, A.entity_risk(whole, b))
+
+
 @graph("structural_similarity")
 def _structural(g: Graph) -> DataFrame:
-    c, b = _country_between(g)
-    top = V.cosine_topk(P.structural_features(c, b), "id", "features", "NATION_6", 5)
+    whole, b = _between(g)
+    top = V.cosine_topk(P.structural_features(whole, b), "id", "features", "NATION_6", 5)
     return top.select("id", F.round("similarity", 3).alias("similarity"))
 
 
@@ -425,7 +443,7 @@ tables("unit_vectors", f"select vec_id, round({_dot('embedding', 'embedding')},
     lambda spark, sf: table(spark, sf, "embeddings").select("vec_id", F.round(V.dot(F.col("embedding"), F.col("embedding")), 4).alias("square"), F.round(V.dot(V.unit(F.col("embedding")), V.unit(F.col("embedding"))), 4).alias("unit_square"))
 )
 tables("kmeans_clusters")(lambda spark, sf: V.kmeans(table(spark, sf, "embeddings"), "vec_id", "embedding", 6))
-graph("node_embeddings")(lambda g: V.node_embeddings(fixtures.countries(g), per_node=20, length=10).select("id", F.size("vector").alias("dim")))
+graph("node_embeddings")(lambda g: V.node_embeddings(g.staged()).select("id", F.size("vector").alias("dim")))
 
 # -- events and history ---------------------------------------------------------------------------
 
