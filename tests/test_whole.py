@@ -1,5 +1,8 @@
 """Registered queries that do the whole job, on small inputs."""
 
+import json
+import re
+
 import pytest
 
 from tests.test_graph import brute_betweenness, g
@@ -35,3 +38,29 @@ def test_betweenness_queries_take_the_whole_graph(small):
 def test_features_and_embeddings_take_the_whole_graph(small):
     assert {"S1", "S2"} <= {r.id for r in small("structural_similarity")}
     assert {r.id: r.dim for r in small("node_embeddings")} == {v: 64 for v, _ in VERTICES if v != "P1"}
+
+
+def plain_parse(answer):
+    """The text of the one item by a plain parser, or None where the answer is faulty."""
+    raw = re.sub(r"```(?:json)?", "", answer, count=1).rsplit("```", 1)[0]
+    depth, start = 0, raw.find("{")
+    for i, c in enumerate(raw[start:], start):
+        depth += (c == "{") - (c == "}")
+        if depth == 0:
+            try:
+                return json.loads(raw[start : i + 1])["extractions"][0]["extraction_text"].strip()
+            except ValueError:
+                return None
+    return None
+
+
+def test_extract_validate_reads_whole_turns(spark, tmp_path):
+    texts = ["word " * 400 + "end", "twenty characters or more {braced} and more", 'says "yes" after\na line\tand \\ more', "an open { brace after twenty", "a closing } brace after twenty", "some text\n```json\nand more```\n```", "ends } and { begins", "short", "naïve – ünïcode text that goes on 🙂 and on"]
+    spark.createDataFrame([(3 * i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.text, r.parse_error is None) for r in queries.QUERIES["extract_validate"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        item = {"extraction_class": "country", "extraction_text": t, "attributes": {"source": "a"}, "confidence": "0.9"}
+        text = plain_parse("Here:\n```json\n" + json.dumps({"extractions": [item]}) + "\n```")
+        want[3 * i] = (text, text is not None)
+    assert got == want and len(got[0][0]) > 2000

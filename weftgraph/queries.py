@@ -406,7 +406,7 @@ def _extract(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations")
     kind = F.element_at(F.array(*(F.lit(x) for x in ("country", "Person", "planet", "relationship"))), (F.col("turn") % 4 + 1).cast("int"))
     confidence = F.element_at(F.array(F.lit("0.9"), F.lit("1.7"), F.lit("0.4")), (F.col("conv_id") % 3 + 1).cast("int"))
-    body = F.to_json(F.struct(F.array(F.struct(kind.alias("extraction_class"), F.substring("text", 1, 20).alias("extraction_text"), F.create_map(F.lit("source"), F.lit("a")).alias("attributes"), confidence.alias("confidence"))).alias("extractions")))
+    body = F.to_json(F.struct(F.array(F.struct(kind.alias("extraction_class"), F.col("text").alias("extraction_text"), F.create_map(F.lit("source"), F.lit("a")).alias("attributes"), confidence.alias("confidence"))).alias("extractions")))
     return parse_answers(turns.select("conv_id", "turn", F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```")).alias("answer"))).drop("attributes")
 
 
