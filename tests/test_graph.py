@@ -89,6 +89,12 @@ def test_path_falls_back_to_both_directions(spark):
     assert P.path_summary(P.shortest_path(graph, "A", "missing"), "A", "missing").collect() == []
 
 
+def test_path_of_more_than_fifty_steps_is_directed(spark):
+    chain = [(f"n{i:02}", f"n{i + 1:02}", "l") for i in range(51)]
+    r = P.path_summary(P.shortest_path(g(spark, [*chain, ("n51", "x", "l"), ("x", "n00", "l")]), "n00", "n51"), "n00", "n51").first()
+    assert (r.length, r.directed) == (51, True)
+
+
 def random_edges(seed, n=9, m=16):
     r = random.Random(seed)
     return sorted({(f"v{r.randrange(n)}", f"v{r.randrange(n)}") for _ in range(m)}), [f"v{i}" for i in range(n)]

@@ -6,6 +6,8 @@ a frontier is empty. Joins leave the choice of strategy to the optimizer, which
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +23,14 @@ def arcs(g: Graph, directed: bool = True) -> DataFrame:
     return out if directed else out.unionByName(g.e.select(F.col("dst").alias("x"), F.col("src").alias("y"))).distinct()
 
 
-def _search(steps: DataFrame, source: str, target: str, most: int) -> list[str] | None:
+def _search(steps: DataFrame, source: str, target: str) -> list[str] | None:
     """The smallest, as text, of the shortest paths. A node keeps one path, its smallest: a shortest path's beginnings are."""
     spark = steps.sparkSession
     if source == target:
         return [source]
     seen = spark.createDataFrame([(source,)], "id string")
     front = spark.createDataFrame([(source, [source])], "id string, path array<string>")
-    for level in range(most):
+    for level in itertools.count():
         reached = front.join(steps, front["id"] == steps["x"]).select(F.col("y").alias("id"), F.concat("path", F.array("y")).alias("path"))
         front = stage(reached.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")), f"path-{level}")
         found = front.filter(F.col("id") == target).first()
@@ -37,26 +39,26 @@ def _search(steps: DataFrame, source: str, target: str, most: int) -> list[str]
         if front.isEmpty():
             return None
         seen = stage(seen.unionByName(front.select("id")), f"path-seen-{level}")
-    return None
 
 
-def shortest_path(g: Graph, source: str, target: str, most: int = 50, default_label: str = "connects to") -> DataFrame:
+def shortest_path(g: Graph, source: str, target: str, default_label: str = "connects to") -> DataFrame:
     """position, src, dst, label, reversed, directed for each step of a shortest path; empty where there is none.
 
     Edges are followed along their direction; only if that fails, in both directions, and a step against an edge is
-    reversed. Of shortest paths the one with the smallest ids is taken. At most `most` steps.
+    reversed. Of shortest paths the one with the smallest ids is taken. The search ends where no
+    new vertex is reached, so a path of any length is found.
     """
     spark = g.spark
     both = g.v.filter(F.col("id").isin(source, target)).select("id").distinct().count()
     path, directed = None, True
     if both == len({source, target}):
-        path = _search(stage(arcs(g), "path-arcs"), source, target, most)
+        path = _search(stage(arcs(g), "path-arcs"), source, target)
         if path is None:
-            directed, path = False, _search(stage(arcs(g, directed=False), "path-arcs"), source, target, most)
+            directed, path = False, _search(stage(arcs(g, directed=False), "path-arcs"), source, target)
     schema = "position int, src string, dst string, directed boolean"
     steps = spark.createDataFrame([(i, a, b, directed) for i, (a, b) in enumerate(zip(path or [], (path or [])[1:]))], schema)
     e = g.e.select("src", "dst", F.coalesce("label", F.lit(default_label)).alias("label"))
-    forth = steps.join(F.broadcast(steps.select("src", "dst").distinct()).join(e, ["src", "dst"]), ["src", "dst"], "left")  # steps: at most `most` rows
+    forth = steps.join(F.broadcast(steps.select("src", "dst").distinct()).join(e, ["src", "dst"]), ["src", "dst"], "left")  # steps: the rows of one path
     back = e.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("label").alias("back"))
     return forth.join(back, ["src", "dst"], "left").select("position", "src", "dst", F.coalesce("label", "back").alias("label"), (F.col("label").isNull() & F.col("back").isNotNull()).alias("reversed"), "directed")
 
