@@ -78,6 +78,14 @@ def test_blocks_agree_with_one_pass(spark):
     assert one == many
 
 
+def test_blocks_keep_repeated_and_null_ids_apart(spark):
+    items, rows = setup()
+    rows += [(100, "clean"), (104, items[0][1]), (None, "clean too"), (None, items[1][1]), (None, None)]
+    docs, bench = frames(spark, items, rows)
+    one, many = (sorted(map(str, C.find_leaks(docs, bench, block_words=n).collect())) for n in (500_000, 60))
+    assert one == many and len(many) == len(rows)
+
+
 def test_random_texts_against_plain_tiling():
     r = random.Random(9)
     for _ in range(60):

@@ -11,12 +11,14 @@ a bound whatever the benchmark's size; a benchmark of one block is one pass with
 
 Words are runs of letters and digits in lower case. Cases: null texts are empty; items of fewer than K words are looked
 for by no seed and match nothing; items that repeat are judged each, and the smallest item_id of the best is told; rows
-that repeat are judged each (over several blocks, rows with one doc_id together); other columns are not read.
+that repeat are judged each; other columns are not read. Over several blocks a row's verdicts are put together by its
+number in a written copy of doc_id and text.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +32,7 @@ from pyspark.sql import types as T
 
 from weftgraph.llm.labelled import append
 from weftgraph.llm.words import ALNUM, LOWER, large, shingles, words
+from weftgraph.stage import stage
 
 K = 5
 THRESHOLD = 0.5
@@ -171,15 +174,20 @@ def with_verdict(docs: DataFrame, seeds: Seeds, k: int = K, threshold: float = T
 def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row for each row of docs: doc_id, contaminated, item_id, coverage, tiles, items (how many are covered enough)."""
     found = []
-    for seeds in seed_blocks(benchmark, k, block_words):
-        out, name = with_verdict(docs.select("doc_id", "text"), seeds, k, threshold)
-        found.append(out.select("doc_id", F.col(name).alias("leak")))
+    blocks = seed_blocks(benchmark, k, block_words)
+    first, second = next(blocks), next(blocks, None)
+    rows = docs.select("doc_id", "text")
+    if second is not None:
+        rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "leak-rows")
+    for seeds in itertools.chain([first], [] if second is None else [second], blocks):
+        out, name = with_verdict(rows, seeds, k, threshold)
+        found.append(out.withColumnRenamed(name, "leak").drop("text"))
     if len(found) > 1:
         every = found[0]
         for x in found[1:]:
             every = every.unionByName(x)
         order = F.struct(F.col("leak.coverage").alias("c"), -F.col("leak.item_id"))
-        best = every.groupBy("doc_id").agg(F.max_by("leak", order).alias("leak"), F.coalesce(F.sum("leak.items"), F.lit(0)).cast("int").alias("items"))
+        best = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max_by("leak", order).alias("leak"), F.coalesce(F.sum("leak.items"), F.lit(0)).cast("int").alias("items"))
     else:
         best = found[0].withColumn("items", F.coalesce(F.col("leak.items"), F.lit(0)))
     return best.select("doc_id", F.col("leak").isNotNull().alias("contaminated"), "leak.item_id", F.coalesce("leak.coverage", F.lit(0.0)).alias("coverage"), F.coalesce("leak.tiles", F.lit(0)).alias("tiles"), "items")
