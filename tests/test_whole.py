@@ -1,12 +1,15 @@
 """Registered queries that do the whole job, on small inputs."""
 
 import json
+import random
 import re
+from difflib import SequenceMatcher
 
 import pytest
 
 from tests.test_graph import brute_betweenness, g
 from weftgraph import fixtures, queries
+from weftgraph.operators import mutate as M
 
 EDGES = [("S1", "N1", "based in"), ("S2", "N2", "based in"), ("N1", "N2", "threatens"), ("N2", "N3", "monitors"), ("N3", "N1", "cooperates with"), ("N1", "R1", "member of"), ("N3", "R1", "member of"), ("NATION_6", "N1", "monitors")]
 VERTICES = [*((n, "country") for n in ("N1", "N2", "N3", "NATION_6")), ("S1", "organization"), ("S2", "organization"), ("R1", "organization"), ("P1", "person")]
@@ -64,3 +67,24 @@ def test_extract_validate_reads_whole_turns(spark, tmp_path):
         text = plain_parse("Here:\n```json\n" + json.dumps({"extractions": [item]}) + "\n```")
         want[3 * i] = (text, text is not None)
     assert got == want and len(got[0][0]) > 2000
+
+
+def test_name_queries_take_all_names(spark, small):
+    ids = [v for v, _ in VERTICES]
+    ratio = lambda a, b: SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    got = {r.name: r.id for r in small("fuzzy_resolve_whole")}
+    want = {}
+    for name in [x for i in ids for x in (i.lower(), i.lower() + "x")]:
+        best = max(ids, key=lambda i: (ratio(i, name), -ids.index(i)))
+        want[name] = best if ratio(best, name) >= 0.82 else None
+    assert got == want
+
+
+def test_similar_pairs_by_brute_force(spark, monkeypatch):
+    r = random.Random(6)
+    ids = sorted({"".join(r.choice("abA1") for _ in range(r.randrange(1, 9))) for _ in range(120)} | {f"Customer#{i:05}" for i in range(40)})
+    monkeypatch.setattr(M, "_TALL", 30)
+    monkeypatch.setattr(fixtures, "build", lambda *_: g(spark, [], [(i, "person") for i in ids]))
+    got = {(x.a, x.b): x.score for x in queries.QUERIES["similar_names"](spark, "").collect()}
+    want = {(a, b): SequenceMatcher(None, a.lower(), b.lower()).ratio() for a in ids for b in ids if a < b}
+    assert got == pytest.approx({k: s for k, s in want.items() if s > 0.8}, abs=5.1e-5)

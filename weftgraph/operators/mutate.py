@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from weftgraph import vocab
 from weftgraph.graph import EDGES, VERTICES, Graph, conform
 from weftgraph.stage import stage
 
+#: Names in a block.
+_TALL = 500
+
 
 def similarity(a: str, b: str) -> float:
     """The share of matching blocks of two names in lower case; not symmetric."""
@@ -32,13 +36,70 @@ def _grams(name):
     return F.when(F.length(low) >= 2, F.array_distinct(pairs)).otherwise(F.array(low))
 
 
+def _counts(texts: list[str]) -> np.ndarray:
+    """How often each text has a character of each of 64 classes."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for i, t in enumerate(texts):
+        np.add.at(out[i], np.fromiter(map(ord, t), np.int64, len(t)) % 64, 1)
+    return out
+
+
+def alike(names: DataFrame, ids: DataFrame, threshold: float, best: bool) -> DataFrame:
+    """name, id, score of pairs with a ratio of at least the threshold; null names and ids have none.
+
+    best: for a name only its largest ratio within a block of ids, with ties. Else: only ids before the name.
+    Names and ids meet in blocks, so each pair is seen once however common its characters are. A ratio is at most that of
+    the characters that both have, in any order; pairs whose bound is too small are not matched.
+    """
+    wide = 20_000 if best else 4_000  # ids in a block, for _TALL names: what a task holds at once
+    names, ids = names.select("name").filter("name is not null"), ids.select("id").filter("id is not null")
+    tall, across = (max(1, -(-df.count() // most)) for df, most in ((names, _TALL), (ids, wide)))
+    zero = F.lit(0).cast("bigint")
+    left = names.withColumn("r", F.pmod(F.xxhash64("name"), F.lit(tall))).withColumn("c", F.explode(F.sequence(zero, F.lit(across - 1).cast("bigint"))))
+    right = ids.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(across))).withColumn("r", F.explode(F.sequence(zero, F.lit(tall - 1).cast("bigint"))))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        own, other = x["name"].tolist(), y["id"].tolist()
+        low, against = [t.lower() for t in own], [t.lower() for t in other]
+        a, b = _counts(low), _counts(against)
+        size = np.array([len(t) for t in against])
+        used = np.flatnonzero(a.any(0) & b.any(0))
+        b = np.ascontiguousarray(b[:, used].T)
+        order = None if best else np.array(other, object)
+        out: tuple[list, list, list] = ([], [], [])
+        match = SequenceMatcher(None)
+        for i, name in enumerate(low):
+            both = np.zeros(len(other), np.int64)
+            for k, u in enumerate(used):
+                if a[i, u]:
+                    both += np.minimum(b[k], a[i, u])
+            total = size + len(name)
+            bound = np.where(total > 0, 2.0 * both / np.maximum(total, 1), 1.0)
+            chosen = np.flatnonzero(bound >= threshold if best else (bound >= threshold) & (order < own[i]))
+            match.set_seq2(name)
+            least = threshold
+            for j in chosen[np.argsort(-bound[chosen], kind="stable")].tolist() if best else chosen.tolist():
+                if bound[j] < least:
+                    break
+                match.set_seq1(against[j])
+                score = match.ratio()
+                if score >= least:
+                    least = score if best else least
+                    for column, value in zip(out, (own[i], other[j], score)):
+                        column.append(value)
+        return pd.DataFrame({"name": pd.Series(out[0], dtype=object), "id": pd.Series(out[1], dtype=object), "score": pd.Series(out[2], dtype="float64")})
+
+    parts = min(tall * across, 4 * names.sparkSession.sparkContext.defaultParallelism)  # by number, or small blocks that take long would land in one task
+    left, right = (df.repartition(parts, "r", "c") for df in (left, right))
+    return left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(compare, "name string, id string, score double")
+
+
 def resolve(names: DataFrame, v: DataFrame, threshold: float = vocab.FUZZY_THRESHOLD, aliases: DataFrame | None = None) -> DataFrame:
     """name, id for each distinct name: the vertex it means, or null.
 
     An alias (alias, id) counts first, then an equal name without regard to case, then the most similar vertex of at least
-    the threshold, first in order of arrival. A ratio of 0.82 or more leaves at most 18 % of the characters unmatched, so
-    both names' lengths are within 1 to 1.44, and names of three or more characters share one pair of neighbours in order;
-    only such pairs are compared.
+    the threshold, first in order of arrival. Every pair is bounded by the characters that both names have; only those whose
+    bound reaches the best ratio so far are matched.
     """
     names = names.select("name").filter("name is not null").distinct()
     ids = v.select("id", "seq")
@@ -50,21 +111,16 @@ def resolve(names: DataFrame, v: DataFrame, threshold: float = vocab.FUZZY_THRES
         found = told.unionByName(found.join(told, "name", "left_anti"))
     found = stage(found, "resolve-exact")
     left = names.join(found, "name", "left_anti")
-    grams = left.select("name", F.explode(_grams(F.col("name"))).alias("gram")).join(ids.select("id", F.explode(_grams(F.col("id"))).alias("gram")), "gram")
-    m, n = F.length("name"), F.length("id")
-    near = grams.filter(F.least(m, n) * 2 >= threshold * (m + n)).select("name", "id").distinct()
-    scored = near.select("name", "id", similarity_udf("id", "name").alias("score")).filter(F.col("score") >= threshold).join(ids, "id")
+    scored = alike(left, ids.select("id").distinct(), threshold, best=True).join(ids, "id")
     fuzzy = scored.groupBy("name").agg(F.min_by("id", F.struct(-F.col("score"), F.coalesce("seq", F.lit(2**62)), "id")).alias("id"))
     return names.join(found.unionByName(fuzzy), "name", "left")
 
 
 def similar_pairs(v: DataFrame, threshold: float = 0.8) -> DataFrame:
     """a < b, score: vertices of one graph whose names are alike."""
-    grams = v.select("id", F.explode(_grams(F.col("id"))).alias("gram"))
-    a, b = grams.select(F.col("id").alias("a"), "gram"), grams.select(F.col("id").alias("b"), "gram")
-    m, n = F.length("a"), F.length("b")
-    near = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.least(m, n) * 2 > threshold * (m + n))).select("a", "b").distinct()
-    return near.withColumn("score", similarity_udf("a", "b")).filter(F.col("score") > threshold)
+    ids = v.select("id").filter("id is not null").distinct()
+    found = alike(ids.withColumnRenamed("id", "name"), ids, threshold, best=False).filter(F.col("score") > threshold)
+    return found.select(F.col("id").alias("a"), F.col("name").alias("b"), "score")
 
 
 def _new_names(names: DataFrame, threshold: float) -> DataFrame:
