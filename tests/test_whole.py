@@ -88,3 +88,10 @@ def test_similar_pairs_by_brute_force(spark, monkeypatch):
     got = {(x.a, x.b): x.score for x in queries.QUERIES["similar_names"](spark, "").collect()}
     want = {(a, b): SequenceMatcher(None, a.lower(), b.lower()).ratio() for a in ids for b in ids if a < b}
     assert got == pytest.approx({k: s for k, s in want.items() if s > 0.8}, abs=5.1e-5)
+
+
+def test_html_text_is_whole(spark, tmp_path):
+    long = "word " * 12_000 + "end"
+    spark.createDataFrame([(1, "u", f"<body><p>{long}</p></body>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    (r,) = queries.QUERIES["html_text"](spark, str(tmp_path)).collect()
+    assert r.text == long

@@ -65,9 +65,9 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pages_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text (at most MAX_TEXT characters), error."""
+    """page_id, url, the whole text, error."""
     rows = pages.select("page_id", "url", html_text(F.col("html")).alias("text"))
-    return rows.select("page_id", "url", F.substring("text", 1, MAX_TEXT).alias("text"), F.when(F.col("text").isNull(), "no readable text").alias("error"))
+    return rows.select("page_id", "url", "text", F.when(F.col("text").isNull(), "no readable text").alias("error"))
 
 
 def _blocked(host: str) -> bool:
