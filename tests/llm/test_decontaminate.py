@@ -1,8 +1,9 @@
 import random
+import tracemalloc
 
 import pyarrow as pa
 
-from tests.llm.helpers import ODD, documents
+from tests.llm.helpers import LONG, ODD, documents
 from weftgraph.llm import decontaminate as C
 
 
@@ -61,13 +62,13 @@ def test_against_plain_tiling(spark):
         for j, t in items:
             b = (t or "").lower().split()
             if b:
-                cover[j] = plain_tiling(text.lower().replace(",", "").split(), b, C.K) / len(b)
+                cover[j] = plain_tiling(text.lower().replace(",", "").split(), b, min(C.K, len(b))) / len(b)
         leaks = {j: c for j, c in cover.items() if c >= C.THRESHOLD}
         r = got[i]
         assert (r.contaminated, r.items) == (bool(leaks), len(leaks))
         if leaks:
             assert abs(r.coverage - max(leaks.values())) < 1e-12 and leaks[r.item_id] == max(leaks.values())
-    assert {i for i, r in got.items() if r.contaminated} == {100, 101, 102, 105, 108}
+    assert {i for i, r in got.items() if r.contaminated} == {100, 101, 102, 105, 107, 108}
     assert got[101].tiles == 2 and got[102].tiles == 3 and got[105].items == 2
 
 
@@ -90,8 +91,8 @@ def test_random_texts_against_plain_tiling():
     r = random.Random(9)
     for _ in range(60):
         a, b = ([r.choice("xyz") for _ in range(r.randrange(5, 40))] for _ in range(2))
-        seeds = C.Seeds.of([1], [" ".join(b)], 3)
-        (got,) = C.judge(pa.array([" ".join(a)]), seeds, seeds.bitmap(), 3, 0.0)
+        seeds = C.seeds_of([1], [" ".join(b)], 3)
+        (got,) = C.judge(pa.array([" ".join(a)]), seeds, [x.bitmap() for x in seeds], 0.0)
         assert round((got["coverage"] if got else 0) * len(b), 6) == plain_tiling(a, b, 3)
 
 
@@ -100,7 +101,49 @@ def test_drop_keeps_columns_and_empty_tables(spark):
     docs, bench = frames(spark, items, rows + ODD)
     kept = C.drop_leaks(docs, bench)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i in [103, 104, 106, 107, *(x[0] for x in ODD)])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i in [103, 104, 106, *(x[0] for x in ODD)])
     none, no_bench = frames(spark, [], [])
     assert C.find_leaks(none, bench).collect() == []
     assert C.find_leaks(docs, no_bench).filter("contaminated").collect() == []
+
+
+def test_odd_texts_in_blocks(spark):
+    """Rows and verdicts are the same with one block and with many, on nulls, empty and long texts and repeated ids."""
+    items, rows = setup()
+    items = items + [(20, "Same text here"), (21, "one"), (22, LONG), (22, items[0][1])]
+    docs, bench = frames(spark, items, rows + ODD + [(7, LONG[: len(LONG) * 2 // 3])])
+    one, many = (sorted(map(str, C.find_leaks(docs, bench, block_words=n, item_words=1000).collect())) for n in (10**9, 60_000))
+    assert one == many and len(many) == len(rows) + len(ODD) + 1
+    assert sum("contaminated=True" in x and "item_id=20" in x for x in many) == 4 and sum("item_id=22" in x for x in many) == 2
+    kept = [sorted(str(r.doc_id) for r in C.drop_leaks(docs, bench, block_words=n, item_words=1000).collect()) for n in (10**9, 60_000)]
+    assert kept[0] == kept[1] == sorted(x.split("doc_id=")[1].split(",")[0] for x in many if "contaminated=False" in x)
+
+
+def test_one_repeated_word_stays_small():
+    """8000 times one word against an item of 1000: the pairs are never held, and the tiling is the plain one's."""
+    seeds = C.seeds_of([1], ["word " * 1000])
+    tracemalloc.start()
+    (got,) = C.judge(pa.array(["word " * 8000]), seeds, [x.bitmap() for x in seeds], 0.5)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == {"item_id": 1, "coverage": 1.0, "tiles": 1, "items": 1} and held < 200 << 20
+
+
+def test_lines_that_many_items_share_stay_small():
+    junk = " ".join(f"w{i}" for i in range(40))
+    seeds = C.seeds_of(list(range(2000)), [f"{junk} " + " ".join(f"x{i}y{j}" for j in range(60)) for i in range(2000)])
+    tracemalloc.start()
+    got = C.judge(pa.array([f"{junk} " * 50] * 200), seeds, [x.bitmap() for x in seeds], 0.5)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [None] * 200 and held < 400 << 20
+
+
+def test_pieces_of_pairs_change_nothing(monkeypatch):
+    r = random.Random(3)
+    texts, items = ([" ".join(r.choice("xyz") for _ in range(r.randrange(0, 60))) for _ in range(n)] for n in (20, 12))
+    seeds = C.seeds_of(list(range(12)), items, 3)
+    maps = [x.bitmap() for x in seeds]
+    want = C.judge(pa.array(texts), seeds, maps, 0.4)
+    monkeypatch.setattr(C, "PAIRS", 7)
+    assert C.judge(pa.array(texts), seeds, maps, 0.4) == want and any(want)

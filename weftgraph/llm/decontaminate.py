@@ -6,37 +6,47 @@ whose seeds could cover enough of the item, tiling takes the longest match whose
 tile, and goes on with what is left of the others, down to K words. Tiles may come in any order, so a passage whose parts
 were moved is found too. A document is contaminated if tiles cover at least THRESHOLD of an item's words.
 
-Seeds reach tasks in blocks of at most BLOCK_WORDS words, one pass over the documents for each block, so what is sent has
-a bound whatever the benchmark's size; a benchmark of one block is one pass without a shuffle.
+What is sent and held has a bound whatever the sizes. Seeds reach tasks in blocks of about BLOCK_WORDS words, one pass
+over the documents for each block; a block's broadcast is given up before the next one is made. Which items a document
+could hold is told by its distinct seeds, PAIRS at a time; positions are then expanded for one document and item, PAIRS at
+a time, and chained at once, so a text of one repeated word costs its diagonals and not its pairs. The number of blocks
+changes no row and no verdict.
 
-Words are runs of letters and digits in lower case. Cases: null texts are empty; items of fewer than K words are looked
-for by no seed and match nothing; items that repeat are judged each, and the smallest item_id of the best is told; rows
-that repeat are judged each; other columns are not read. Over several blocks a row's verdicts are put together by its
-number in a written copy of doc_id and text.
+Words are runs of letters and digits in lower case. Cases: null and empty texts hold nothing; an item of fewer than K words
+is one seed of all its words, and is held where these follow each other; items without words match nothing; an item of more
+than ITEM_WORDS words is looked for by parts of that length, each judged by itself (if half of the item is covered, so is
+half of a part, but for words at the seams); items that repeat are judged each, and the smallest item_id of the best covered
+is told, null last; rows that repeat, and rows with null ids, are judged each; a long text is read whole; other columns are
+not read, whatever their names; an empty table of documents gives an empty result, an empty benchmark no leak.
 """
 
 from __future__ import annotations
 
 import heapq
-import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.llm.batches import bounded
 from weftgraph.llm.labelled import append
 from weftgraph.llm.words import ALNUM, LOWER, large, shingles, words
 from weftgraph.stage import stage
 
 K = 5
 THRESHOLD = 0.5
-BLOCK_WORDS = 500_000
+#: The words of a block of seeds, and of a part of an item, at most about.
+BLOCK_WORDS, ITEM_WORDS = 500_000, 100_000
+#: Pairs of positions that are held at once.
+PAIRS = 1 << 20
 _FILTER_BITS = 22
 
 RESULT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.IntegerType()), T.StructField("items", T.IntegerType())])
@@ -49,8 +59,9 @@ def text_words(column):
 
 @dataclass(frozen=True)
 class Seeds:
-    """A block of items: their ids and word hashes; seeds sorted by hash with the item and position of each."""
+    """Items of a block with seeds of k words: ids and word hashes; seeds sorted by hash with the item and position of each."""
 
+    k: int
     ids: list[int | None]
     ptr: np.ndarray
     hashes: np.ndarray
@@ -59,16 +70,12 @@ class Seeds:
     at: np.ndarray
 
     @staticmethod
-    def of(ids: list[int | None], texts: list[str | None], k: int) -> Seeds:
-        counts, hashes = [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)]
-        for w in text_words(pa.array(texts, pa.large_string())):
-            counts.append(w.counts())
-            hashes.append(w.hashes())
-        ptr, h = np.cumsum(np.concatenate(counts)), np.concatenate(hashes)
+    def of(ids: list[int | None], lists: list[np.ndarray], k: int) -> Seeds:
+        ptr, h = np.cumsum([0, *map(len, lists)]), np.concatenate([np.zeros(0, np.uint64), *lists])
         seed, cut = shingles(h, ptr, k, short=False)
         item = np.repeat(np.arange(len(ids)), np.diff(cut))
         order = np.argsort(seed, kind="stable")
-        return Seeds(ids, ptr, h, seed[order], item[order], (np.arange(len(seed)) - cut[item])[order])
+        return Seeds(k, ids, ptr, h, seed[order], item[order], (np.arange(len(seed)) - cut[item])[order])
 
     def bitmap(self) -> np.ndarray:
         out = np.zeros(1 << _FILTER_BITS, bool)
@@ -76,27 +83,60 @@ class Seeds:
         return out
 
 
-def tile(a: np.ndarray, b: np.ndarray, k: int, n: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of seeds (positions a in a text, b in an item of n words) into (start, item start, length) tiles.
+def seeds_of(ids: list[int | None], texts: list[str | None], k: int = K) -> list[Seeds]:
+    """The seeds of a block: of k words, and for items of fewer words of as many as these have."""
+    lists = [h for w in text_words(pa.array(texts, pa.large_string())) for h in np.split(w.hashes(), w.ptr[1:-1])]
+    sizes = np.array([min(len(h), k) for h in lists], np.int64)
+    return [Seeds.of([ids[i] for i in at], [lists[i] for i in at], int(n)) for n in np.unique(sizes[sizes > 0]) for at in [np.flatnonzero(sizes == n)]]
 
-    Longest first; of equal lengths the earliest in the item, then in the text.
+
+def chains(text: np.ndarray, seed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start in the text, start in the item and number of seeds of all maximal runs on a diagonal.
+
+    text: the running hashes of a text. seed, at: an item's seeds, sorted, and their positions.
     """
+    lo, hi = np.searchsorted(seed, text, "left"), np.searchsorted(seed, text, "right")
+    hit = np.flatnonzero(hi > lo)
+    n = (hi - lo)[hit]
+    total, found, first = np.cumsum(n), [], 0
+    while first < len(hit):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PAIRS, "right")))
+        m = n[first:last]
+        a = np.repeat(hit[first:last], m)
+        b = at[np.repeat(lo[hit[first:last]] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        found.append(_joined(a, b, np.ones(len(a), np.int64)))
+        first = last
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return found[0] if len(found) == 1 else _joined(*(np.concatenate(x) for x in zip(*found)))
+
+
+def _joined(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that follow each other on a diagonal, as one."""
     order = np.lexsort((a, a - b))
-    a, b = a[order], b[order]
+    a, b, n = a[order], b[order], n[order]
     new = np.ones(len(a), bool)
-    new[1:] = (np.diff(a) != 1) | (np.diff(b) != 1)
+    new[1:] = (a[1:] != (a + n)[:-1]) | (b[1:] != (b + n)[:-1])
     begin = np.flatnonzero(new)
-    length = np.diff(np.append(begin, len(a))) + k - 1
-    heap = [(-m, q, p) for m, q, p in zip(length.tolist(), b[begin].tolist(), a[begin].tolist())]
+    return a[begin], b[begin], np.add.reduceat(n, begin)
+
+
+def tile(a: np.ndarray, b: np.ndarray, m: np.ndarray, k: int, n: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling of matches (m words at a in a text and at b in an item of n words) into (start, item start, length).
+
+    Longest first; of equal lengths the earliest in the item, then in the text.
+    """
+    heap = [(-x, q, p) for x, q, p in zip(m.tolist(), b.tolist(), a.tolist())]
     heapq.heapify(heap)
     low = int(a.min())
-    text, item = np.zeros(int(a.max()) - low + k, bool), np.zeros(n, bool)
+    text, item, left = np.zeros(int((a + m).max()) - low, bool), np.zeros(n, bool), n
     tiles = []
-    while heap:
+    while heap and left >= k:
         m, q, p = heapq.heappop(heap)
         taken = text[p - low : p - low - m] | item[q : q - m]
         if not taken.any():
             text[p - low : p - low - m] = item[q : q - m] = True
+            left += m
             tiles.append((p, q, -m))
             continue
         edges = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True]))))
@@ -106,96 +146,150 @@ def tile(a: np.ndarray, b: np.ndarray, k: int, n: int) -> list[tuple[int, int, i
     return tiles
 
 
-def judge(column, seeds: Seeds, bitmap: np.ndarray, k: int, threshold: float) -> list[dict | None]:
+def candidates(row: np.ndarray, runs: np.ndarray, seeds: Seeds, threshold: float) -> Iterator[tuple[int, int]]:
+    """Rows and items whose distinct seeds (runs of rows, each once, sorted by row) could cover enough of the item."""
+    lo, hi = np.searchsorted(seeds.seed, runs, "left"), np.searchsorted(seeds.seed, runs, "right")
+    hit = np.flatnonzero(hi > lo)
+    row, lo, n = row[hit], lo[hit], (hi - lo)[hit]
+    ends = np.append(np.flatnonzero(np.diff(row)) + 1, len(row)) if len(row) else np.zeros(0, np.int64)
+    total, first = np.concatenate(([0], np.cumsum(n))), 0
+    lengths = np.diff(seeds.ptr)
+    while first < len(row):
+        fits = ends[(ends > first) & (total[ends] <= total[first] + PAIRS)]
+        last = int(fits[-1]) if len(fits) else int(ends[ends > first][0])  # whole rows; a row has each seed of the block once
+        m = n[first:last]
+        entry = np.repeat(lo[first:last] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        r, item, at = np.repeat(row[first:last], m), seeds.item[entry], seeds.at[entry]
+        order = np.lexsort((at, item, r))
+        r, item, at = r[order], item[order], at[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (item[1:] != item[:-1])
+        begin = np.flatnonzero(new)
+        step = np.full(len(r), seeds.k)
+        step[:-1] = np.where(new[1:], seeds.k, np.minimum(seeds.k, np.diff(at)))
+        could = np.add.reduceat(step, begin)  # words of the item under any seed
+        good = begin[could >= threshold * lengths[item[begin]]]
+        yield from zip(r[good].tolist(), item[good].tolist())
+        first = last
+
+
+def _rank(x: dict) -> tuple:
+    return (-x["coverage"], x["item_id"] is None, x["item_id"] or 0)
+
+
+def judge(column, block: list[Seeds], bitmaps: list[np.ndarray], threshold: float) -> list[dict | None]:
     """For each text its best covered item, or None where no item is covered enough."""
     out: list[dict | None] = []
-    lengths = np.diff(seeds.ptr)
     for w in text_words(column):
         best: list[dict | None] = [None] * (w.last - w.first)
         h = w.hashes()
-        runs, cut = shingles(h, w.ptr, k, short=False)
-        hit = np.flatnonzero(bitmap[runs >> np.uint64(64 - _FILTER_BITS)])
-        lo, hi = np.searchsorted(seeds.seed, runs[hit], "left"), np.searchsorted(seeds.seed, runs[hit], "right")
-        n = hi - lo
-        if n.sum():
-            entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            run = np.repeat(hit, n)
-            row = np.searchsorted(cut, run, "right") - 1
-            at, item, item_at = run - cut[row], seeds.item[entry], seeds.at[entry]
-            order = np.lexsort((item_at, item, row))
-            row, at, item, item_at = row[order], at[order], item[order], item_at[order]
+        for seeds, bitmap in zip(block, bitmaps):
+            runs, cut = shingles(h, w.ptr, seeds.k, short=False)
+            hit = np.flatnonzero(bitmap[runs >> np.uint64(64 - _FILTER_BITS)])
+            row = np.searchsorted(cut, hit, "right") - 1
+            order = np.lexsort((runs[hit], row))
+            row, seen = row[order], runs[hit][order]
             new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
-            begin = np.flatnonzero(new)
-            step = np.full(len(row), k)
-            step[:-1] = np.where(new[1:], k, np.minimum(k, np.diff(item_at)))
-            could = np.add.reduceat(step, begin)  # words of the item under any seed
-            for g in np.flatnonzero(could >= threshold * lengths[item[begin]]).tolist():
-                s, e = begin[g], begin[g + 1] if g + 1 < len(begin) else len(row)
-                i, r = int(item[s]), int(row[s])
-                here, there = h[w.ptr[r] :], seeds.hashes[seeds.ptr[i] :]
-                tiles = [t for t in tile(at[s:e], item_at[s:e], k, int(lengths[i])) if np.array_equal(here[t[0] : t[0] + t[2]], there[t[1] : t[1] + t[2]])]
-                coverage = sum(t[2] for t in tiles) / int(lengths[i])
-                if coverage >= threshold:
+            new[1:] = (row[1:] != row[:-1]) | (seen[1:] != seen[:-1])
+            own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for r, i in candidates(row[new], seen[new], seeds, threshold):
+                n = int(seeds.ptr[i + 1] - seeds.ptr[i])
+                there, here = seeds.hashes[seeds.ptr[i] : seeds.ptr[i + 1]], h[w.ptr[r] : w.ptr[r + 1]]
+                if i not in own:
+                    seed, _ = shingles(there, np.array([0, n]), seeds.k, short=False)
+                    by = np.argsort(seed, kind="stable")
+                    own = {} if len(own) > 1000 else own
+                    own[i] = seed[by], by
+                a, b, m = chains(runs[cut[r] : cut[r + 1]], *own[i])
+                tiles = [t for t in tile(a, b, m + seeds.k - 1, seeds.k, n) if np.array_equal(here[t[0] : t[0] + t[2]], there[t[1] : t[1] + t[2]])]
+                coverage = sum(t[2] for t in tiles) / n
+                if tiles and coverage >= threshold:
                     was, made = best[r], {"item_id": seeds.ids[i], "coverage": coverage, "tiles": len(tiles), "items": 1}
-                    if was is None:
-                        best[r] = made
-                    else:
-                        rank = lambda x: (-x["coverage"], x["item_id"] is None, x["item_id"] or 0)
-                        best[r] = min(was, made, key=rank) | {"items": was["items"] + 1}
+                    best[r] = made if was is None else min(was, made, key=_rank) | {"items": was["items"] + 1}
         out += best
     return out
 
 
-def seed_blocks(benchmark: DataFrame, k: int = K, block_words: int = BLOCK_WORDS) -> Iterator[Seeds]:
-    """The benchmark in blocks of about block_words words (by bytes, at least one item)."""
+def item_parts(benchmark: DataFrame, item_words: int = ITEM_WORDS) -> DataFrame:
+    """item_id, text of items, the long ones in parts of item_words words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("item_id").to_pylist(), []
+            for w in text_words(batch.column("text")):
+                for a, b in zip(w.ptr[:-1].tolist(), w.ptr[1:].tolist()):
+                    texts.append([bytes(w.data[w.starts[i] : w.ends[min(i + item_words, b) - 1]]).decode() for i in range(a, b, item_words)])
+            ids = [i for i, t in zip(ids, texts) for _ in t]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x for t in texts for x in t], pa.string())], ["item_id", "text"])
+
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return bounded(items).mapInArrow(run, "item_id bigint, text string")
+
+
+def seed_blocks(benchmark: DataFrame, k: int = K, block_words: int = BLOCK_WORDS, item_words: int = ITEM_WORDS) -> tuple[int, Iterator[list[Seeds]]]:
+    """The number of blocks of about block_words words (by bytes) that the benchmark has, and the blocks one by one."""
+    items = item_parts(benchmark, item_words)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / (6 * block_words)))
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        rows.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
-        yield Seeds.of([r.item_id for r in rows], [r.text for r in rows], k)
 
+    def made() -> Iterator[list[Seeds]]:
+        kept = items if blocks == 1 else stage(items, "leak-items")
+        for b in range(blocks):
+            rows = kept.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+            rows.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
+            yield seeds_of([r.item_id for r in rows], [r.text for r in rows], k)
 
-def with_verdict(docs: DataFrame, seeds: Seeds, k: int = K, threshold: float = THRESHOLD) -> tuple[DataFrame, str]:
-    """docs with a column of the best covered item of a block (null where none), and its name."""
-    sent = docs.sparkSession.sparkContext.broadcast(seeds)
-    held: list[np.ndarray] = []
+    return blocks, made()
+
+
+def with_verdict(docs: DataFrame, block: list[Seeds], threshold: float = THRESHOLD) -> tuple[DataFrame, str, Broadcast]:
+    """docs with a column of the best covered item of a block (null where none), its name, and what was sent for it."""
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+    held: list[list[np.ndarray]] = []
 
     def made(batch: pa.RecordBatch) -> pa.Array:
         if not held:
-            held.append(sent.value.bitmap())
-        return pa.array(judge(batch.column("text"), sent.value, held[0], k, threshold), _ARROW)
+            held.append([x.bitmap() for x in sent.value])
+        return pa.array(judge(batch.column("text"), sent.value, held[0], threshold), _ARROW)
 
-    return append(docs, "leak", RESULT, made)
+    return *append(docs, "leak", RESULT, made), sent
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row for each row of docs: doc_id, contaminated, item_id, coverage, tiles, items (how many are covered enough)."""
+def _in_blocks(docs: DataFrame, blocks: Iterator[list[Seeds]], threshold: float) -> tuple[DataFrame, DataFrame, str]:
+    """A written copy of docs with a column that numbers its rows, the best leak of rows that have one, and the column's name."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "leak-rows")
     found = []
-    blocks = seed_blocks(benchmark, k, block_words)
-    first, second = next(blocks), next(blocks, None)
-    rows = docs.select("doc_id", "text")
-    if second is not None:
-        rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "leak-rows")
-    for seeds in itertools.chain([first], [] if second is None else [second], blocks):
-        out, name = with_verdict(rows, seeds, k, threshold)
-        found.append(out.withColumnRenamed(name, "leak").drop("text"))
-    if len(found) > 1:
-        every = found[0]
-        for x in found[1:]:
-            every = every.unionByName(x)
-        order = F.struct(F.col("leak.coverage").alias("c"), -F.col("leak.item_id"))
-        best = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max_by("leak", order).alias("leak"), F.coalesce(F.sum("leak.items"), F.lit(0)).cast("int").alias("items"))
+    for block in blocks:
+        out, name, sent = with_verdict(rows.select(row, "text"), block, threshold)
+        found.append(stage(out.filter(F.col(name).isNotNull()).select(row, F.col(name).alias("leak")), "leak-found"))
+        sent.destroy()
+    every = reduce(DataFrame.unionByName, found)
+    order = F.struct(F.col("leak.coverage"), F.col("leak.item_id").isNotNull(), -F.col("leak.item_id"))
+    best = every.groupBy(row).agg(F.max_by("leak", order).alias("leak"), F.sum("leak.items").cast("int").alias("items"))
+    return rows, best.select(row, F.col("leak").withField("items", F.col("items")).alias("leak")), row
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, item_words: int = ITEM_WORDS) -> DataFrame:
+    """A row for each row of docs: doc_id, contaminated, item_id, coverage, tiles, items (how many are covered enough)."""
+    n, blocks = seed_blocks(benchmark, k, block_words, item_words)
+    docs = docs.select("doc_id", "text")
+    if n == 1:
+        judged, leak, _ = with_verdict(docs, next(blocks), threshold)
     else:
-        best = found[0].withColumn("items", F.coalesce(F.col("leak.items"), F.lit(0)))
-    return best.select("doc_id", F.col("leak").isNotNull().alias("contaminated"), "leak.item_id", F.coalesce("leak.coverage", F.lit(0.0)).alias("coverage"), F.coalesce("leak.tiles", F.lit(0)).alias("tiles"), "items")
+        rows, found, row = _in_blocks(docs, blocks, threshold)
+        judged, leak = rows.join(found, row, "left"), "leak"
+    x = lambda c: F.col(f"{leak}.{c}")
+    return judged.select("doc_id", F.col(leak).isNotNull().alias("contaminated"), x("item_id"), F.coalesce(x("coverage"), F.lit(0.0)).alias("coverage"), F.coalesce(x("tiles"), F.lit(0)).alias("tiles"), F.coalesce(x("items"), F.lit(0)).alias("items"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, item_words: int = ITEM_WORDS) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    for seeds in seed_blocks(benchmark, k):
-        docs, name = with_verdict(docs, seeds, k, threshold)
-        docs = docs.filter(F.col(name).isNull()).drop(name)
-    return docs
+    n, blocks = seed_blocks(benchmark, k, block_words, item_words)
+    if n == 1:
+        judged, leak, _ = with_verdict(docs, next(blocks), threshold)
+        return judged.filter(F.col(leak).isNull()).drop(leak)
+    rows, found, row = _in_blocks(docs, blocks, threshold)
+    return rows.join(found.select(row), row, "left_anti").drop(row)
