@@ -19,7 +19,7 @@ def check(rows, got, best):
         found = by_text[hashlib.sha256(t.encode()).hexdigest()]
         assert sorted((r.doc_id for r in found), key=str) == sorted(ids, key=str)
         assert {r.group_size for r in found} == {len(ids)}
-        keep = best((i for i in ids), key=lambda i: (i is not None, i or 0))
+        keep = best((i for i in ids if i is not None), default=None)
         assert {r.keep_id for r in found} == {keep}
         assert [r.doc_id for r in found if r.kept] == [keep]
 
@@ -47,4 +47,26 @@ def test_keep_one_keeps_columns_and_one_row_of_each_text(spark):
     assert got.columns == docs.columns
     texts = [r.text or "" for r in got.collect()]
     assert sorted(texts) == sorted({t or "" for _, t, *_ in ODD})
-    assert {r.doc_id for r in got.filter("text = 'same text here'").collect()} == {None}
+    assert {r.doc_id for r in got.filter("text = 'same text here'").collect()} == {5}
+
+
+def test_keep_one_takes_columns_without_an_order(spark):
+    docs = documents(spark, ODD).withColumn("m", F.create_map(F.lit("a"), F.col("doc_id"))).withColumn("s", F.struct(F.col("m").alias("doc_id"), "lang")).withColumn("row.x", F.array("m"))
+    for keep in ("smallest", "largest"):
+        got = keep_one(docs, keep)
+        assert got.schema.simpleString() == docs.schema.simpleString()
+        rows = got.collect()
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in keep_one(documents(spark, ODD), keep).collect())
+        assert all(r.m == {"a": r.doc_id} for r in rows)
+
+
+def test_batch_setting_in_any_unit(spark):
+    from weftgraph.llm.batches import BATCH_BYTES, bounded
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    for value, after in (("4m", "4m"), ("64m", f"{BATCH_BYTES}b"), ("1048576", "1048576")):
+        spark.conf.set(key, value)
+        bounded(spark.range(1))
+        assert spark.conf.get(key) in (after, after + "b")
+    spark.conf.set(key, was)

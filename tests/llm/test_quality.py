@@ -37,19 +37,75 @@ def test_held_out_documents_are_told_apart(spark):
     assert abs(np.mean([r.score for r in held]) - np.mean([truth[r.doc_id] for r in held])) < 0.08
 
 
-def test_context_vectors_by_brute_force(spark):
+def index_vector(h):
+    out = np.zeros(Q.DIM)
+    for at, sign in Q.index_vectors(np.array([h], np.uint64)):
+        out[at[0]] += sign[0]
+    return out
+
+
+def hashes_of(text):
+    return [h for w in words(pa.array([text]), LETTERS_OR_SIGNS) for h in w.hashes()]
+
+
+def test_context_vectors_by_brute_force(spark, monkeypatch):
     rows, _ = corpus(40)
     rows += [r[:2] for r in ODD if r[0] != 7]
-    got = Q.context_vectors(documents(spark, rows).repartition(3))
-    want = np.zeros((1 << Q.BITS, Q.DIM))
-    index = Q.dense_index()
+    want = {}
     for _, text in rows:
-        for w in words(pa.array([text]), LETTERS_OR_SIGNS):
-            e = (w.hashes() >> np.uint64(64 - Q.BITS)).astype(int)
-            for a, b in zip(e, e[1:]):
-                want[a] += index[b]
-                want[b] += index[a]
-    assert np.array_equal(got, want)
+        h = hashes_of(text)
+        for a, b in zip(h, h[1:]):
+            for x, y in ((a, b), (b, a)):
+                at = int(x >> np.uint64(64 - Q.BITS))
+                want[at] = want.get(at, 0) + index_vector(y)
+    for fan_in in (256, 2):  # a tree of one level, and of several
+        monkeypatch.setattr(Q, "FAN_IN", fan_in)
+        got = Q.context_vectors(documents(spark, rows).repartition(7))
+        full = np.flatnonzero(np.abs(got).sum(1))
+        assert set(full.tolist()) == {k for k, v in want.items() if np.any(v)}
+        assert all(np.array_equal(got[k], want[k]) for k in full.tolist())
+
+
+def test_index_vectors_differ_by_word_and_are_sparse():
+    h = np.random.default_rng(1).integers(0, 2**63, 4000).astype(np.uint64)
+    vectors = {tuple((int(a[i]), int(s[i])) for a, s in Q.index_vectors(h)) for i in range(4000)}
+    assert len(vectors) > 2500 and all(set(s.tolist()) == {1, -1} and set(a.tolist()) == set(range(Q.DIM)) for a, s in Q.index_vectors(h))
+
+
+def test_pooling_by_brute_force():
+    r = np.random.default_rng(3)
+    table = Q.word_table(r.normal(size=(1 << Q.BITS, Q.DIM)))
+    texts = ["a b, c!", "", None, "x " * 500 + "?? yes", "é ü"]
+    got = Q.pooled(pa.array(texts), table)
+    for row, text in zip(got, texts):
+        h = hashes_of(text)
+        own = np.mean([table[int(x >> np.uint64(64 - Q.BITS))] for x in h], axis=0) if h else np.zeros(Q.DIM)
+        index = np.mean([index_vector(x) for x in h], axis=0) if h else np.zeros(Q.DIM)
+        assert np.allclose(row, [*own, *index, np.linalg.norm(own), np.linalg.norm(index), np.log1p(len(h))], atol=1e-6)
+
+
+def test_gradients_are_numeric_ones():
+    r = np.random.default_rng(4)
+    x, y = r.normal(size=(9, 5)), (r.random(9) > 0.5).astype(float)
+    p = [r.normal(size=(5, 4)), r.normal(size=4), r.normal(size=4), r.normal(size=1)]
+
+    def loss(p):
+        z = np.tanh(x @ p[0] + p[1]) @ p[2] + p[3]
+        return np.mean(np.logaddexp(0, z) - y * z) + Q.DECAY / 2 * ((p[0] ** 2).sum() + (p[2] ** 2).sum())
+
+    for k, g in enumerate(Q.gradients(p, x, y)):
+        for i in np.ndindex(p[k].shape):
+            moved = [[a.copy() for a in p] for _ in range(2)]
+            moved[0][k][i] += 1e-5
+            moved[1][k][i] -= 1e-5
+            assert abs((loss(moved[0]) - loss(moved[1])) / 2e-5 - g[i]) < 1e-7
+
+
+def test_temperature_calibrates():
+    r = np.random.default_rng(5)
+    z = r.normal(0, 2, 20_000)
+    truth = (r.random(20_000) < 1 / (1 + np.exp(-z))).astype(float)
+    assert abs(Q.temperature_of(3 * z, truth) - 3) < 0.25 and abs(Q.temperature_of(z, truth) - 1) < 0.1
 
 
 def test_odd_rows_and_empty_tables(spark):

@@ -1,4 +1,7 @@
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -79,3 +82,55 @@ def test_scores_are_sums_over_the_features_of_each_text():
     dense = w.dense()
     got = X.scores(pa.array(texts), w, dense)
     assert np.allclose(got, [1 / (1 + np.exp(-(dense[x].sum() + 0.3))) for x in lists], atol=1e-5)
+
+
+def plain_ftrl(lists, labels, alpha, beta, l1, l2, epochs):
+    """FTRL-proximal by its published update, coordinate by coordinate."""
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+    seen = Counter(i for x in lists for i in x)
+    rate = lambda v: (beta + math.sqrt(v)) / alpha
+
+    def weight(i):
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / (rate(n.get(i, 0.0)) + l2)
+
+    for _ in range(epochs):
+        for x, y in zip(lists, labels):
+            x = [i for i in x if seen[i] > 1]
+            w, bias = {i: weight(i) for i in x}, -bz / rate(bn)
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - y
+            for i in x:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * bias
+            bn += g * g
+    return {i: weight(i) for i in z if weight(i)}, -bz / rate(bn)
+
+
+def test_training_is_ftrl_proximal():
+    r = random.Random(8)
+    labels = np.array([i % 3 == 0 for i in range(90)], np.int64)
+    lists = [np.array(sorted(r.sample(range(60), 12) + ([70 + r.randrange(3)] if y else [])), np.uint32) for y in labels]
+    for l1 in (0.0, 0.5, 3.0):
+        got = X.fit(lists, labels, l1=l1)
+        want, bias = plain_ftrl([x.tolist() for x in lists], labels.tolist(), X.ALPHA, X.BETA, l1, X.L2, X.EPOCHS)
+        assert got.index.tolist() == sorted(want) and abs(got.bias - bias) < 1e-9
+        assert np.allclose(got.weight, [want[i] for i in sorted(want)], rtol=1e-5)
+
+
+def test_the_sample_is_bounded_by_rows_and_bytes_of_documents_that_are_there(spark):
+    from weftgraph.llm.labelled import labelled_sample
+
+    docs = documents(spark, [(i, f"text {i}") for i in range(40)] + [(7, f"other {i}") for i in range(30)] + [(7, "text 7")] * 9)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000, 6000)] + [(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    made = lambda b: b.column("text").cast(pa.binary())
+    held = {i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 0}
+    there = {f"text {i}" for i in range(40) if i not in held} | ({f"other {i}" for i in range(30)} if 7 not in held else set())
+    every, _ = labelled_sample(docs, labels, "toxic", 3000, made, 1 << 20)
+    assert sorted(x.decode() for x in every) == sorted(there)
+    ten, truth = labelled_sample(docs, labels, "toxic", 10, made, 1 << 20)
+    assert ten == every[:10] and len(truth) == 10
+    few, _ = labelled_sample(docs, labels, "toxic", 3000, made, 50)
+    assert few == every[: len(few)] and 50 - 8 <= sum(map(len, few)) <= 50
+    assert labelled_sample(docs, labels, "toxic", 3000, made, 3)[0] == []

@@ -4,8 +4,9 @@ What is grouped on the hash is combined before the shuffle, so a text that a thi
 one row. Bytes are compared by grouping on (hash, text), likewise combined before its shuffle.
 
 Cases: a null text is an empty text, and all empty texts are equal. Of rows with the same text and the same id one is
-kept. A null id is smaller than any other. Columns other than the id and the text are not read. An empty table gives an
-empty result.
+kept. A row with a null id stays only where all rows of the text have none. A long text is read whole; its groups hold one
+copy a task. Columns other than the id and the text are not read by exact_dedup, whatever their names; keep_one carries
+them, maps and variants too. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.stage import stage
 
@@ -37,10 +39,10 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", hashed: Callable[[Colum
 
     keep: whether the row with the smallest or the largest doc_id of a group stays.
     """
-    best = {"smallest": F.min, "largest": F.max}[keep]
+    best, lack = {"smallest": (F.min, F.col("doc_id").isNull()), "largest": (F.max, F.col("doc_id").isNotNull())}[keep]
 
     def judged(rows: DataFrame, key: list[str]) -> DataFrame:
-        groups = rows.groupBy(*key).agg(best(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+        groups = rows.groupBy(*key).agg(best(F.struct(lack, "doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
         groups = stage(groups.select(*key, F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"), "exact-groups")
         return rows.join(groups, key).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
@@ -55,18 +57,38 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", hashed: Callable[[Colum
     return judged(rows.join(shared, "h", "left_anti"), ["h"]).unionByName(judged(apart, ["h", "t"]))
 
 
+def _orders(kind: T.DataType) -> bool:
+    """Whether Spark can order values of a type."""
+    if isinstance(kind, T.ArrayType):
+        return _orders(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_orders(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
+
+
 def keep_one(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of docs that stay, with all their columns: one shuffle, in which equal texts meet as group keys.
 
-    Of rows that tie on doc_id, the one whose other columns are smallest (or largest) stays.
+    Of rows that tie on doc_id, the one whose other columns are smallest (or largest) stays; columns that have no order
+    count as JSON there.
     """
-    best = {"smallest": F.min, "largest": F.max}[keep]
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    gone = "text is null"
-    while gone in rest:
-        gone += "_"
-    row = F.struct("doc_id", F.col("text").isNull().alias(gone), *(F.col(f"`{c}`") for c in rest))
-    groups = docs.select(content_hash(_text()).alias("h"), _text().alias("t"), row.alias("row")).groupBy("h", "t").agg(best("row").alias("row"))
+    low = keep == "smallest"
+    rest = [f for f in docs.schema if f.name not in ("doc_id", "text")]
+    names = [f.name for f in rest]
+    gone, lack = "text is null", "no doc_id"
+    while gone in names or lack in names:
+        gone, lack = gone + "_", lack + "_"
+    column = {f.name: F.col(f"`{f.name}`") for f in rest}
+    first = [(F.col("doc_id").isNull() if low else F.col("doc_id").isNotNull()).alias(lack), F.col("doc_id"), F.col("text").isNull().alias(gone)]
+    row = F.struct(*first, *column.values())
+    if all(_orders(f.dataType) for f in rest):
+        best = F.min("row") if low else F.max("row")
+    else:
+        shown = [F.struct(column[f.name].alias(f.name)) if _orders(f.dataType) else F.to_json(F.struct(column[f.name].alias("x"))) for f in rest]
+        best = (F.min_by if low else F.max_by)("row", "place")
+        first = [*first, *(x.alias(f"c{i}") for i, x in enumerate(shown))]
+    keyed = docs.select(content_hash(_text()).alias("h"), _text().alias("t"), row.alias("row"), F.struct(*first).alias("place"))
+    groups = keyed.groupBy("h", "t").agg(best.alias("row"))
     text = F.when(~F.col(f"row.`{gone}`"), F.col("t"))
     return groups.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 

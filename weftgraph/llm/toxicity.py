@@ -5,8 +5,12 @@ pairs with one word between, hashed into 2^22 weights. Training visits a bounded
 each weight has its own learning rate, and the L1 term leaves most at zero, so the model that is sent to the tasks is a
 short list of indices and weights. Scoring hashes whole texts and sums the weights found.
 
+The sample has at most TRAIN_ROWS documents and TRAIN_BYTES of features (4 bytes each), taken by a hash of the id.
+
 Words are runs of letters and digits in lower case. Cases: a null text is empty; an empty text gets the score of the
-bias; with no labelled rows of both kinds every score is 0; rows that repeat are scored each; other columns are not read.
+bias; a long text is scored whole, and takes part in training if its features fit; with no labelled rows of both kinds
+every score is 0; rows that repeat are scored each, and train once; of two labels of one id the larger counts; a score of
+exactly THRESHOLD is toxic; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from weftgraph.llm.words import ALNUM, LOWER, Words, join_hashes, large, mix, wo
 
 BITS = 22
 STEM_BYTES = 6
-#: The most labelled rows that training reads.
-TRAIN_ROWS = 8000
+#: The most labelled rows that training reads, and the most bytes of their features.
+TRAIN_ROWS, TRAIN_BYTES = 8000, 64 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 8.0, 0.2, 6
 THRESHOLD = 0.5
 
@@ -104,11 +108,9 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=
     return Weights(known[at], w[at].astype(np.float32), float(-bias_z / ((beta + bias_n**0.5) / alpha)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_ROWS) -> Weights:
-    sample, name = append(labelled_sample(docs, labels, label, most), "features", T.BinaryType(), lambda b: pa.array(feature_lists(b.column("text")), pa.binary()))
-    rows = sample.select("draw", "doc_id", "label", name).toArrow().sort_by([("draw", "ascending"), ("doc_id", "ascending"), ("label", "ascending")])
-    lists = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column(name)]
-    return fit(lists, rows.column("label").to_numpy())
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Weights:
+    made, truth = labelled_sample(docs, labels, label, most, lambda b: pa.array(feature_lists(b.column("text")), pa.binary()), most_bytes)
+    return fit([np.frombuffer(x, np.uint32) for x in made], truth)
 
 
 def scores(column, model: Weights, dense: np.ndarray) -> np.ndarray:
