@@ -60,3 +60,15 @@ def test_escapes_are_reversible(turns):
     assert [(a.decode(), b.decode()) for a, b in chat.parse(data)] == turns
     assert [chat.unescape(data[s : s + n]).decode() for s, n in zip(start, length)] == [t for _, t in turns]
     assert data.count(chat.START) == len(turns)
+
+
+def test_stored_parts_in_any_order(spark, tmp_path):
+    """A conversation of several parts is one row again after its parts were stored in another order."""
+    long = "x" * (5 << 20)
+    turns = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", f"{i}{long}") for i in range(6)] + [(2, 0, "user", "hi"), (None, 0, "user", "lost")], "conv_id bigint, turn bigint, role string, text string")
+    made = C.format_chats(turns)
+    made.repartition(5, "part").orderBy("part", ascending=False).withColumn("n_turns", C.F.lit("clash")).write.parquet(f"{tmp_path}/chats")
+    stored = spark.read.parquet(f"{tmp_path}/chats")
+    assert stored.filter("conv_id = 1").count() > 1
+    want, got = (sorted(map(str, x.collect())) for x in (C.digest_chats(made, in_order=True), C.digest_chats(stored)))
+    assert got == want and len(got) == 3

@@ -10,7 +10,8 @@ Turns reach a task sorted by conversation; one that is longer than a batch goes
 grow with a conversation.
 
 Cases: null roles and texts are empty; a null conv_id is a conversation of its own; turns that tie are ordered by role,
-then text; repeated rows are repeated turns; extra columns are not read; an empty table gives no conversations.
+then text, null turns first; repeated rows are repeated turns; a very long text is a part of its own; extra columns are not
+read, whatever their names; an empty table gives no conversations.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 def format_chats(turns: DataFrame) -> DataFrame:
     """Rows conv_id, part, formatted, mask_start, mask_length: byte spans of assistants' texts in formatted, to learn from.
 
-    Parts of a conversation follow each other in one partition; nearly all have one.
+    Parts of a conversation are numbered from 0 in the order of its turns; nearly all have one.
     """
     schema = "conv_id bigint, part int, formatted binary, mask_start array<bigint>, mask_length array<bigint>"
 
@@ -120,8 +121,12 @@ def parse(formatted: bytes) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def digest_chats(formatted: DataFrame) -> DataFrame:
-    """A row for each conversation, read back from format_chats: counts and digests of its turns and of its loss mask."""
+def digest_chats(formatted: DataFrame, in_order: bool = False) -> DataFrame:
+    """A row for each conversation, read back from format_chats: counts and digests of its turns and of its loss mask.
+
+    Parts may come in any order and partition, as from stored tables; they are brought together by conversation and number.
+    in_order: formatted is format_chats' own plan, in which they stand together already.
+    """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def chars(data: bytes) -> int:
@@ -158,6 +163,9 @@ def digest_chats(formatted: DataFrame) -> DataFrame:
         if rows:
             yield batch_of(rows)
 
+    formatted = formatted.select("conv_id", "part", "formatted", "mask_start", "mask_length")
+    if not in_order:
+        formatted = bounded(formatted).repartition("conv_id").sortWithinPartitions("conv_id", "part")
     return formatted.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
