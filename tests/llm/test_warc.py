@@ -34,11 +34,23 @@ def test_round_trip(spark):
     assert all(bytes(r.payload).decode() == texts[r.page_id] for r in got if r.record_type == "response")
     assert {r.url for r in got if r.page_id == 1} == {"http://a/ü b\r\nX: y"} and {r.url for r in got if r.page_id == 2} == {None}
     # the files are plain gzip members that other readers take
-    for row in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect():
+    for row in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).collect():
         if row.content:
             assert gzip.decompress(bytes(row.content)).startswith(b"WARC/1.1\r\n")
 
 
+def test_urls_and_archives_of_bounded_size(spark):
+    """Urls come back as they were, escaped or not; a task begins a new archive when one is large enough."""
+    urls = ["http://a/%20b", "http://a/ b%20", "http://a/é", "x", "", None, "http://a/" + "y" * 50_000]
+    rows = [(i, u, hashlib.sha256(str(i).encode()).hexdigest() * 40) for i, u in enumerate(urls * 6)]
+    path = new_path(spark, "warc-small")
+    warc.write_archives(pages(spark, rows).coalesce(1), path, archive_bytes=4000)
+    got = warc.read_archives(spark, path).collect()
+    assert {r.page_id: r.url for r in got} == {i: u for i, u, _ in rows} and len(got) == len(rows)
+    files = [r.length for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).collect()]
+    assert len(files) > 2 and max(files) < 5000
+
+
 def test_empty_table(spark):
     assert warc.write_and_read(pages(spark, [])).collect() == []
 

@@ -3,12 +3,16 @@
 An archive is a file of gzip members, one for each record. The writer makes the members in Arrow batches and lets Spark's
 text writer put them out, so that archives land in any store Spark writes to: the last byte of a member is that of its
 length's high byte, which is zero for less than 16 MiB, and is written as the "line separator" (a longer member is
-followed by an empty one, which ends in a zero byte). The reader gets whole files from Spark's binaryFile source and
-inflates them piece by piece; it frames records by Content-Length and verifies their digests.
+followed by an empty one, which ends in a zero byte). A task begins a new archive after ARCHIVE_BYTES, so the reader, which
+gets whole files from Spark's binaryFile source, holds that much and a record at most; it inflates them piece by piece,
+frames records by Content-Length and verifies their digests.
 
 Cases: a null payload is empty; a null url leaves out WARC-Target-URI; a null page_id is written as `null`. Of pages
-with one payload of at least `least` bytes those with the largest page_id are responses, the others revisit it. Spaces,
-control characters and bytes beyond ASCII in a url are percent-encoded. Extra columns are not read.
+with one payload of at least `least` bytes those with the largest page_id are responses, the others revisit it, and so do
+repeated rows of other ids; rows that repeat the largest id are all responses. A long payload is one record, which must fit
+a row. Spaces, control characters and bytes beyond ASCII in a url are percent-encoded, and percent signs with them; a header
+of ours tells that, and reading takes it back. Extra columns are not read, whatever their names. An empty table writes
+archives without records, which give an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +35,9 @@ LEAST_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
 RECORD_ID = "urn:page:"
 PIECE = 1 << 16
+#: Bytes of members after which a task begins a new archive.
+ARCHIVE_BYTES = 64 << 20
+_PLAIN = "!#$&'()*+,/:;=?@[]~"
 
 
 def _digest(data: bytes) -> str:
@@ -43,8 +50,10 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
     if refers_to is None:
         block += payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{RECORD_ID}{'null' if page_id is None else page_id}>", f"WARC-Date: {date}"]
-    if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe="!#$%&'()*+,/:;=?@[]~")}")
+    if url is not None and quote(url, safe=_PLAIN + "%") == url:
+        head.append(f"WARC-Target-URI: {url}")
+    elif url is not None:
+        head += [f"WARC-Target-URI: {quote(url, safe=_PLAIN)}", "X-Escaped-URI: yes"]
     if refers_to is not None:
         head += [f"WARC-Refers-To: <{RECORD_ID}{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: {digest}", f"WARC-Block-Digest: {_digest(block)}", f"Content-Length: {len(block)}"]
@@ -118,23 +127,33 @@ def plan_records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return d.join(best, ["sha1", "size"], "left").select("page_id", "url", "html", "sha1", F.when(revisits, F.col("best").cast("string")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, date: str = DATE) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, date: str = DATE, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes a record for each page (page_id, url, html) into archives under path."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = written = 0
         for batch in batches:
             rows = zip(*(batch.column(c) for c in ("page_id", "url", "html", "sha1", "refers_to")))
-            out = []
+            out, number, held = [], [], 0
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(number, pa.int64())], ["member", "archive"])
+
             for page_id, url, html, sha1, refers_to in rows:
                 digest = "sha1:" + base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
                 out.append(member(record_bytes(page_id.as_py(), url.as_py(), html.as_py().encode(), refers_to.as_py(), digest, date))[:-1])
-                if sum(map(len, out[-64:])) > 16 << 20 or len(out) >= 512:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
-                    out = []
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+                number.append(archive)
+                held += len(out[-1])
+                written += len(out[-1])
+                if written >= archive_bytes:
+                    archive, written = archive + 1, 0
+                if held > 16 << 20 or len(out) >= 512:
+                    yield made()
+                    out, number, held = [], [], 0
+            yield made()
 
-    made = bounded(plan_records(pages, least)).mapInArrow(members, "member binary")
-    made.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 20_000).text(path)
+    made = bounded(plan_records(pages, least)).mapInArrow(members, "member binary, archive bigint")
+    made.select(F.col("member").cast("string"), "archive").write.option("lineSep", "\0").partitionBy("archive").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -151,14 +170,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     h = r.headers
                     payload, length = payload_of(r)
                     url = h.get("warc-target-uri")
-                    rows.append((ids(h["warc-record-id"]), None if url is None else unquote(url), h["warc-type"], length, base64.b32decode(h["warc-payload-digest"][5:]).hex(), ids(h.get("warc-refers-to")), payload))
+                    rows.append((ids(h["warc-record-id"]), unquote(url) if url and "x-escaped-uri" in h else url, h["warc-type"], length, base64.b32decode(h["warc-payload-digest"][5:]).hex(), ids(h.get("warc-refers-to")), payload))
                     held += len(payload)
                     if held > 8 << 20 or len(rows) >= 1000:
                         yield _batch(rows)
                         rows, held = [], 0
                 yield _batch(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(records, schema)
+    return bounded(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)).select("content").mapInArrow(records, schema)
 
 
 _TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
