@@ -6,9 +6,13 @@ for hosts on that of their domain. The strength of each level's prior comes from
 binomial noise would make them (the method of moments). A host is blocked when the lower bound of its posterior, the
 mean less z standard deviations, exceeds a rate.
 
+A host's domain and suffix are those of its name without user and port; an address is its own domain and suffix.
+
 Cases: a url that is null or has no `://` has an empty host and path and is judged by the reputation of the empty host.
 Pages without a label count for no outcome but are judged. Outcomes of an id that occurs twice are bad if one is. With
-no labelled pages the prior rate is one half and no host is blocked.
+no labelled pages the prior rate is one half and no host is blocked. Of rules of one length the first given wins. Pages
+that repeat count and are judged each; a very long url is read whole; other columns are not read, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 from weftgraph.stage import stage
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Suffixes of two labels under which anyone can register.
-TWO_LABELS = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")
+#: Names under a country's code under which anyone can register: they and the code are a suffix of two labels.
+SECOND = "ac|co|com|edu|go|gob|gouv|gov|ltd|mil|ne|net|nom|or|org|plc|sch"
+_TWO = rf"(^|\.)({SECOND})\.[a-z][a-z]$"
+_ADDRESS = r"^([0-9.]+|\[.*)$"
 Z, BLOCK_RATE = 1.645, 0.3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,13 +42,23 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def name_of(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def _last(host: Column, more: int) -> Column:
+    name = name_of(host)
+    n = F.when(name.rlike(_TWO), 2).otherwise(1) + more
+    return F.when(name.rlike(_ADDRESS), name).otherwise(F.array_join(F.slice(F.split(name, r"\."), -F.least(n, F.size(F.split(name, r"\."))), n), "."))
+
+
 def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABELS), two).otherwise(F.substring_index(host, ".", -1))
+    return _last(host, 0)
 
 
 def domain_of(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABELS), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    return _last(host, 1)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -115,8 +131,14 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z,
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, method).alias("verdict"), F.round("mean", 6).alias("bad_mean"), F.round("bound", 6).alias("bad_bound"))
 
 
-_two = ", ".join(f"'{x}'" for x in TWO_LABELS)
-_last = "array_to_string(list_slice(string_split(host, '.'), -{0}, -1), '.')".format
+_name = "regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '')"
+
+
+def _ends(more: int) -> str:
+    last = "array_to_string(list_slice(string_split(name, '.'), -{0}, -1), '.')".format
+    return f"case when regexp_matches(name, '{_ADDRESS}') then name when regexp_matches(name, '{_TWO}') then {last(2 + more)} else {last(1 + more)} end"
+
+
 _fits = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then " for _, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
 _by_len = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
 
@@ -133,8 +155,7 @@ with parts as (
 items as (select host, try_cast(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) as bigint) as item from parts),
 bad as (select doc_id as item, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels where doc_id is not null group by doc_id),
 h0 as (select host, cast(count(bad) as double) as n, cast(coalesce(sum(bad), 0) as double) as k from items left join bad using (item) group by host),
-h as (select host, case when {_last(2)} in ({_two}) then {_last(3)} else {_last(2)} end as domain,
-  case when {_last(2)} in ({_two}) then {_last(2)} else {_last(1)} end as suffix, n, k from h0),
+h as (select host, {_ends(1)} as domain, {_ends(0)} as suffix, n, k from (select *, {_name} as name from h0)),
 r as (select (sum(k) + 1) / (sum(n) + 2) as rate from h),
 s as (select suffix, sum(n) as n, sum(k) as k from h group by suffix),
 sk as (select any_value(rate) as rate, {_rho("a", "rate")} from s, r),
