@@ -15,10 +15,11 @@ def rows():
     return [(i, " ".join(vocabulary[int(x)] for x in np.minimum(r.geometric(0.08, r.integers(1, 60)), 59))) for i in range(150)] + [(i + 1000 if i else i, *x) for i, *x in ODD]
 
 
-@pytest.mark.parametrize("chunk, keys", [(2_000_000, 2_000_000), (400, 300)])
-def test_against_plain_counts(spark, chunk, keys):
+@pytest.mark.parametrize("chunk, fan", [(2_000_000, 7), (400, 7), (400, 1), (400, 2)])
+def test_against_plain_counts(spark, chunk, fan):
+    """With one level of adding up, and with several."""
     data = rows()
-    df, m = L.fit_and_score(documents(spark, data).repartition(3), chunk, keys)
+    df, m = L.fit_and_score(documents(spark, data).repartition(3), chunk, fan)
     got = df.collect()
     tokens = [(i, [*words(lower(t)), None]) for i, t, *_ in data]
     train = [t for i, t in tokens if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
@@ -66,6 +67,7 @@ def test_weights_are_those_of_the_deleted_counts(spark):
 def test_packing_round_trip():
     for x in (np.zeros(0, np.int64), np.array([5, 0, 2**60], np.int64), np.array([True, False])):
         assert np.array_equal(L.unpack(L.pack(x)), x)
+    assert np.array_equal(L.unpack(L.pack(np.array([-3, 200, 0]))), [-3, 200, 0])
     s = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
     assert np.array_equal(L.unpack_sorted(L.pack_sorted(s)), s)
 

@@ -1,18 +1,21 @@
 """Language-model scores by deleted interpolation of bigrams, unigrams and a uniform share.
 
 Counts cover all training documents and every word pair; nothing is pruned. Documents are read in chunks, whose words are
-numbered once. Each chunk asks for the counts of its words and pairs, each once, in hash order: a sorted list of 64-bit
-keys with the chunk's own training counts, cut by key range. A range gathers the lists of all chunks, adds up, and
-answers each with the totals in the order asked, so keys travel once, a word that all documents share costs each chunk one
-entry, and no task holds more than a range or a chunk.
+numbered once. Each chunk asks for the counts of its words and pairs, each once: a sorted list of 64-bit keys with the
+chunk's own training counts. A list is cut into at most FAN pieces by the next bits of its keys, and the pieces of about FAN
+lists meet in a node, which adds them up. As long as there is more than one group of lists, the sums are lists of their own
+and go on by further bits; then totals go back the same way, each piece in the order asked. So a chunk sends a bounded
+number of rows whatever the input, a key travels once a level (one level up to FAN chunks, two up to FAN squared), a word
+that all documents share costs each chunk one entry, and no task holds more than the pieces of a node or a chunk.
 
 The mixture has weights for each bucket of the context's count (its binary logarithm). They are learned by expectation
 maximisation on held-out counts: each training occurrence is predicted from counts from which it was deleted. For that
 occurrences are counted by bucket and by half-octaves of both estimates, a table of bounded size.
 
 Words part at white space, A-Z in lower case; each text ends in one end token, whose context is the last word, or the
-start for a text without words. Cases: a null text is empty and has the end token only; a null doc_id is a training
-document; rows that repeat count each; without training documents probabilities are uniform; other columns are not read.
+start for a text without words. Cases: a null text is empty and has the end token only; a long text is scored whole, and its
+chunk is as long as it is; a null doc_id is a training document; rows that repeat count each; without training documents
+probabilities are uniform; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,39 +34,18 @@ from pyspark.sql import functions as F
 
 from weftgraph.stage import stage
 from weftgraph.llm.batches import bounded
+from weftgraph.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 from weftgraph.llm.words import BY_SPACE, LOWER, join_hashes, words
 
 FOLDS, HELD_OUT = 7, 2
-CHUNK_TOKENS = 2_000_000
-RANGE_KEYS = 2_000_000
+CHUNK_TOKENS = 1 << 20
+#: Bits of keys that part a list's pieces at a level; FAN is two to their power.
+FAN_BITS = 7
 EM_ROUNDS = 50
 #: Tokens in a pass of arithmetic.
 PIECE = 1 << 18
 BUCKETS, STEPS = 48, 96
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
-_ZSTD = pa.Codec("zstd", 1)
-
-
-def pack(x: np.ndarray) -> bytes:
-    """Whole numbers as compressed byte planes."""
-    x = np.ascontiguousarray(x)
-    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() if len(x) else b""
-    return x.dtype.str.encode().ljust(4) + len(x).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    kind, n = np.dtype(bytes(data[:4]).decode().strip()), int.from_bytes(data[4:12], "little")
-    planes = _ZSTD.decompress(data[12:], n * kind.itemsize, asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    return pack(np.diff(x, prepend=np.uint64(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64)
-
 
 def bucket_of(count: np.ndarray) -> np.ndarray:
     """0 for 0, else 1 and the whole binary logarithm."""
@@ -152,9 +134,24 @@ class Chunk:
         return keys[begin], order, begin
 
 
-def requests(parts: DataFrame, ranges: int) -> DataFrame:
-    """kind (0 words, 1 pairs), range, chunk, keys, counts: what each chunk asks, cut by the top bits of keys."""
-    shift = np.uint64(64 - int(math.log2(ranges)))
+_PIECES = "kind int, grp bigint, prefix bigint, next bigint, keys binary, counts binary"
+_REPLIES = "kind int, grp bigint, prefix bigint, next bigint, totals binary, distinct bigint"
+
+
+def _cut(kind: int, grp: int, prefix: int, keys: np.ndarray, counts: np.ndarray, level: int, bits: int) -> list[tuple]:
+    """The pieces of a sorted list whose keys agree in the bits of the levels before."""
+    digit = (keys >> np.uint64(64 - bits * (level + 1))) & np.uint64((1 << bits) - 1)
+    cut = np.searchsorted(digit, np.arange((1 << bits) + 1, dtype=np.uint64))
+    return [(kind, grp, prefix, prefix << bits | d, pack_sorted(keys[a:b]), pack(counts[a:b])) for d, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 6, kinds)], [c.split()[0] for c in _PIECES.split(", ")])
+
+
+def requests(parts: DataFrame, bits: int = FAN_BITS) -> DataFrame:
+    """Pieces of what each chunk (grp) asks: kind 0 for words, 1 for pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,37 +160,68 @@ def requests(parts: DataFrame, ranges: int) -> DataFrame:
                 keys, order, begin = c.pair_keys()
                 seen = np.add.reduceat(c.train[order].astype(np.int64), begin)
                 alone = np.bincount(c.at[c.train], minlength=len(c.vocabulary))
-                out = []
                 for kind, k, n in ((0, c.vocabulary, alone), (1, keys, seen)):
-                    cut = np.searchsorted(k >> shift if ranges > 1 else np.zeros(len(k), np.uint64), np.arange(ranges + 1, dtype=np.uint64))
-                    out += [(kind, g, r["chunk"], pack_sorted(k[a:b]), pack(n[a:b])) for g, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["kind", "range", "chunk", "keys", "counts"])
+                    yield _piece_batch(_cut(kind, r["chunk"], 0, k, n, 0, bits))
 
-    names = ["chunk", "lengths", "train", "vocabulary", "often", "words"]
-    return parts.select(*names).mapInArrow(run, "kind int, range bigint, chunk bigint, keys binary, counts binary")
+    return parts.select("chunk", "lengths", "train", "vocabulary", "often", "words").mapInArrow(run, _PIECES)
 
 
-def answers(asked: DataFrame) -> DataFrame:
-    """kind, range, chunk, totals, distinct: totals in the order asked; distinct: a range's keys that training has (told once)."""
+def _added(group: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces in order and their keys, all keys once, their sums, and the place of each piece's keys among them."""
+    group = group.sort_values(["grp", "prefix"], ignore_index=True)
+    lists = [unpack_sorted(x) for x in group["keys"]]
+    keys = np.concatenate(lists)
+    counts = np.concatenate([unpack(x).astype(np.int64) for x in group["counts"]])
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return group, lists, keys[new], np.add.reduceat(counts[order], np.flatnonzero(new)), back
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk", ignore_index=True)
-        lists = [unpack_sorted(x) for x in group["keys"]]
-        keys, counts = np.concatenate(lists), np.concatenate([unpack(x) for x in group["counts"]])
-        order = np.argsort(keys)
-        keys = keys[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        total = np.add.reduceat(counts[order], np.flatnonzero(new))
-        back = np.empty(len(keys), np.int64)
-        back[order] = total[np.cumsum(new) - 1]
-        cut = np.cumsum([len(x) for x in lists])[:-1]
-        told = np.zeros(len(group), np.int64)
-        told[0] = np.count_nonzero(total)
-        return pd.DataFrame({"kind": group["kind"], "range": group["range"], "chunk": group["chunk"], "totals": [pack(x) for x in np.split(back, cut)], "distinct": told})
 
-    return asked.groupBy("kind", "range").applyInPandas(add, "kind int, range bigint, chunk bigint, totals binary, distinct bigint")
+def _replied(group: pd.DataFrame, lists: list[np.ndarray], totals: np.ndarray, back: np.ndarray, distinct: int) -> pd.DataFrame:
+    cut = np.cumsum([len(x) for x in lists])[:-1]
+    told = np.zeros(len(group), np.int64)
+    told[0] = distinct
+    return pd.DataFrame({"kind": group["kind"], "grp": group["grp"], "prefix": group["prefix"], "next": group["next"], "totals": [pack(x) for x in np.split(totals[back], cut)], "distinct": told})
+
+
+def answers(pieces: DataFrame, groups: int, bits: int = FAN_BITS, level: int = 0) -> DataFrame:
+    """For each piece the totals of its keys over all groups, in the order asked.
+
+    groups: how many lists there are for a prefix. distinct: keys that training has, told once for each.
+    """
+    after = max(1, math.ceil(groups / 2**bits))
+    pieces = pieces.withColumn("to", F.pmod(F.xxhash64("grp", F.lit(level)), F.lit(after)))
+    if after == 1:
+
+        def reply(group: pd.DataFrame) -> pd.DataFrame:
+            group, lists, _, totals, back = _added(group)
+            return _replied(group, lists, totals, back, int(np.count_nonzero(totals)))
+
+        return pieces.groupBy("kind", "next").applyInPandas(reply, _REPLIES)
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        kind, to, nxt = (int(group[c].iloc[0]) for c in ("kind", "to", "next"))
+        _, _, keys, totals, _ = _added(group)
+        return pd.DataFrame([(kind, to, nxt, pack_sorted(keys), pack(totals))], columns=["kind", "grp", "prefix", "keys", "counts"])
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield _piece_batch(_cut(r["kind"], r["grp"], r["prefix"], unpack_sorted(r["keys"]), unpack(r["counts"]), level + 1, bits))
+
+    def give_back(mine: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        group, lists, _, _, back = _added(mine)
+        totals = np.concatenate([unpack(x).astype(np.int64) for x in above.sort_values("next")["totals"]])
+        return _replied(group, lists, totals, back, int(above["distinct"].sum()))
+
+    pieces = stage(pieces, "lm-pieces")
+    sums = stage(pieces.groupBy("kind", "to", "next").applyInPandas(merge, "kind int, grp bigint, prefix bigint, keys binary, counts binary"), "lm-sums")
+    above = answers(sums.mapInArrow(go_on, _PIECES), after, bits, level + 1)
+    return pieces.groupBy("kind", "to", "next").cogroup(above.groupBy("kind", "grp", "prefix")).applyInPandas(give_back, _REPLIES)
 
 
 _JOINED = "chunk bigint, ids binary, gone binary, lengths binary, words binary, single binary, pair binary, distinct bigint, cells array<int>, cell_counts array<bigint>"
@@ -208,13 +236,13 @@ def joined(parts: DataFrame, replies: DataFrame) -> DataFrame:
     """Chunks with the totals of their words, each token's pair total, and training occurrences by cell, deleted from the counts."""
     names = ["chunk", "ids", "gone", "lengths", "train", "vocabulary", "often", "words"]
     zero = F.lit(0).cast("bigint")
-    left = parts.select(*names, F.lit(-1).alias("kind"), zero.alias("range"), F.lit(None).cast("binary").alias("totals"), zero.alias("distinct"), "all_tokens")
-    right = replies.select("chunk", *(F.lit(None).cast("binary").alias(c) for c in names[1:]), "kind", "range", "totals", "distinct", zero.alias("all_tokens"))
+    left = parts.select(*names, F.lit(-1).alias("kind"), zero.alias("next"), F.lit(None).cast("binary").alias("totals"), zero.alias("distinct"), "all_tokens")
+    right = replies.select(F.col("grp").alias("chunk"), *(F.lit(None).cast("binary").alias(c) for c in names[1:]), "kind", "next", "totals", "distinct", zero.alias("all_tokens"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         r = group[group["kind"] == -1].iloc[0]
         c = Chunk.of(r)
-        single, total = (np.concatenate([unpack(x) for x in group[group["kind"] == k].sort_values("range")["totals"]]) for k in (0, 1))
+        single, total = (np.concatenate([unpack(x).astype(np.int64) for x in group[group["kind"] == k].sort_values("next")["totals"]]) for k in (0, 1))
         _, order, begin = c.pair_keys()
         pair = np.empty(len(order), np.int64)
         pair[order] = np.repeat(total, np.diff(np.append(begin, len(order))))
@@ -272,11 +300,11 @@ def scores(parts: DataFrame, weights: np.ndarray, tokens: int, distinct: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, gone, n = unpack(r["ids"]), unpack(r["gone"]), unpack(r["lengths"]).astype(np.int64)
+                ids, gone, n = unpack(r["ids"]).astype(np.int64), unpack(r["gone"]), unpack(r["lengths"]).astype(np.int64)
                 first = np.zeros(int(n.sum()), bool)
                 begin = np.cumsum(n) - n
                 first[begin] = True
-                single, at, pair = unpack(r["single"]), unpack(r["words"]), unpack(r["pair"])
+                single, at, pair = unpack(r["single"]).astype(np.int64), unpack(r["words"]), unpack(r["pair"])
                 word = single[at]
                 context = np.empty_like(word)
                 context[1:] = word[:-1]
@@ -304,12 +332,12 @@ class Model:
     weights: np.ndarray
 
 
-def fit_and_score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, range_keys: int = RANGE_KEYS) -> tuple[DataFrame, Model]:
+def fit_and_score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, fan_bits: int = FAN_BITS) -> tuple[DataFrame, Model]:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs; and the model."""
     parts = stage(chunks(docs, chunk_tokens), "lm-chunks")
-    tokens, everything = parts.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    ranges = 1 << max(0, math.ceil(math.log2(max(1, everything / range_keys))))
-    both = stage(joined(parts.withColumn("all_tokens", F.lit(tokens).cast("bigint")), answers(requests(parts, ranges))), "lm-joined")
+    tokens, n = parts.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    replies = stage(answers(requests(parts, fan_bits), n, fan_bits), "lm-replies")
+    both = stage(joined(parts.withColumn("all_tokens", F.lit(tokens).cast("bigint")), replies), "lm-joined")
     distinct = both.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     cells = both.select(F.explode(F.arrays_zip("cells", "cell_counts")).alias("x")).groupBy("x.cells").agg(F.sum("x.cell_counts").alias("n"))
     weights = learn_weights({r[0]: r[1] for r in cells.collect()}, distinct)
