@@ -6,13 +6,14 @@ fractions are rounded by pivots: two documents meet, words move from one to the
 are whole, and the other goes on to the next. A pivot keeps the words of the pair, and each document's expected copies,
 so a source's words are off its target by less than one document's.
 
-Leaves of a reduction tree (a source's documents by hash) are rounded one after the other in sorted order; each leaves at
+Leaves of a reduction tree (about LEAF of a source's documents, by hash) are rounded one after the other in sorted order; each leaves at
 most one fraction, and those meet in the next level, FAN_IN leaves in a node, until a source has one node, whose last
 fraction is drawn. Tasks hold one fraction at a time, so neither a hot source nor a hot leaf needs memory.
 
-Draws are hashes of ids and of the seed, so reruns agree. Cases: a null text has no words, and documents without words
-are taken a whole number of times and move nothing; a null source is a source, the last; rows that repeat count each; an
-empty table gives an empty result.
+Draws are hashes of ids, sizes, texts and of the seed, so reruns agree. Cases: a null text has no words, and documents
+without words are taken a whole number of times and move nothing; a null source is a source, the last; a null id is an id
+like others; rows that repeat count each, and those that agree in id and text meet in one leaf, one at a time; a long text
+is counted whole; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ from weftgraph.llm.words import mix
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
-LEAF, FAN_IN = 2000, 500
+LEAF, FAN_IN = 1000, 500
 SEED = 20260101
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the number of words in the text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    """doc_id, source, size (the number of words in the text), mark (a hash of id and text)."""
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64("doc_id", "text").alias("mark"))
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -59,65 +60,73 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return stage(table.select("source", "source_size", target.alias("target"), "docs"), "mix-targets")
 
 
-_OUT = "source string, node bigint, doc_id bigint, size bigint, base int, extra int, rest double"
-_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-_NAMES = ["source", "node", "doc_id", "size", "base", "extra", "rest"]
+_OUT = "source string, node bigint, doc_id bigint, size bigint, mark bigint, base int, extra int, rest double"
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
+_NAMES = ["source", "node", "doc_id", "size", "mark", "base", "extra", "rest"]
+
+
+def draws(marks: np.ndarray, salt: int) -> tuple[list[float], list[float]]:
+    """For each row a number from 0 to 1 for its pivot, and another for the case that its fraction is the last one left."""
+    h = mix(marks.astype(np.uint64) + np.uint64(salt))
+    return tuple(((x >> np.uint64(11)) / 2.0**53).tolist() for x in (h, mix(h ^ np.uint64(0x6A09E667F3BCC909))))
 
 
 def _rounds(salt: int, last: bool):
     """Rounds rows sorted by (source, node): extra is 0 or 1, or null for a node's one fraction left, then in rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None  # the row whose fraction is open
+        held: dict | None = None  # the row whose fraction is open
 
-        def close(out: list, row: list) -> None:
+        def close(out: list, row: dict) -> None:
             if last:
-                row[5], row[6] = int(row[7] < row[6]), None
-            out.append(row[:7])
+                row["extra"], row["rest"] = int(row["u"] < row["rest"]), None
+            out.append(row)
 
         for batch in batches:
             out: list = []
-            rows = [batch.column(c).to_pylist() for c in ("source", "node", "doc_id", "size", "base", "rest")]
-            ids = np.array([0 if x is None else x for x in rows[2]], np.int64).astype(np.uint64)
-            draws = (mix(mix(ids + np.uint64(salt)) ^ np.array(rows[3], np.int64).astype(np.uint64)) >> np.uint64(11)) / 2.0**53
-            for source, node, doc_id, size, base, rest, u in zip(*rows, draws.tolist()):
-                row = [source, node, doc_id, size, base, None, rest, u]
+            for row, draw, end in zip(batch.to_pylist(), *draws(batch.column("mark").to_numpy(), salt)):
+                row |= {"extra": None, "u": end}
+                size, rest = row["size"], row["rest"]
                 if size == 0 or rest <= 0.0 or rest >= 1.0:
-                    row[5], row[6] = int(rest >= 1.0), None
-                    out.append(row[:7])
+                    row["extra"], row["rest"] = int(rest >= 1.0), None
+                    out.append(row)
                     continue
-                if held is None or held[0] != source or held[1] != node:
+                if held is None or (held["source"], held["node"]) != (row["source"], row["node"]):
                     if held is not None:
                         close(out, held)
                     held = row
                     continue
-                p, s = held[6], held[3]
+                p, s = held["rest"], held["size"]
                 up, down = min((1 - p) * s, rest * size), min(p * s, (1 - rest) * size)
-                if u * (up + down) < down:  # the held one gains `up` words
+                if draw * (up + down) < down:  # the held one gains `up` words
                     whole_held, whole_row = (1 - p) * s <= rest * size, rest * size <= (1 - p) * s
                     p, rest = (1.0 if whole_held else p + up / s), (0.0 if whole_row else rest - up / size)
                 else:
                     whole_held, whole_row = p * s <= (1 - rest) * size, (1 - rest) * size <= p * s
                     p, rest = (0.0 if whole_held else p - down / s), (1.0 if whole_row else rest + down / size)
-                held[6], row[6] = p, rest
+                held["rest"], row["rest"] = p, rest
                 if whole_held:
-                    held[5], held[6] = int(p), None
-                    out.append(held[:7])
+                    held["extra"], held["rest"] = int(p), None
+                    out.append(held)
                     held = row
                 if whole_row:
-                    row[5], row[6] = int(rest), None
-                    out.append(row[:7])
+                    row["extra"], row["rest"] = int(rest), None
+                    out.append(row)
                     held = None if held is row else held
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], _NAMES)
+                yield _made(out)
         if held is not None:
             out = []
             close(out, held)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], _NAMES)
+            yield _made(out)
 
     return run
 
 
+def _made(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(_NAMES, _TYPES)], _NAMES)
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, leaf: int = LEAF, fan_in: int = FAN_IN) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, copies, taken."""
     sized = stage(sizes(docs), "mix-sizes")
@@ -125,18 +134,18 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     nodes = math.ceil((targets.agg(F.max("docs")).first()[0] or 1) / leaf)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     join = sized["source"].eqNullSafe(targets["source"])
-    node = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(nodes))
-    rows = sized.join(targets, join).select(sized["source"], node.alias("node"), "doc_id", "size", F.floor(ratio).cast("int").alias("base"), (ratio - F.floor(ratio)).alias("rest"))
+    node = F.pmod(F.xxhash64("mark", F.lit(seed)), F.lit(nodes))
+    rows = sized.join(targets, join).select(sized["source"], node.alias("node"), "doc_id", "size", "mark", F.floor(ratio).cast("int").alias("base"), (ratio - F.floor(ratio)).alias("rest"))
     done, level = None, 0
     while True:
         run = _rounds((seed * 1_000_003 + level) & (2**63 - 1), nodes == 1)
-        made = stage(rows.repartition("source", "node").sortWithinPartitions("source", "node", "doc_id", "size").mapInArrow(run, _OUT), f"mix-level{level}")
+        made = stage(rows.repartition("source", "node").sortWithinPartitions("source", "node", "mark", "size").mapInArrow(run, _OUT), f"mix-level{level}")
         whole = made.filter("extra is not null")
         done = whole if done is None else done.unionByName(whole)
         if nodes == 1:
             break
         nodes, level = math.ceil(nodes / fan_in), level + 1
-        rows = made.filter("extra is null").select("source", F.pmod(F.col("node"), F.lit(nodes)).alias("node"), "doc_id", "size", "base", "rest")
+        rows = made.filter("extra is null").select("source", F.pmod(F.col("node"), F.lit(nodes)).alias("node"), "doc_id", "size", "mark", "base", "rest")
     copies = (F.col("base") + F.col("extra")).cast("bigint")
     join = done["source"].eqNullSafe(targets["source"])
     return done.join(targets, join).select("doc_id", done["source"], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
