@@ -259,3 +259,41 @@ def test_sample_prefers_hubs(spark):
 def test_filters_reach_the_scan(spark, sf_dir):
     plan = R.capped(R.find_nodes(fixtures.build(spark, sf_dir), "country"))._jdf.queryExecution().executedPlan().toString()
     assert "o_orderkey" not in plan
+
+
+def test_capped_rules_tell_how_many_match(spark):
+    """300 matches: 200 rows, a count of 300, and truncated."""
+    e = [("Hub", f"N{i:03}", "sends aid to") for i in range(300)] + [(f"N{i:03}", f"N{(i + 1) % 300:03}", "knows") for i in range(300)]
+    graph = g(spark, e, [("Hub", "country"), *((f"N{i:03}", "person") for i in range(300))]).staged()
+    for text in ("edges where label contains aid", "neighbors of hub", "nodes with degree >= 3", "nodes with degree>=3", "successors of Hub", "find persons", "hub nodes with degree 3", "nodes with confidence >= 0.5", "ego of hub hops 1"):
+        a = gql.answer(graph, text)
+        if text == "nodes with degree>=3":
+            assert a.kind == "error"
+        else:
+            assert (len(a.rows), a.truncated) == (200, True) and a.count in (300, 301), text
+    assert gql.answer(graph, "nodes with degree >300").count == 0 and gql.answer(graph, "edges between hub and n000").truncated is False
+
+
+def test_paths_of_any_length(spark):
+    e = [(f"N{i:03}", f"N{i + 1:03}", "l") for i in range(12)]
+    graph = g(spark, e)
+    assert P.path_summary(P.shortest_path(graph, "N000", "N012"), "N000", "N012").select("length", "directed").first() == (12, True)
+    assert P.path_summary(P.shortest_path(graph, "N012", "N000"), "N012", "N000").select("length", "directed").first() == (12, False)
+
+
+def test_forms_of_the_language():
+    say = lambda t: (lambda q: (q.kind, q.params))(gql.parse(t))
+    assert say("Show PATH from  A to b to C") == ("path", {"a": "a", "b": "b to c"})
+    assert say("path from 'new york' to \"Rome\"") == ("path", {"a": "new york", "b": "rome"})
+    assert say("incoming of x")[0] == "predecessors" and say("neighbours of x y") == ("neighbors", {"a": "x y"})
+    assert say("ego of a b hops 3") == ("ego", {"a": "a b", "n": "3"}) and say("ego of hops") == ("ego", {"a": "hops"})
+    assert say("node with degree >=5") == say("nodes with degree >= 5 please") == ("degree", {"op": ">=", "n": "5"})
+    assert say("nodes with confidence < .5") == ("confidence", {"op": "<", "n": ".5"})
+    assert say("list edges from a to b") == ("edges_between", {"a": "a", "b": "b"})
+    assert say("edges with label trade deal") == ("edges_label", {"text": "trade deal"}) and say("edge label contains") == ("edges_label", {"text": "contains"})
+    assert say("count edges between a and b")[0] == "count_between" and say("count edges") == ("count", {"group": "edges"})
+    assert say("find people that trade with x") == ("find_that", {"group": "people", "verb": "trade", "a": "with x"}) and say("find people") == ("find", {"group": "people"})
+    assert say("orphan nodes")[0] == "isolated" and say("hub nodes with degree 4") == ("hubs", {"n": "4"}) and say("?")[0] == "help"
+    for bad in ("", "nodes", "path from a", "top x nodes by degree", "nodes with degree 5", "help me"):
+        with pytest.raises(gql.QueryError):
+            gql.parse(bad)

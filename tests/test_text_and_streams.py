@@ -4,6 +4,7 @@ import re
 import zipfile
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from weftgraph.sources import documents as D
 from weftgraph.sources import nodelink, sinks
 from weftgraph.stage import new_path
 from weftgraph.streaming import windows as W
-from weftgraph.streaming.ingest import GraphStore, delta, feed_totals, ingest, once_per_url, statuses
+from weftgraph.streaming.ingest import GraphStore, delta, feed_totals, ingest, ingest_batch, once_per_url, statuses
 
 
 def plain_chunks(text, most, overlap):
@@ -104,9 +105,23 @@ def test_injection(spark):
 
 
 def test_url_allowed(spark):
-    urls = ["http://example.com/x", "HTTPS://Example.com", "ftp://example.com", "http://localhost/x", "http://10.0.0.1/", "http://[::1]/", "http://8.8.8.8/", "http://user@192.168.1.1:80/", "http://169.254.169.254/", "http:///x", None, "http://a.local"]
+    urls = ["http://example.com/x", "HTTPS://Example.com", "ftp://example.com", "http://localhost/x", "http://10.0.0.1/", "http://[::1]/", "http://8.8.8.8/", "http://user@192.168.1.1:80/", "http://169.254.169.254/", "http:///x", None, "http://a.local", "http://2130706433/", "http://0x7f.0.0.1/", "http://127.1/", "http://0177.0.0.1/x", "http://[::ffff:10.0.0.1]/", "http://①②⑦.0.0.1/", "http://134744072/", "http://cafe.example/", "http://u@a@127.1/", "http://1.2.3.4.5/"]
     df = spark.createDataFrame([(x,) for x in urls], "u string")
-    assert [r[0] for r in df.select(D.url_allowed(F.col("u"))).collect()] == [True, True, False, False, False, False, True, False, False, False, False, False]
+    assert [r[0] for r in df.select(D.url_allowed(F.col("u"))).collect()] == [True, True, False, False, False, False, True, False, False, False, False, False, False, False, False, False, False, False, True, True, False, False]
+
+
+def test_redirects_are_checked(monkeypatch):
+    import urllib.request
+
+    from weftgraph.sources import fetch
+
+    monkeypatch.setattr(fetch.socket, "getaddrinfo", lambda host, port, proto: [(0, 0, 0, "", ("10.0.0.9" if host == "inside.example" else "93.184.216.34", port))])
+    fetch.check_url("http://example.com/")
+    for bad in ("http://inside.example/", "http://127.1/", "ftp://example.com/", "file:///etc/passwd"):
+        with pytest.raises(ValueError):
+            fetch.check_url(bad)
+        with pytest.raises(ValueError):
+            fetch._Checked().redirect_request(urllib.request.Request("http://example.com/"), None, 302, "", {}, bad)
 
 
 def test_context_text(spark):
@@ -126,6 +141,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.docx").write_bytes(buf.getvalue())
     (tmp_path / "c.docx").write_bytes(b"broken")
     (tmp_path / "d.exe").write_bytes(b"x")
+    (tmp_path / "bad.md").write_bytes(b"a\xffb\xc3")
+    assert [r.text for r in D.files(spark, str(tmp_path)).filter("kind = 'md'").collect()] == ["ab"]
+    (tmp_path / "bad.md").unlink()
     got = {r.path[-5:]: (r.text, r.error) for r in D.files(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": ("héllo", None), ".docx": got[".docx"], "d.exe": (None, "unknown kind")}
     texts = {r.text for r in D.files(spark, str(tmp_path)).filter("kind = 'docx'").collect()}
@@ -136,6 +154,10 @@ def test_feeds(spark, tmp_path):
     items = "".join(f"<item><title>t{i}</title><link>http://x/{i}</link><description>d</description><pubDate>p</pubDate></item>" for i in range(5))
     (tmp_path / "f.xml").write_text(f"<rss><channel>{items}</channel></rss>")
     assert [r.title for r in D.feed_entries(spark, str(tmp_path / "f.xml"), 3).orderBy("rn").collect()] == ["t0", "t1", "t2"]
+    entries = "".join(f'<entry><title>a{i}</title><link rel="self" href="http://s/{i}"/><link href="http://y/{i}"/><summary>s</summary><updated>u</updated></entry>' for i in range(4))
+    (tmp_path / "g.xml").write_text(f'<feed xmlns="http://www.w3.org/2005/Atom">{entries}</feed>')
+    assert [(r.title, r.link, r.summary, r.published) for r in D.feed_entries(spark, str(tmp_path / "g.xml"), 2).orderBy("rn").collect()] == [("a0", "http://y/0", "s", "u"), ("a1", "http://y/1", "s", "u")]
+    assert D.default_feeds(spark).count() == 4
     feeds = spark.createDataFrame([("u1", "a")], "url string, name string")
     both = D.add_feeds(feeds, spark.createDataFrame([("u1", "z"), ("u2", "b"), ("u2", "b")], "url string, name string"))
     assert sorted(map(tuple, both.collect())) == [("u1", "a"), ("u2", "b")] and D.remove_feed(both, "u1").count() == 1
@@ -195,11 +217,43 @@ def test_sixty_first_request_is_too_many(spark):
 def test_streaming_limiter(spark, tmp_path):
     at = str(tmp_path / "in")
     spark.createDataFrame([("k", float(i)) for i in range(5)] + [("j", 0.0)], "key string, t double").coalesce(1).write.parquet(at)
-    q = W.limited(spark.readStream.schema("key string, t double").parquet(at), limit=3, seconds=60).writeStream.format("memory").queryName("lim").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = W.limited(spark.readStream.schema("key string, t double").parquet(at), limit=3, seconds=60, idle=None).writeStream.format("memory").queryName("lim").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.sql("select key, t, admitted from lim").collect())) == [("j", 0.0, True)] + [("k", float(i), i < 3) for i in range(5)]
 
 
+def test_limiter_goes_by_the_rule_of_the_batch_form():
+    """Rejected events count too, an event exactly as old as the window counts, and idle keys are given a time to live."""
+    times = [0, 10, 20, 30, 61, 70, 80, 81, 200, 260]
+
+    class Kept:
+        def __init__(self):
+            self.rows = []
+
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows)
+        clear = lambda self: self.rows.clear()
+
+        def put(self, rows):
+            self.rows = rows
+
+    kept, asked = Kept(), []
+
+    class Handle:
+        def getListState(self, name, schema, ttlDurationMs):
+            asked.append(ttlDurationMs)
+            return kept
+
+    limiter = W.SlidingLimiter(3, 60)
+    limiter.init(Handle())
+    got = []
+    for t in times:  # a batch for each
+        for x in limiter.handleInputRows(("k",), iter([pd.DataFrame({"t": [float(t)]})]), None):
+            got += x["admitted"].tolist()
+    assert got == [sum(t - 60 <= u <= t for u in times[: i + 1]) <= 3 for i, t in enumerate(times)] and False in got
+    assert asked == [600_000] and len(kept.rows) <= 3
+
+
 def test_ingest_stream_is_the_same_after_a_restart(spark, tmp_path):
     src, schema = tmp_path / "docs", "doc_id bigint, text string"
     run = lexicon_extractor({"Iran": "country", "Peru": "country", "Ann": "person"}, {"sanctions": "sanctions", "visits": "visits"})
@@ -247,3 +301,38 @@ def test_windows(spark):
     scores = spark.createDataFrame([("a", 1, 80.0), ("a", 2, 90.0), ("a", 3, 10.0), ("a", 4, 75.0)], "id string, ts int, score double").withColumn("threshold", F.lit(75.0))
     assert sorted(r.ts for r in W.alerts(scores).collect()) == [1, 4]
     assert W.debounced(df, "key", 700).count() == 2
+
+
+def test_article_text(spark):
+    long = "word " * 60
+    df = spark.createDataFrame([(f"<body><header>h</header><nav>n</nav><p>{long}</p><footer>f</footer></body>",), ("<p>short</p>",), (None,)], "h string")
+    assert [r[0] for r in df.select(X.article_text(F.col("h"))).collect()] == [f"h {long}".strip(), " short ", None]
+
+
+def test_store_refuses_gaps_and_other_checkpoints(spark):
+    run = lexicon_extractor({"Iran": "country", "Peru": "country", "Ann": "person"}, {"sanctions": "sanctions"})
+    docs = lambda *rows: spark.createDataFrame(list(rows), "doc_id bigint, text string")
+    store = GraphStore(spark, new_path(spark, "store"))
+    ingest_batch(store, run, docs((9_300_000_000_000, "Iran sanctions Peru."), (None, "Ann")), 0)
+    ingest_batch(store, run, docs((1, "Ann sanctions Iran. Iran")), 1)
+    with pytest.raises(ValueError):
+        ingest_batch(store, run, docs((2, "Peru")), 5)
+    with pytest.raises(ValueError):
+        ingest_batch(store, run, docs((2, "Peru")), 0)
+    g, seen = store.load(1)
+    assert sorted((r.src, r.dst) for r in g.e.collect()) == [("Ann", "Iran"), ("Iran", "Peru")] and seen.count() == 5
+    assert [r.id for r in g.v.orderBy("seq").collect()][-1] != "Ann"  # a null id comes first
+
+
+def test_store_keeps_few_versions_and_all_keys(spark):
+    store, g = GraphStore(spark, new_path(spark, "store"), keep=2, compact=2), Graph.literal(spark, [("A", "x")], [])
+    keys = lambda i: spark.createDataFrame([(f"k{i}",)], "key string")
+    for i in (0, 1, 1, 2, 3, 4, 5):  # with a rerun
+        assert store.before(i) == i - 1
+        store.save(i, g, keys(i))
+    assert store.versions() == [4, 5] and len(store.versions("seen")) < 6
+    assert sorted(r.key for r in store.load(5)[1].collect()) == [f"k{i}" for i in range(6)]
+    with pytest.raises(ValueError):
+        store.load(0)
+    store.clear()
+    assert store.newest() == -1 and store.load(-1)[0].v.count() == 0

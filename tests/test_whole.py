@@ -25,16 +25,16 @@ def small(spark, monkeypatch):
 def test_betweenness_queries_take_the_whole_graph(small):
     ids = [v for v, _ in VERTICES]
     want = brute_betweenness([e[:2] for e in EDGES], ids)
-    assert {r.id: r.betweenness for r in small("top_betweenness_whole")} == pytest.approx(want, abs=1e-4)
+    assert {r.id: r.betweenness for r in small("top_betweenness")} == pytest.approx(want, abs=1e-4)
     ends = [x for e in EDGES for x in e[:2]]
     influence = {v: 0.5 * ends.count(v) / (len(ids) - 1) + 0.5 * want[v] for v in ids}
-    assert {r.id: r.influence for r in small("influence_rank_whole")} == pytest.approx(influence, abs=1e-4)
+    assert {r.id: r.influence for r in small("influence_rank")} == pytest.approx(influence, abs=1e-4)
     weight = {"threatens": 3.0, "cooperates with": -1.0}
     score = {v: sum(weight.get(x, 0.5) * ((a == v) + 0.6 * (b == v)) for a, b, x in EDGES) + want[v] / max(want.values()) * 15 for v in set(ends)}
-    assert {r.id: r.score for r in small("hotspots_whole")} == pytest.approx(score, abs=1e-4)
-    risk = {r.id: r.risk for r in small("entity_risk_whole")}
+    assert {r.id: r.score for r in small("hotspots")} == pytest.approx(score, abs=1e-4)
+    risk = {r.id: r.risk for r in small("entity_risk")}
     assert set(risk) == set(ids) and risk["P1"] == 0.0
-    (s,) = small("stability_whole")
+    (s,) = small("stability")
     assert s.risk == pytest.approx(sum(risk.values()) / len(ids) * 0.6 + 100 / len(EDGES) * 0.4, abs=0.06)
 
 
@@ -72,7 +72,7 @@ def test_extract_validate_reads_whole_turns(spark, tmp_path):
 def test_name_queries_take_all_names(spark, small):
     ids = [v for v, _ in VERTICES]
     ratio = lambda a, b: SequenceMatcher(None, a.lower(), b.lower()).ratio()
-    got = {r.name: r.id for r in small("fuzzy_resolve_whole")}
+    got = {r.name: r.id for r in small("fuzzy_resolve")}
     want = {}
     for name in [x for i in ids for x in (i.lower(), i.lower() + "x")]:
         best = max(ids, key=lambda i: (ratio(i, name), -ids.index(i)))

@@ -49,8 +49,3 @@ def sql(spark: SparkSession, sf_dir: str, query: str, **frames: DataFrame) -> Da
 
 def build(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.of(sql(spark, sf_dir, VERTICES_SQL).withColumnRenamed("grp", "group"), sql(spark, sf_dir, EDGES_SQL))
-
-
-def countries(graph: Graph) -> Graph:
-    """The subgraph of the countries."""
-    return graph.induced(graph.v.filter("`group` = 'country'"))

@@ -134,13 +134,13 @@ def clean_output(entities: DataFrame) -> DataFrame:
     return entities.filter(ok).select("id", group.alias("group"), F.when(F.coalesce("confidence", F.lit(0.5)).between(0, 1), F.coalesce("confidence", F.lit(0.5))).otherwise(0.5).alias("confidence"))
 
 
+def clean_relations(relations: DataFrame, most: int = 60) -> DataFrame:
+    """Relations (src, dst, label, confidence) with both ends, labels of at most `most` characters; bad confidences one half."""
+    ok = (F.coalesce("src", F.lit("")) != "") & (F.coalesce("dst", F.lit("")) != "")
+    confidence = F.coalesce("confidence", F.lit(0.5))
+    return relations.filter(ok).select("src", "dst", F.substring(F.coalesce("label", F.lit("")), 1, most).alias("label"), F.when(confidence.between(0, 1), confidence).otherwise(0.5).alias("confidence"))
+
+
 def entity_relation_split(x: DataFrame) -> DataFrame:
     relation = F.lower("class") == vocab.RELATIONSHIP
     return x.agg(F.count_if(~relation).alias("entities"), F.count_if(relation).alias("relations"))
-
-
-def clean_forecasts(items):
-    """An array of at most five forecasts (title, probability, severity): probabilities from 0 to 1, known severities."""
-    kept = F.slice(items, 1, 5)
-    severity = lambda s: F.when(F.upper(s).isin("LOW", "MEDIUM", "HIGH", "CRITICAL"), F.upper(s)).otherwise("MEDIUM")
-    return F.transform(kept, lambda x: F.struct(x["title"].alias("title"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["probability"])).alias("probability"), severity(x["severity"]).alias("severity")))

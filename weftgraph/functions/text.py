@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from weftgraph import vocab
 from weftgraph.graph import Graph
@@ -21,43 +23,47 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+
+
+def split_text(text: str, most: int, overlap: int) -> list[str]:
+    """The chunks of one text; sentences are laid out once, and a chunk's last one is found by bisection of their ends."""
+    if len(text) <= most:
+        return [text]
+    sentences = _SENTENCE_END.split(text.strip())
+    flat, ends = " ".join(sentences), list(accumulate(len(x) + 1 for x in sentences))  # an end is where the next one starts
+    out: list[str] = []
+    now, at = "", 0
+    while at < len(sentences):
+        room = most - len(now) if now else most
+        upto = bisect_right(ends, (ends[at - 1] if at else 0) + room)
+        if not now.strip() or now[0].isspace():  # a first sentence takes no room for a space, or takes away the one before it
+            upto = min(upto, at + 1)
+        if upto > at:
+            more = flat[ends[at - 1] if at else 0 : ends[upto - 1] - 1]
+            now, at = f"{now} {more}".strip(), upto
+            continue
+        if now:
+            out.append(now)
+        now = f"{out[-1][-overlap:].strip() if out else ''} {sentences[at]}".strip()
+        at += 1
+        while len(now) > most:
+            out.append(now[:most])
+            now = now[most - overlap :]
+    return out + ([now] if now else []) or [text]
+
+
 def chunks(text: Column, most: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> Column:
     """An array of chunks of at most `most` characters, cut after sentences; a next chunk repeats the last one's end.
 
-    A text that fits is one chunk as it is. A sentence that doesn't fit is cut at a fixed stride.
+    A text that fits is one chunk as it is. A sentence that doesn't fit is cut at a fixed stride. Arrow batches reach Python.
     """
-    stride = most - overlap
-    sentences = F.split(strip(text), r"(?U)(?<=[.!?])\s+")
-
-    def let(value: Column, body) -> Column:
-        return F.transform(F.array(value), body)[0]
-
-    def step(state: Column, sentence: Column) -> Column:
-        done, current = state["done"], state["current"]
-
-        def start_new() -> Column:
-            closed = F.when(current != "", F.concat(done, F.array(current))).otherwise(done)
-
-            def after(closed: Column) -> Column:
-                tail = F.when(F.size(closed) > 0, strip(F.substring(F.element_at(closed, F.greatest(F.size(closed), F.lit(1))), F.greatest(F.length(F.element_at(closed, F.greatest(F.size(closed), F.lit(1)))) - overlap + 1, F.lit(1)), F.lit(most)))).otherwise("")
-
-                def placed(base: Column) -> Column:
-                    pieces = F.greatest(F.ceil((F.length(base) - most) / stride).cast("int"), F.lit(0))
-                    cut = F.transform(F.sequence(F.lit(1), F.greatest(pieces, F.lit(1))), lambda i: F.substring(base, (i - 1) * stride + 1, F.lit(most)))
-                    rest = F.substring(base, pieces * stride + 1, F.length(base))
-                    return F.struct(F.when(pieces > 0, F.concat(closed, cut)).otherwise(closed).alias("done"), rest.alias("current"))
 
-                return let(strip(F.concat(tail, F.lit(" "), sentence)), placed)
+    @F.pandas_udf(ArrayType(StringType()))
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_text(t, most, overlap), na_action="ignore")
 
-            return let(closed, after)
-
-        fits = F.length(current) + F.length(sentence) + 1 <= most
-        joined = F.struct(done.alias("done"), strip(F.concat(current, F.lit(" "), sentence)).alias("current"))
-        return F.when(fits, joined).otherwise(start_new())
-
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("current"))
-    out = F.aggregate(sentences, start, step, lambda s: F.when(s["current"] != "", F.concat(s["done"], F.array(s["current"]))).otherwise(s["done"]))
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(let(out, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(text))))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(cut(text))
 
 
 def chunk_rows(docs: DataFrame, id_: str = "doc_id", most: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -179,6 +185,18 @@ def html_text(html: Column, least: int = 100) -> Column:
     return F.when(F.length(dom) > least, dom).when(F.length(plain) >= least, plain)
 
 
+@F.pandas_udf(StringType())
+def _article_udf(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: dom_text(x, ARTICLE_BOILERPLATE, containers=False), na_action="ignore")
+
+
+def article_text(html: Column, least: int = 200) -> Column:
+    """The text of a news article: the page without scripts, styles, navigation and footer; a short one without tags only."""
+    dom = _article_udf(html)
+    plain = F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " ")
+    return F.when(F.length(dom) > least, dom).otherwise(plain)
+
+
 def injection_signs(text: Column) -> Column:
     """How many of the patterns a text has."""
     low = F.lower(text)

@@ -6,7 +6,7 @@ Scalars over the whole graph are one-row aggregates, joined as one broadcast row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph import predicates, vocab
@@ -232,3 +232,11 @@ def with_threshold(thresholds: DataFrame, id_: str, value: float) -> DataFrame:
     """The threshold table (id, threshold) with one set."""
     one = thresholds.sparkSession.createDataFrame([(id_, float(value))], "id string, threshold double")
     return thresholds.filter(F.col("id") != id_).unionByName(one)
+
+
+def save_thresholds(thresholds: DataFrame, path: str) -> None:
+    thresholds.select("id", "threshold").write.mode("overwrite").parquet(path)
+
+
+def load_thresholds(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id string, threshold double").parquet(path)

@@ -7,6 +7,7 @@ a frontier is empty. Joins leave the choice of strategy to the optimizer, which
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,21 +25,24 @@ def arcs(g: Graph, directed: bool = True) -> DataFrame:
 
 
 def _search(steps: DataFrame, source: str, target: str) -> list[str] | None:
-    """The smallest, as text, of the shortest paths. A node keeps one path, its smallest: a shortest path's beginnings are."""
+    """The smallest, as text, of the shortest paths. A node keeps one path, its smallest: a shortest path's beginnings are.
+
+    A level is one write and one count of what it reached.
+    """
     spark = steps.sparkSession
     if source == target:
         return [source]
-    seen = spark.createDataFrame([(source,)], "id string")
+    seen = [spark.createDataFrame([(source,)], "id string")]
     front = spark.createDataFrame([(source, [source])], "id string, path array<string>")
     for level in itertools.count():
         reached = front.join(steps, front["id"] == steps["x"]).select(F.col("y").alias("id"), F.concat("path", F.array("y")).alias("path"))
-        front = stage(reached.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")), f"path-{level}")
-        found = front.filter(F.col("id") == target).first()
-        if found:
-            return found.path
-        if front.isEmpty():
-            return None
-        seen = stage(seen.unionByName(front.select("id")), f"path-seen-{level}")
+        front = stage(reached.join(reduce(DataFrame.unionByName, seen), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")), f"path-{level}")
+        n, found = front.agg(F.count(F.lit(1)), F.max(F.when(F.col("id") == target, F.col("path")))).first()
+        if found or not n:
+            return found
+        seen.append(front.select("id"))
+        if len(seen) > 8:  # a plan of bounded size, however long the path
+            seen = [stage(reduce(DataFrame.unionByName, seen), f"path-seen-{level}")]
 
 
 def shortest_path(g: Graph, source: str, target: str, default_label: str = "connects to") -> DataFrame:
@@ -49,15 +53,16 @@ def shortest_path(g: Graph, source: str, target: str, default_label: str = "conn
     new vertex is reached, so a path of any length is found.
     """
     spark = g.spark
+    e = stage(g.e.select("src", "dst", F.coalesce("label", F.lit(default_label)).alias("label")), "path-edges")
     both = g.v.filter(F.col("id").isin(source, target)).select("id").distinct().count()
     path, directed = None, True
     if both == len({source, target}):
-        path = _search(stage(arcs(g), "path-arcs"), source, target)
+        forth, back = e.select(F.col("src").alias("x"), F.col("dst").alias("y")), e.select(F.col("dst").alias("x"), F.col("src").alias("y"))
+        path = _search(forth, source, target)
         if path is None:
-            directed, path = False, _search(stage(arcs(g, directed=False), "path-arcs"), source, target)
+            directed, path = False, _search(forth.unionByName(back), source, target)
     schema = "position int, src string, dst string, directed boolean"
     steps = spark.createDataFrame([(i, a, b, directed) for i, (a, b) in enumerate(zip(path or [], (path or [])[1:]))], schema)
-    e = g.e.select("src", "dst", F.coalesce("label", F.lit(default_label)).alias("label"))
     forth = steps.join(F.broadcast(steps.select("src", "dst").distinct()).join(e, ["src", "dst"]), ["src", "dst"], "left")  # steps: the rows of one path
     back = e.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("label").alias("back"))
     return forth.join(back, ["src", "dst"], "left").select("position", "src", "dst", F.coalesce("label", "back").alias("label"), (F.col("label").isNull() & F.col("back").isNotNull()).alias("reversed"), "directed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
@@ -54,6 +54,20 @@ def seed_search(vectors: DataFrame, id_: str, vector: str, seeds: DataFrame, k:
     return scored.filter("similarity is not null").orderBy(F.desc("similarity"), id_).limit(k)
 
 
+def text_search(vectors: DataFrame, id_: str, vector: str, text: str, k: int = 8) -> DataFrame:
+    """seed_search from the rows whose id holds a text, without regard to case; none where no id does."""
+    return seed_search(vectors, id_, vector, vectors.filter(F.contains(F.lower(F.col(id_)), F.lit(text.lower()))).select(id_), k)
+
+
+def save_embeddings(vectors: DataFrame, path: str) -> None:
+    """Writes id and vector, of length 1, over what path held."""
+    vectors.select("id", unit(F.col("vector")).alias("vector")).write.mode("overwrite").parquet(path)
+
+
+def load_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id string, vector array<double>").parquet(path)
+
+
 def kmeans(vectors: DataFrame, id_: str, vector: str, k: int = 6, seed: int = 42) -> DataFrame:
     """id, cluster; 2 to 20 clusters, of unit vectors."""
     ready = vectors.select(id_, array_to_vector(unit(F.col(vector))).alias("features"))

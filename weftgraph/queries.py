@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from weftgraph import fixtures, predicates, vocab
 from weftgraph.functions import temporal as T
 from weftgraph.functions import text as X
+from weftgraph.functions import extract as X2
 from weftgraph.functions.extract import lexicon_extractor, parse_answers
-from weftgraph.graph import Graph
+from weftgraph.graph import EDGES, VERTICES, Graph, conform
 from weftgraph.operators import analytics as A
 from weftgraph.operators import mutate as M
 from weftgraph.operators import paths as P
@@ -19,8 +21,9 @@ from weftgraph.operators import relational as R
 from weftgraph.operators import vectors as V
 from weftgraph.plans import gql
 from weftgraph.sources import documents as D
+from weftgraph.sources import nodelink as N
 from weftgraph.sources import sinks as S
-from weftgraph.stage import table
+from weftgraph.stage import new_path, table
 from weftgraph.streaming import windows as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,15 +52,13 @@ TENSION = f"""
 parts as (select src as id, {SCORE} * 1.2 as part from e union all select dst, {SCORE} * 0.9 from e),
 raw as (select v.id, coalesce(sum(part), 0) * (1 + 0.04 * least(count(part), 20)) as raw, count(part) as degree from v left join parts p on p.id = v.id where v.grp = 'country' group by v.id),
 tension as (select id, degree, greatest(0.0, least(100.0, raw / (select greatest(max(raw), 1.0) from raw) * 100)) as score from raw)"""
+#: Shortest paths by walks: as many walks of the least length as there are shortest paths. No path of the graph has nine steps.
 BETWEEN = """
-ce as (select src, dst from e where src in (select id from v where grp = 'country') and dst in (select id from v where grp = 'country') and src <> dst),
-walk(s, t, path, len) as (
-  select src, dst, '|' || src || '|' || dst || '|', 1 from ce
-  union all select w.s, c.dst, w.path || c.dst || '|', w.len + 1 from walk w join ce c on c.src = w.t where w.len < 5 and not contains(w.path, '|' || c.dst || '|')),
-short as (select * from (select *, min(len) over (partition by s, t) as best from walk) where len = best),
-sigma as (select s, t, count(*) as n from short group by s, t),
-inner_ as (select unnest(list_slice(string_split(trim(path, '|'), '|'), 2, -2)) as id, 1.0 / n as part from short join sigma using (s, t)),
-bc as (select v.id, coalesce(sum(part), 0) / (24 * 23) as betweenness from v left join inner_ i on i.id = v.id where v.grp = 'country' group by v.id)"""
+arcs as (select distinct src, dst from e where src <> dst), size_ as (select count(*)::double as n from v),
+walk(s, t, d, n) as (select src, dst, 1, 1.0::double from arcs union all select s, dst, d + 1, sum(n) from walk join arcs on t = src where d < 9 group by s, dst, d),
+short as (select s, t, min(d) as d from walk where s <> t group by s, t), sigma as (select s, t, d, n from walk join short using (s, t, d)),
+inner_ as (select a.t as id, sum(a.n * b.n / c.n) as part from sigma a join sigma b on a.t = b.s join sigma c on c.s = a.s and c.t = b.t where a.d + b.d = c.d group by a.t),
+bc as (select v.id, coalesce(part, 0) / ((n - 1) * (n - 2)) as betweenness from v left join inner_ i on i.id = v.id, size_)"""
 LABELS = """
 both_ways as (select src as a, dst as b from e union select dst, src from e),
 wcc(id, root) as (select id, id from v union select b.b, w.root from wcc w join both_ways b on b.a = w.id where w.root < b.b),
@@ -210,28 +211,20 @@ graph(
 
 # -- iterative ------------------------------------------------------------------------------------
 
-graph("top_betweenness", "select id, round(betweenness, 4) as betweenness, 'country' as grp from bc order by betweenness desc, id limit 8", BETWEEN, recursive=True)(lambda g: P.top_betweenness(fixtures.countries(g).staged(), 8))
-
-
-def _country_between(g: Graph) -> tuple[Graph, DataFrame]:
-    c = fixtures.countries(g).staged()
-    return c, P.betweenness(c)
+def _between(g: Graph) -> tuple[Graph, DataFrame]:
+    whole = g.staged()
+    return whole, P.betweenness(whole)
 
 
-graph(
-    "influence_rank",
-    "select id, round(0.5 * degree / 24 + 0.5 * betweenness, 4) as influence from bc join (select v.id, count(x.id) as degree from v left join (select src as id from ce union all select dst from ce) x on x.id = v.id where grp = 'country' group by v.id) using (id) order by influence desc, id limit 10",
-    BETWEEN,
-    recursive=True,
-)(lambda g: A.influence(*_country_between(g)))
+graph("top_betweenness", "select id, round(betweenness, 4) as betweenness, grp from bc join v using (id) order by 2 desc, id limit 8", BETWEEN, recursive=True)(lambda g: P.top_betweenness(g.staged(), 8))
+graph("influence_rank", "select id, round(0.5 * degree / (n - 1) + 0.5 * betweenness, 4) as influence from bc join deg using (id), size_ order by influence desc, id limit 10", BETWEEN, DEGREE, recursive=True)(lambda g: A.influence(*_between(g)))
 graph(
     "hotspots",
     f"""select id, round(sum(part) + any_value(betweenness) / (select greatest(max(betweenness), 0.001) from bc) * 15, 4) as score from
-    (select src as id, {{w}} as part from cl union all select dst, {{w}} * 0.6 from cl) join bc using (id) group by id order by score desc, id limit 8""".format(w=f"case when {_hostile('label')} then 3.0::double when {_coop('label')} then -1.0::double else 0.5::double end"),
+    (select src as id, {{w}} as part from e union all select dst, {{w}} * 0.6 from e) join bc using (id) group by id order by score desc, id limit 8""".format(w=f"case when {_hostile('label')} then 3.0::double when {_coop('label')} then -1.0::double else 0.5::double end"),
     BETWEEN,
-    "cl as (select e.* from e join ce using (src, dst))",
     recursive=True,
-)(lambda g: A.hotspots(*_country_between(g)).select("id", F.round("score", 4).alias("score")))
+)(lambda g: A.hotspots(*_between(g)).select("id", F.round("score", 4).alias("score")))
 graph("wcc_labels", "select id, component from labels_", LABELS, recursive=True)(P.wcc)
 graph("wcc_count", "select count(distinct component) as components from labels_", LABELS, recursive=True)(P.wcc_count)
 _EGO = "both_ as (select src as a, dst as b from e union select dst, src from e), near as (select 'NATION_6' as id union select b from both_ where a = 'NATION_6' union select y.b from both_ x join both_ y on x.b = y.a where x.a = 'NATION_6')"
@@ -251,49 +244,37 @@ graph(
     recursive=True,
 )(lambda g: P.node_removal(g.staged(), "NATION_6"))
 graph("bridge_edges", "select least(src, dst) as a, greatest(src, dst) as b from e where label = 'based in'")(P.bridges)
-graph(
-    "entity_risk",
-    f"""select id, round((coalesce(score, 0) / 100 * 0.4 + betweenness * 0.2 + coalesce(h, 0) * 0.2) * 100, 1) as risk from bc left join ct using (id)
-    left join (select src as id, avg(case when {_hostile("label")} then 1.0::double else 0.0::double end) as h from cl group by src) using (id)""",
-    BETWEEN,
-    f"""cl as (select e.* from e join ce using (src, dst)), cp as (select src as id, {SCORE} * 1.2 as part from cl union all select dst, {SCORE} * 0.9 from cl),
-    cr as (select bc.id, coalesce(sum(part), 0) * (1 + 0.04 * least(count(part), 20)) as raw from bc left join cp on cp.id = bc.id group by bc.id),
-    ct as (select id, greatest(0.0, least(100.0, raw / (select greatest(max(raw), 1.0) from cr) * 100)) as score from cr)""",
-    recursive=True,
-)(lambda g: A.entity_risk(*_country_between(g)))
-
-
-SQL["stability"] = f"""{SQL["entity_risk"].partition(" select id, round((coalesce")[0]} , risks as (select id, round((coalesce{SQL["entity_risk"].partition(" select id, round((coalesce")[2]}),
-whole as (select (select avg(risk) from risks) * 0.6 + (select avg(case when {_hostile("label")} then 1.0::double else 0.0::double end) from cl) * 100 * 0.4 as r)
-select round(100 - least(r, 100.0), 1) as stability, round(r, 1) as risk,
-  case when round(100 - least(r, 100.0), 1) < 25 then 'CRITICAL' when round(100 - least(r, 100.0), 1) < 50 then 'HIGH RISK' when round(100 - least(r, 100.0), 1) < 75 then 'MODERATE' else 'STABLE' end as label from whole"""
+_RISK = f"""risks as (select id, round((coalesce(score, 0) / 100 * 0.4 + betweenness * 0.2 + coalesce(h, 0) * 0.2) * 100, 1) as risk from bc left join tension using (id)
+    left join (select src as id, avg(case when {_hostile("label")} then 1.0::double else 0.0::double end) as h from e group by src) using (id))"""
+graph("entity_risk", "select id, risk from risks", BETWEEN, TENSION, _RISK, recursive=True)(lambda g: A.entity_risk(*_between(g)))
 
 
-@graph("stability")
+@graph(
+    "stability",
+    """select round(100 - least(r, 100.0), 1) as stability, round(r, 1) as risk, case when round(100 - least(r, 100.0), 1) < 25 then 'CRITICAL' when round(100 - least(r, 100.0), 1) < 50 then 'HIGH RISK'
+    when round(100 - least(r, 100.0), 1) < 75 then 'MODERATE' else 'STABLE' end as label from whole""",
+    BETWEEN,
+    TENSION,
+    _RISK,
+    f"whole as (select (select avg(risk) from risks) * 0.6 + (select avg(case when {_hostile('label')} then 1.0::double else 0.0::double end) from e) * 100 * 0.4 as r)",
+    recursive=True,
+)
 def _stability(g: Graph) -> DataFrame:
-    c, b = _country_between(g)
-    return A.stability(c, A.entity_risk(c, b))
-
-
-def _between(g: Graph) -> tuple[Graph, DataFrame]:
-    whole = g.staged()
-    return whole, P.betweenness(whole)
-
-
-# The whole graph; the five above have the countries of their SQL.
-graph("top_betweenness_whole")(lambda g: P.top_betweenness(g.staged(), 8))
-graph("influence_rank_whole")(lambda g: A.influence(*_between(g)))
-graph("hotspots_whole")(lambda g: A.hotspots(*_between(g)).select("id", F.round("score", 4).alias("score")))
-graph("entity_risk_whole")(lambda g: A.entity_risk(*_between(g)))
-
-
-@graph("stability_whole")
-def _stability_whole(g: Graph) -> DataFrame:
     whole, b = _between(g)
     return A.stability(whole, A.entity_risk(whole, b))
 
 
-@graph("structural_similarity")
+@graph(
+    "structural_similarity",
+    """select f.id, round(list_cosine_similarity(f.x, o.x), 3) as similarity from f, (select x from f where id = 'NATION_6') o
+    where f.id <> 'NATION_6' and list_sum(f.x) > 0 order by list_cosine_similarity(f.x, o.x) desc, f.id limit 5""",
+    BETWEEN,
+    DEGREE,
+    f"""f as (select deg.id, [degree / (n - 1), betweenness, coalesce(h, 0) / greatest(degree, 1), coalesce(c, 0) / greatest(degree, 1), coalesce(r, 0) / n] as x from deg join bc using (id)
+    left join (select src as id, sum(cast({_hostile("label")} as int))::double as h, sum(cast({_coop("label")} as int))::double as c from e group by src) using (id)
+    left join (select s as id, count(*)::double as r from short group by s) using (id), size_)""",
+    recursive=True,
+)
 def _structural(g: Graph) -> DataFrame:
     whole, b = _between(g)
     top = V.cosine_topk(P.structural_features(whole, b), "id", "features", "NATION_6", 5)
@@ -351,24 +332,155 @@ def _scenario(g: Graph) -> DataFrame:
 SQL["scenario_changes"] = SQL["scenario_changes"].replace("where label <> 'monitors'", "where label <> 'monitors' and not (src = 'NATION_0' and dst = 'NATION_24')")
 
 
-@graph("fuzzy_resolve", "select lower(id) || suffix as name, id from v, (values (''), ('x')) s(suffix) where grp = 'organization' and id like 'Supplier%'")
+@graph("fuzzy_resolve", "select lower(id) || suffix as name, id from v, (values (''), ('x')) s(suffix)")
 def _fuzzy(g: Graph) -> DataFrame:
-    names = g.v.filter("id like 'Supplier%'").select(F.explode(F.array(F.lower("id"), F.concat(F.lower("id"), F.lit("x")))).alias("name"))
-    return M.resolve(names, g.v)
-
-
-@graph("fuzzy_resolve_whole")
-def _fuzzy_whole(g: Graph) -> DataFrame:
-    """Names of all vertices; fuzzy_resolve has the suppliers of its SQL."""
+    """The name of each vertex as it is and misspelt, which means that vertex and no other."""
     return M.resolve(g.v.select(F.explode(F.array(F.lower("id"), F.concat(F.lower("id"), F.lit("x")))).alias("name")), g.v)
 
 
-@graph("similar_names", "select 'Brand#1' as a, b, round(2 * 7.0 / 15, 4) as score from (values ('Brand#10'), ('Brand#11'), ('Brand#12')) t(b) where false")
+@graph("similar_names")
 def _similar(g: Graph) -> DataFrame:
     return M.similar_pairs(g.v).select("a", "b", F.round("score", 4).alias("score"))
 
 
-del SQL["similar_names"]
+def _with_battles(g: Graph) -> Graph:
+    """The graph with an event beside every fifth country."""
+    at = g.v.filter("`group` = 'country' and id like '%5'")
+    name = F.concat(F.lit("Battle of "), "id")
+    v = g.v.unionByName(conform(at.select(name.alias("id"), F.lit("event").alias("group")), VERTICES))
+    return Graph(v, g.e.unionByName(conform(at.select(F.col("id").alias("src"), name.alias("dst"), F.lit("hosts").alias("label")), EDGES)))
+
+
+graph(
+    "military_tension",
+    "select id, round(score, 4) as score from tension",
+    "e0 as (select src, dst, label, 0.0::double as bonus from e union all select id, 'Battle of ' || id, 'hosts', 7.0 from v where grp = 'country' and id like '%5')",
+    TENSION.replace("from e union", "from e0 union").replace("from e0 union all select dst", "from e0 union all select dst").replace("0.9 from e)", "0.9 from e0)").replace("* 1.2 as part", "* 1.2 + bonus as part"),
+)(lambda g: A.country_tension(_with_battles(g)).select("id", F.round("score", 4).alias("score")))
+_TOLD = _PATHS.replace("p(id, path, len)", "p(id, path, len, told)").replace("'{a}', 0 union", "'{a}', 0, '{a}' union").replace("p.len + 1 from", "p.len + 1, p.told || ' → [' || a.label || '] → ' || a.y from")
+graph(
+    "path_narrative",
+    "select told || '  (' || len || ' hops, directed)' as narrative from p where id = 'NATION_6' order by len, path limit 1",
+    _TOLD.format(arcs="select src as x, dst as y, label from e", a="Supplier#000000001", b="NATION_6"),
+    recursive=True,
+)(lambda g: gql.run(g, "find path from supplier#000000001 to nation_6").select("narrative"))
+graph("gql_ego", "select id, grp from v where id in (select id from near) order by id limit 200", _EGO)(lambda g: gql.run(g, "ego of nation_6 hops 2"))
+graph("gql_edges_over_cap", "select 'edges_label' as kind, 200 as shown, count(*) as n, count(*) > 200 as truncated from e where contains(label, 'a')")(lambda g: _told(g, "edges where label contains a"))
+
+
+def _told(g: Graph, text: str) -> DataFrame:
+    a = gql.answer(g, text)
+    return g.spark.createDataFrame([(a.kind, len(a.rows), a.count, a.truncated)], "kind string, shown int, n bigint, truncated boolean")
+
+
+SQL["gql_edges_over_cap"] = SQL["gql_edges_over_cap"].replace("200 as shown", "cast(least(count(*), 200) as int) as shown")
+
+
+@graph("enrich_vertices", "select v.id, r_name as region, case when n_name is not null then 'table' end as origin, case when n_name is not null then 'kept' end as note from v left join nation on n_name = v.id left join region on n_regionkey = r_regionkey")
+def _enriched(g: Graph) -> DataFrame:
+    first = g.v.filter("`group` = 'country'").select("id", F.create_map(F.lit("region"), F.lit("?"), F.lit("note"), F.lit("kept")).alias("attributes"))
+    second = g.e.filter("label = 'member of'").select(F.col("src").alias("id"), F.create_map(F.lit("region"), "dst", F.lit("origin"), F.lit("table")).alias("attributes"))
+    a = F.col("attributes")
+    return M.enrich(M.enrich(g, first), second).v.select("id", a["region"].alias("region"), a["origin"].alias("origin"), a["note"].alias("note"))
+
+
+@graph(
+    "auto_queries",
+    """select 1 as place, 'neighbors of ' || a as query from ab union all select 2, 'path from ' || a || ' to ' || b from ab union all select 3, 'find countries' union all select 4, 'hub nodes'
+    union all select 5, 'neighbors of ' || (select id from tension order by score desc, id limit 1)""",
+    DEGREE,
+    TENSION,
+    "two as (select id, row_number() over (order by degree desc, id) as k from deg), ab as (select max(id) filter (k = 1) as a, max(id) filter (k = 2) as b from two where k < 3)",
+)
+def _automatic(g: Graph) -> DataFrame:
+    return g.spark.createDataFrame(list(enumerate(gql.auto_queries(g, 0), 1)), "place int, query string")
+
+
+graph(
+    "health_by_sources",
+    """select cast(round_even(g / 7.0 * 25 + k * 25 + s * 25 + 0.9 * 25, 0) as int) as score, round(s, 4) as source_diversity, 0.9::double as recency from
+    (select (select count(distinct grp) from v)::double as g, least(1.0, count(distinct label) / greatest(count(*) * 0.3, 1.0)) as k, (select least(1.0, avg(n) / 3) from (select src, count(distinct dst) as n from e group by src)) as s from e)""",
+)(lambda g: A.health_by_sources(g, g.e.select(F.col("src").alias("id"), F.col("dst").alias("source")), 3.0))
+graph("totals_of_nothing", "select 0::bigint as n_nodes, 0::bigint as n_edges, 0.0::double as density")(lambda g: A.totals(M.clear(g)))
+graph("entity_relation_split", "select (select count(*) from v where grp = 'country') as entities, (select 2 * count(*) + 1 from e where label = 'monitors') as relations")(lambda g: X2.entity_relation_split(_extractions(g)))
+graph("delta_projection", "select src, dst, label from e where src in (select r_name from region) or dst in (select r_name from region)")(lambda g: _delta(g))
+graph("delta_vertices", "select id from v where id in (select r_name from region)")(lambda g: _delta(g, True))
+
+
+def _delta(g: Graph, vertices: bool = False) -> DataFrame:
+    from weftgraph.streaming.ingest import delta
+
+    d = delta(M.Change(g, g.e.filter("label = 'member of'").select(F.col("dst").alias("id")).distinct(), g.e))
+    return d.v.select("id") if vertices else d.e.select("src", "dst", "label")
+
+
+@graph("upsert_changes", "select 'node' as item, lower(replace(id, '_', ' of ')) as key from v where grp = 'country' union all select 'edge', 'NATION_0>Atlantis Republic'")
+def _upsert_changes(g: Graph) -> DataFrame:
+    """What an upsert says that it added: new entities, and the edge to an end that no entity names."""
+    fresh = g.v.filter("`group` = 'country'").select(F.lit("treaty").alias("class"), F.lower(F.replace("id", F.lit("_"), F.lit(" of "))).alias("text"), F.create_map().cast("map<string,string>").alias("attributes"), F.lit(0.9).alias("confidence"), F.lit(9).cast("bigint").alias("pos"))
+    c = M.upsert(g, _extractions(g).unionByName(fresh), threshold=1.0)
+    return c.nodes_added.select(F.lit("node").alias("item"), F.col("id").alias("key")).unionByName(c.edges_added.select(F.lit("edge").alias("item"), F.concat_ws(">", "src", "dst").alias("key")))
+
+
+graph("threshold_table", "select id, case when id = 'NATION_6' then 42.5::double else 60.0::double end as threshold from v where grp = 'country'")(lambda g: _threshold_table(g))
+
+
+def _threshold_table(g: Graph) -> DataFrame:
+    path = new_path(g.spark, "thresholds")
+    rows = g.v.filter("`group` = 'country'").select("id", F.lit(60.0).alias("threshold"))
+    A.save_thresholds(A.with_threshold(rows, "NATION_6", 42.5), path)
+    return A.load_thresholds(g.spark, path)
+
+
+graph(
+    "context_lines",
+    "select '- ' || src || ' → ' || label || ' → ' || dst || ' [confidence: ' || printf('%.2f', confidence) || ']' as line from (select * from e where src in (select id from near) or dst in (select id from near) order by src, dst limit 20)",
+    _EGO,
+)(lambda g: g.spark.createDataFrame([(x,) for x in X.context_text(g, "What about NATION_6?").split("\n")], "line string"))
+graph(
+    "event_timeline",
+    """select 'Summit of ' || s.id as id, '2024-' || right(s.id, 1) as date, s.confidence, string_agg(actor, ',' order by actor) as actors from (select v.*, row_number() over (partition by v.id order by actor) as k, actor from v join
+    (select src as n, dst as actor from e union select dst, src from e) x on x.n = v.id where grp = 'country') s where k <= 5 group by s.id, s.confidence""",
+)(lambda g: _timeline(g))
+
+
+def _timeline(g: Graph) -> DataFrame:
+    """Each country as an event of its own, with a date."""
+    name = lambda c: F.concat(F.lit("Summit of "), c)
+    v = g.v.filter("`group` = 'country'").select(name("id").alias("id"), F.lit("Event").alias("group"), "confidence", F.create_map(F.lit("date"), F.concat(F.lit("2024-"), F.right("id", F.lit(1)))).alias("attributes"))
+    ends = g.e.select(name("src").alias("src"), "dst").unionByName(g.e.select(name("dst").alias("src"), F.col("src").alias("dst")))
+    return T.event_timeline(v, ends).select("id", "date", "confidence", F.array_join("actors", ",").alias("actors"))
+
+
+# -- stores -----------------------------------------------------------------------------------------
+
+
+@graph("node_link_round_trip", "select src, dst, label, round(confidence, 4) as confidence from e")
+def _node_link(g: Graph) -> DataFrame:
+    path = new_path(g.spark, "node-link")
+    N.save(g, path)
+    return N.load(g.spark, path).e.select("src", "dst", "label", F.round("confidence", 4).alias("confidence"))
+
+
+@graph("snapshot_timeline", "select * from (values ('2024-01-01T000000Z', 1, (select count(*) from v)), ('2024-01-01T000100Z', 2, (select count(*) from v where confidence >= 0.55))) t(stamp, place, n_nodes)")
+def _snapshots(g: Graph) -> DataFrame:
+    """Two snapshots a minute apart and one too soon, which isn't taken."""
+    root = new_path(g.spark, "timeline")
+    S.save_snapshot(g, root, datetime(2024, 1, 1))
+    S.save_snapshot(_later(g), root, datetime(2024, 1, 1, 0, 0, 20))
+    S.save_snapshot(_later(g), root, datetime(2024, 1, 1, 0, 1))
+    rows = [(x, i, S.load_snapshot(g.spark, root, x).v.count()) for i, x in enumerate(S.snapshots(g.spark, root, newest_first=False), 1)]
+    return g.spark.createDataFrame(rows, "stamp string, place int, n_nodes bigint")
+
+
+@graph("store_round_trip", "select src, dst, label, confidence from e")
+def _store(g: Graph) -> DataFrame:
+    from weftgraph.streaming.ingest import GraphStore
+
+    store = GraphStore(g.spark, new_path(g.spark, "store"))
+    store.save(0, g, g.v.select(F.col("id").alias("key")))
+    return store.load(0)[0].e.select("src", "dst", "label", "confidence")
+
 
 # -- exports --------------------------------------------------------------------------------------
 
@@ -384,7 +496,13 @@ graph(
     "note_vault",
     "select v.id, '# ' || v.id || chr(10) || 'type: ' || v.grp || coalesce(chr(10) || l.links, '') as note from v left join (select src as id, string_agg('- ' || label || ' [[' || dst || ']]', chr(10) order by '- ' || label || ' [[' || dst || ']]') as links from e group by src) l on l.id = v.id",
 )(S.note_vault)
-graph("graphml_rows")(S.graphml_rows)
+_xml = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')".format
+graph(
+    "graphml_rows",
+    f"""select 0 as part, '{S.GRAPHML_HEAD}' as value union all select 3, '</graph></graphml>'
+    union all select 1, '<node id="' || {_xml("id")} || '"><data key="n_group">' || {_xml("grp")} || '</data><data key="n_confidence">' || confidence::varchar || '</data></node>' from v
+    union all select 2, '<edge source="' || {_xml("src")} || '" target="' || {_xml("dst")} || '"><data key="e_label">' || {_xml("label")} || '</data><data key="e_confidence">' || confidence::varchar || '</data></edge>' from e""",
+)(S.graphml_rows)
 
 # -- documents ------------------------------------------------------------------------------------
 
@@ -425,8 +543,55 @@ def _lexicon(spark: SparkSession, sf: str) -> DataFrame:
     return extract(docs, run).drop("attributes")
 
 
-_host = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)"
-tables("url_validation", f"select page_id, regexp_matches(lower(url), '^https?://') and {_host} <> '' as allowed from pages")(lambda spark, sf: table(spark, sf, "pages").select("page_id", D.url_allowed(F.col("url")).alias("allowed")))
+_hosts = ("127.1", "2130706433", "0x7f.0.0.1", "10.0.0.1", "[::1]", "localhost", "8.8.8.8", "134744072")
+tables("url_validation", f"select page_id, case when page_id % 10 < 8 then page_id % 10 >= 6 else regexp_matches(lower(url), '^https?://[^/?#:]') end as allowed from pages")(lambda spark, sf: _urls(spark, sf))
+
+
+def _urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Urls of pages; eight in ten have another host, six of these private ones in several spellings."""
+    k = (F.col("page_id") % 10).cast("int")
+    other = F.concat(F.lit("http://"), F.element_at(F.array(*(F.lit(h) for h in _hosts)), k + 1), F.lit("/x"))
+    return table(spark, sf, "pages").select("page_id", D.url_allowed(F.when(k < len(_hosts), other).otherwise(F.col("url"))).alias("allowed"))
+
+
+tables("request_limits", "select doc_id, length(trim(coalesce(text, ''))) > 0 and length(coalesce(text, '')) <= 2000 as ok from documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", D.request_ok(F.coalesce("text", F.lit("")), 2000).alias("ok")))
+tables("reference_lookup", "select o_orderkey::varchar as id, substr(text, 1, 300) as summary, case when doc_id is not null then 'doc:' || doc_id end as url from orders left join documents on doc_id = o_orderkey")(lambda spark, sf: _lookup(spark, sf))
+
+
+def _lookup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("summary"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"))
+    return D.lookup(table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id")), docs)
+
+
+tables("unprocessed_pages", "select distinct url from pages where url not in (select url from pages where page_id % 3 = 0 and url is not null)")(
+    lambda spark, sf: D.unprocessed(table(spark, sf, "pages").filter("url is not null"), table(spark, sf, "pages").filter("page_id % 3 = 0 and url is not null")).select("url")
+)
+tables("processed_registry", "select url, max(page_id) as ts from pages where url is not null group by url order by ts desc, url limit 40")(
+    lambda spark, sf: D.remember(table(spark, sf, "pages").filter("page_id % 2 = 0 and url is not null").select("url", F.col("page_id").alias("ts")), table(spark, sf, "pages").filter("url is not null").select("url", F.col("page_id").alias("ts")), 40)
+)
+graph("sanctions_match", "select distinct v.id, n_name || ' Trading' as entry from v join nation on lower(v.id) = lower(n_name) union select 'Brand#11', 'Brand#11' where exists (select 1 from v where id = 'Brand#11')")(
+    lambda g: D.sanctioned(g.v, g.v.filter("`group` = 'country'").select(F.concat("id", F.lit(" Trading")).alias("name")).unionByName(g.spark.createDataFrame([("Brand#11",)], "name string")))
+)
+tables("title_attributes", "select n_nationkey as k, n_name as role, case when n_nationkey % 2 = 0 then 'json' else 'literal' end as form from nation")(lambda spark, sf: _titles(spark, sf))
+
+
+def _titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles that hold attributes as JSON, or as a literal with a tuple of which JSON knows nothing."""
+    form = lambda text, q: F.concat(F.lit(f"{{{q}role{q}: {q}"), "n_name", F.lit(f"{q}, {q}form{q}: {text}}}"))
+    title = F.when(F.col("n_nationkey") % 2 == 0, form('"json"', '"')).otherwise(form("'literal', 'x': (1, None)", "'"))
+    rows = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), N.title_map(title).alias("m"))
+    return rows.select("k", F.col("m")["role"].alias("role"), F.col("m")["form"].alias("form"))
+
+
+tables("clean_output", "select c_name as id, case when c_mktsegment = 'BUILDING' then 'country' else 'unknown' end as grp, case when c_acctbal between 0 and 1 then c_acctbal else 0.5::double end as confidence from customer")(
+    lambda spark, sf: X2.clean_output(
+        table(spark, sf, "customer").select(F.col("c_name").alias("id"), F.when(F.col("c_mktsegment") == "BUILDING", "country").otherwise(F.col("c_mktsegment")).alias("group"), F.col("c_acctbal").alias("confidence"))
+        .unionByName(spark.createDataFrame([("", "country", 0.5), ("x" * 101, "country", 0.5)], "id string, group string, confidence double"))
+    ).withColumnRenamed("group", "grp")
+)
+tables("clean_relations", "select p_name as src, p_brand as dst, left(repeat(p_type || ' ', 5), 60) as label, case when p_size <= 1 then p_size::double else 0.5::double end as confidence from part")(
+    lambda spark, sf: X2.clean_relations(table(spark, sf, "part").select(F.col("p_name").alias("src"), F.col("p_brand").alias("dst"), F.repeat(F.concat("p_type", F.lit(" ")), 5).alias("label"), F.col("p_size").cast("double").alias("confidence")).unionByName(spark.createDataFrame([("", "x", "l", 0.5), ("a", None, "l", 0.5)], "src string, dst string, label string, confidence double")))
+)
 tables("long_articles", "select doc_id from documents where length(trim(text)) >= 200")(lambda spark, sf: table(spark, sf, "documents").filter(D.long_enough(F.col("text"))).select("doc_id"))
 tables("first_per_feed", "select source, doc_id, rn from (select source, doc_id, row_number() over (partition by source order by doc_id desc) as rn from documents) where rn <= 10")(
     lambda spark, sf: M.keep_newest_of_each(table(spark, sf, "documents"), "source", "doc_id", 10, "doc_id").select("source", "doc_id", F.col("rn").cast("bigint").alias("rn"))
@@ -445,9 +610,25 @@ tables(
     m as (select list(x order by i) as mean from (select i, avg(x) as x from (select unnest(u) as x, generate_subscripts(u, 1) as i from u where vec_id % 100 = 3) group by i))
     select vec_id, round({_dot("u", "mean")} / sqrt({_dot("u", "u")} * {_dot("mean", "mean")}), 6) as similarity from u, m where vec_id % 100 <> 3 order by similarity desc, vec_id limit 8""",
 )(lambda spark, sf: V.seed_search(table(spark, sf, "embeddings"), "vec_id", "embedding", table(spark, sf, "embeddings").filter("vec_id % 100 = 3")).select("vec_id", F.round("similarity", 6).alias("similarity")))
-tables("unit_vectors", f"select vec_id, round({_dot('embedding', 'embedding')}, 4) as square, round(1.0::double, 4) as unit_square from embeddings")(
+tables("unit_vectors", f"select vec_id, round({_dot('embedding', 'embedding')}, 4) as square, round(list_sum(list_transform(embedding, lambda x: (x::double / sqrt({_dot('embedding', 'embedding')})) ** 2)), 4) as unit_square from embeddings")(
     lambda spark, sf: table(spark, sf, "embeddings").select("vec_id", F.round(V.dot(F.col("embedding"), F.col("embedding")), 4).alias("square"), F.round(V.dot(V.unit(F.col("embedding")), V.unit(F.col("embedding"))), 4).alias("unit_square"))
 )
+tables(
+    "text_seed_search",
+    f"""with u as (select vec_id, list_transform(embedding, lambda x: x::double / sqrt({_dot("embedding", "embedding")})) as u from embeddings),
+    m as (select list(x order by i) as mean from (select i, avg(x) as x from (select unnest(u) as x, generate_subscripts(u, 1) as i from u where contains(vec_id::varchar, '77')) group by i))
+    select vec_id::varchar as id, round({_dot("u", "mean")} / sqrt({_dot("u", "u")} * {_dot("mean", "mean")}), 6) as similarity from u, m where not contains(vec_id::varchar, '77') order by similarity desc, vec_id::varchar limit 8""",
+)(lambda spark, sf: V.text_search(table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding"), "id", "embedding", "77").select("id", F.round("similarity", 6).alias("similarity")))
+
+
+@tables("embedding_store", f"select vec_id::varchar as id, len(embedding)::int as dim, round({_dot('embedding', 'embedding')} / {_dot('embedding', 'embedding')}, 4) as square from embeddings")
+def _embedding_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors written and read again, of length 1."""
+    path = new_path(spark, "embeddings")
+    V.save_embeddings(table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector")), path)
+    return V.load_embeddings(spark, path).select("id", F.size("vector").alias("dim"), F.round(V.dot(F.col("vector"), F.col("vector")), 4).alias("square"))
+
+
 tables("kmeans_clusters")(lambda spark, sf: V.kmeans(table(spark, sf, "embeddings"), "vec_id", "embedding", 6))
 graph("node_embeddings")(lambda g: V.node_embeddings(g.staged()).select("id", F.size("vector").alias("dim")))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import ipaddress
+import re
+import unicodedata
 import zipfile
 from xml.etree import ElementTree
 
@@ -48,18 +50,22 @@ def _docx(content: pd.Series) -> pd.Series:
     return content.map(docx_text)
 
 
+@F.pandas_udf(StringType())
+def _plain(content: pd.Series) -> pd.Series:
+    return content.map(lambda x: x.decode("utf-8", "ignore"))
+
+
 @F.pandas_udf(StringType())
 def _pdf(content: pd.Series) -> pd.Series:
     return content.map(pdf_text)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, kind, text, error of files of the known kinds; larger ones and others have an error."""
+    """path, kind, text, error of files of the known kinds; larger ones and others have an error. Bytes that are no UTF-8 are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     raw = raw.select("path", kind.alias("kind"), "length", "content")
-    plain = F.decode(F.col("content"), "UTF-8")
-    text = F.when(F.col("length") > MAX_FILE_BYTES, None).when(F.col("kind").isin("txt", "md"), plain).when(F.col("kind") == "docx", _docx("content")).when(F.col("kind") == "pdf", _pdf("content"))
+    text = F.when(F.col("length") > MAX_FILE_BYTES, None).when(F.col("kind").isin("txt", "md"), _plain("content")).when(F.col("kind") == "docx", _docx("content")).when(F.col("kind") == "pdf", _pdf("content"))
     error = F.when(F.col("length") > MAX_FILE_BYTES, "too large").when(~F.col("kind").isin("txt", "md", "docx", "pdf"), "unknown kind").when(F.col("text").isNull(), "unreadable")
     return raw.withColumn("text", text).select("path", "kind", "text", error.alias("error"))
 
@@ -70,28 +76,53 @@ def pages_text(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", "text", F.when(F.col("text").isNull(), "no readable text").alias("error"))
 
 
-def _blocked(host: str) -> bool:
-    host = host.strip("[]").rstrip(".").lower()
-    if host in ("localhost", "metadata", "metadata.google.internal") or host.endswith((".localhost", ".local", ".internal")):
-        return True
+_NUMBERS = r"^(0[xX][0-9A-Fa-f]*|[0-9]+)([.](0[xX][0-9A-Fa-f]*|[0-9]+)){0,3}[.]?$"
+
+
+def address_of(host: str) -> ipaddress.IPv4Address | ipaddress.IPv6Address | None:
+    """The address that a host is in any spelling that resolvers take: one to four numbers, decimal, octal or hexadecimal."""
     try:
-        ip = ipaddress.ip_address(host)
+        return ipaddress.ip_address(host.split("%")[0])
     except ValueError:
-        return False
+        pass
+    if not re.match(_NUMBERS, host):
+        return None
+    try:
+        parts = [int(x, 16) if x[:2].lower() == "0x" else int(x, 8 if x[:1] == "0" else 10) for x in (y if y.lower() != "0x" else "0" for y in host.rstrip(".").split("."))]
+    except ValueError:
+        return None
+    *first, last = parts
+    if any(x > 255 for x in first) or last >= 256 ** (4 - len(first)):
+        return None
+    return ipaddress.IPv4Address(sum(x << 8 * (3 - i) for i, x in enumerate(first)) + last)
+
+
+def blocked_address(ip: ipaddress.IPv4Address | ipaddress.IPv6Address) -> bool:
+    ip = getattr(ip, "ipv4_mapped", None) or ip
     return ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast or ip.is_unspecified
 
 
+def blocked_host(host: str) -> bool:
+    """Whether a host is a private or reserved address, or a name of the own network; digits of any script count."""
+    host = unicodedata.normalize("NFKC", host).strip("[]").lower()
+    if re.search(r"(^|\.)(localhost|local|internal|metadata)\.?$", host):
+        return True
+    ip = address_of(host)
+    return blocked_address(ip) if ip else bool(re.match(r"^[0-9.]*$", host))
+
+
 @F.pandas_udf(BooleanType())
 def _blocked_udf(host: pd.Series) -> pd.Series:
-    return host.map(lambda h: None if h is None else _blocked(h))
+    return host.map(lambda h: None if h is None else blocked_host(h))
 
 
 def url_allowed(url: Column) -> Column:
-    """Whether a url is http or https and its host neither private nor reserved. Only hosts of digits reach Python."""
-    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    """Whether a url is http or https and its host neither private nor reserved. Only hosts that could be numbers reach Python."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#\\]*@)?(\[[^\]]*\]|[^/?#:\\]*)", 1)
     web = F.lower(url).rlike("^https?://") & (host != "")
     named = F.lower(host).rlike(r"(^|\.)(localhost|local|internal|metadata)\.?$")
-    return F.coalesce(web & ~named & F.when(host.rlike(r"^[0-9.]+$|^\["), ~_blocked_udf(host)).otherwise(True), F.lit(False))
+    odd = host.rlike(_NUMBERS + r"|^[0-9.]*$|^\[|[^\x21-\x7e]|%")
+    return F.coalesce(web & ~named & F.when(odd, ~_blocked_udf(host)).otherwise(True), F.lit(False))
 
 
 def long_enough(text: Column, least: int = SHORT_ARTICLE) -> Column:
@@ -102,13 +133,32 @@ def request_ok(text: Column, most: int = MAX_REQUEST) -> Column:
     return (F.length(F.trim(text)) > 0) & (F.length(text) <= most)
 
 
+# The feeds that are read where none are given.
+DEFAULT_FEEDS = (
+    ("https://feeds.bbci.co.uk/news/world/rss.xml", "BBC World"),
+    ("https://www.aljazeera.com/xml/rss/all.xml", "Al Jazeera"),
+    ("https://www.reuters.com/world/rss", "Reuters World"),
+    ("https://feeds.npr.org/1004/rss.xml", "NPR World"),
+)
+
+
+def default_feeds(spark: SparkSession) -> DataFrame:
+    """The registry (url, name) to begin with."""
+    return spark.createDataFrame(list(DEFAULT_FEEDS), "url string, name string")
+
+
 def feed_entries(spark: SparkSession, path: str, per_feed: int = 10) -> DataFrame:
-    """feed, title, link, summary, published of the first entries of RSS files, in file order."""
-    schema = "title string, link string, description string, pubDate string"
-    items = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-    rows = items.select(F.col("_metadata.file_path").alias("feed"), F.monotonically_increasing_id().alias("pos"), "title", "link", F.col("description").alias("summary"), F.col("pubDate").alias("published"))
+    """feed, title, link, summary, published of the first entries of RSS (item) and Atom (entry) files, in file order."""
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    place = [F.col("_metadata.file_path").alias("feed"), F.monotonically_increasing_id().alias("pos"), "title"]
+    rss = read("item", "title string, link string, description string, pubDate string")
+    rss = rss.select(*place, "link", F.col("description").alias("summary"), F.col("pubDate").alias("published"))
+    link = "array<struct<_VALUE: string, _href: string, _rel: string>>"
+    atom = read("entry", f"title string, link {link}, summary string, content string, updated string, published string")
+    told = F.element_at(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), 1)["_href"]
+    atom = atom.select(*place, F.when(F.size("link") > 0, told).alias("link"), F.coalesce("summary", "content").alias("summary"), F.coalesce("published", "updated").alias("published"))
     w = Window.partitionBy("feed").orderBy("pos")
-    return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_feed).drop("pos")
+    return rss.unionByName(atom).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_feed).drop("pos")
 
 
 def add_feeds(feeds: DataFrame, new: DataFrame) -> DataFrame:

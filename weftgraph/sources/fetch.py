@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
+import socket
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -10,14 +13,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import html_text
-from weftgraph.sources.documents import MAX_TEXT, url_allowed
+from weftgraph.sources.documents import MAX_TEXT, blocked_address, blocked_host, url_allowed
 
 Fetcher = Callable[[str], str]
 TIMEOUT = 15
 
 
+def check_url(url: str) -> None:
+    """Raises where a url isn't http or https, or its host is, or resolves to, a private or reserved address."""
+    parts = urllib.parse.urlsplit(url)
+    host = parts.hostname or ""
+    if parts.scheme not in ("http", "https") or not host or blocked_host(host):
+        raise ValueError("url not allowed")
+    for found in socket.getaddrinfo(host, parts.port or 80, proto=socket.IPPROTO_TCP):
+        if blocked_address(ipaddress.ip_address(found[4][0].split("%")[0])):
+            raise ValueError("url not allowed")
+
+
+class _Checked(urllib.request.HTTPRedirectHandler):
+    def redirect_request(self, req, fp, code, msg, headers, newurl):
+        check_url(newurl)
+        return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+
 def over_http(url: str) -> str:
-    with urllib.request.urlopen(url, timeout=TIMEOUT) as r:  # noqa: S310  urls are checked before
+    """A page's text. Its url and those that it redirects to are checked, with the addresses of their hosts."""
+    check_url(url)
+    with urllib.request.build_opener(_Checked).open(url, timeout=TIMEOUT) as r:
         return r.read(10 << 20).decode(r.headers.get_content_charset() or "utf-8", "ignore")
 
 

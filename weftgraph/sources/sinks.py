@@ -28,16 +28,18 @@ def _xml(c):
     return F.replace(c, F.lit('"'), F.lit("&quot;"))
 
 
+_KEYS = (("n_group", "node", "string"), ("n_confidence", "node", "double"), ("n_title", "node", "string"), ("n_attributes", "node", "string"), ("e_label", "edge", "string"), ("e_confidence", "edge", "double"), ("e_weight", "edge", "double"))
+_KEY_TAGS = "".join(f'<key id="{k}" for="{f}" attr.name="{k.split("_")[1]}" attr.type="{t}"/>' for k, f, t in _KEYS)
+GRAPHML_HEAD = f'<?xml version="1.0" encoding="utf-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">{_KEY_TAGS}<graph edgedefault="directed">'
+
+
 def graphml_rows(g: Graph) -> DataFrame:
     """part (0 head, 1 nodes, 2 edges, 3 foot) and value: lines of GraphML. Attributes are written as JSON text."""
 
     def data(key: str, c):
         return F.when(c.isNotNull(), F.concat(F.lit(f'<data key="{key}">'), _xml(c.cast("string")), F.lit("</data>"))).otherwise("")
 
-    keys = "".join(f'<key id="{k}" for="{f}" attr.name="{k.split("_")[1]}" attr.type="{t}"/>' for k, f, t in (("n_group", "node", "string"), ("n_confidence", "node", "double"), ("n_title", "node", "string"), ("n_attributes", "node", "string"), ("e_label", "edge", "string"), ("e_confidence", "edge", "double"), ("e_weight", "edge", "double")))
-    head = f'<?xml version="1.0" encoding="utf-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="directed">'
-    spark = g.spark
-    ends = spark.createDataFrame([(0, head), (3, "</graph></graphml>")], "part int, value string")
+    ends = g.spark.createDataFrame([(0, GRAPHML_HEAD), (3, "</graph></graphml>")], "part int, value string")
     nodes = g.v.select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('">'), data("n_group", F.col("group")), data("n_confidence", F.col("confidence")), data("n_title", F.col("title")), data("n_attributes", F.to_json("attributes")), F.lit("</node>")).alias("value"))
     edges = g.e.select(F.lit(2).alias("part"), F.concat(F.lit('<edge source="'), _xml(F.col("src")), F.lit('" target="'), _xml(F.col("dst")), F.lit('">'), data("e_label", F.col("label")), data("e_confidence", F.col("confidence")), data("e_weight", F.col("weight")), F.lit("</edge>")).alias("value"))
     return ends.unionByName(nodes).unionByName(edges)

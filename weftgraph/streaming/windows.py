@@ -15,7 +15,7 @@ LIMIT, SECONDS = 60, 60
 def rate_violations(events: DataFrame, key: str, limit: int = LIMIT, seconds: int = SECONDS) -> DataFrame:
     """Events (key, ts) that are beyond `limit` in the last `seconds` of their key, with the number seen.
 
-    All events count, rejected ones too; an event exactly `seconds` old counts.
+    All events count, rejected ones too; an event exactly `seconds` old counts. SlidingLimiter goes by the same rule.
     """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     w = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
@@ -23,13 +23,16 @@ def rate_violations(events: DataFrame, key: str, limit: int = LIMIT, seconds: in
 
 
 class SlidingLimiter(StatefulProcessor):
-    """Keeps the times of a key's admitted events of the last `seconds`; rejects what is beyond `limit`."""
+    """Keeps the times of a key's events of the last `seconds`, no more than `limit`; rejects an event that `limit` others precede.
 
-    def __init__(self, limit: int = LIMIT, seconds: int = SECONDS) -> None:
-        self.limit, self.seconds = limit, seconds
+    A key that is idle for `idle` times as long in processing time is forgotten (None: never).
+    """
+
+    def __init__(self, limit: int = LIMIT, seconds: int = SECONDS, idle: int | None = 10) -> None:
+        self.limit, self.seconds, self.idle = limit, seconds, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "t double")
+        self.times = handle.getListState("times", "t double", ttlDurationMs=self.seconds * self.idle * 1000 if self.idle else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [t[0] for t in self.times.get()] if self.times.exists() else []
@@ -37,11 +40,9 @@ class SlidingLimiter(StatefulProcessor):
             x = x.sort_values("t")
             out = []
             for t in x["t"]:
-                held = [h for h in held if h > t - self.seconds]
-                ok = len(held) < self.limit
-                if ok:
-                    held.append(t)
-                out.append(ok)
+                held = [h for h in held if h >= t - self.seconds]
+                out.append(len(held) < self.limit)
+                held = [*held, t][-self.limit :]  # the newest are enough to tell what comes
             yield pd.DataFrame({"key": [key[0]] * len(x), "t": x["t"], "admitted": out})
         if held:
             self.times.put([(t,) for t in held])
@@ -52,9 +53,12 @@ class SlidingLimiter(StatefulProcessor):
         pass
 
 
-def limited(stream: DataFrame, limit: int = LIMIT, seconds: int = SECONDS) -> DataFrame:
-    """key, t, admitted of a stream (key string, t seconds). Needs the RocksDB state store."""
-    return stream.groupBy("key").transformWithStateInPandas(SlidingLimiter(limit, seconds), "key string, t double, admitted boolean", "Append", "None")
+def limited(stream: DataFrame, limit: int = LIMIT, seconds: int = SECONDS, idle: int | None = 10) -> DataFrame:
+    """key, t, admitted of a stream (key string, t seconds). Needs the RocksDB state store.
+
+    For runs that take what is there and end (availableNow) pass idle=None: with a clock in its state a stream never ends.
+    """
+    return stream.groupBy("key").transformWithStateInPandas(SlidingLimiter(limit, seconds, idle), "key string, t double, admitted boolean", "Append", "ProcessingTime" if idle else "None")
 
 
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes") -> DataFrame:
