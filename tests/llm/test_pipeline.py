@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from tests.llm.helpers import ODD, words
 
@@ -57,6 +59,27 @@ def test_stages_one_after_the_other(spark, tmp_path):
     assert again == {(r.doc_id, r.copies) for r in rows}
 
 
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, long and repeated texts, columns whose names and types stages use inside, and tables without rows."""
+    at = str(tmp_path / "sf")
+    spark.createDataFrame([(3, 1, 1), (None, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight"), (2, None)], "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
+    rows = [(*r, None)[:3] if len(r) == 2 else r for r in ODD]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    clash = {n: F.lit(n) for n in ("row", "h", "t", "key", "class", "leak", "toxicity", "n_chars", "text key", "text is null", "size")}
+    docs = docs.withColumns(clash).withColumn("m", F.create_map(F.lit("k"), "doc_id")).withColumn("lang", F.array(F.create_map(F.lit("k"), "text")))
+    for name, part, left in (("odd", docs, 6), ("none", docs.limit(0), 0)):
+        for i, (stage, step) in enumerate(P.STAGES):
+            out = step(spark, part, at)
+            if i < len(P.STAGES) - 1:
+                assert out.schema.simpleString() == docs.schema.simpleString(), stage
+            out.write.parquet(f"{at}/{name}{i}")
+            part = spark.read.parquet(f"{at}/{name}{i}")
+            if i == 3:
+                assert sorted(str(r.doc_id) for r in part.collect()) == ([] if not left else ["1", "3", "4", "5", "7", "8"]), stage
+        assert (part.count() > 0) == bool(left)
+
+
 def test_names_and_order():
     assert [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "benchmark_decontamination", "source_mixing"]
     assert P.ORACLE_SQL is None

@@ -360,12 +360,14 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = T
     """
     judged = near_duplicates(docs, threshold, tolerance)
     judged = stage(judged.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "jaccard-judged")
-    names, key, id_ = docs.columns, "text key", "text id"
+    names, key, id_, other = docs.columns, "text key", "text id", "other key"
+    while {key, id_, other} & set(names):
+        key, id_, other = key + "_", id_ + "_", other + "_"
     whole = docs.withColumn(key, _key(F.col("text")))
 
     def picked(rows: DataFrame, how: str) -> DataFrame:
-        rows = rows.select(F.col("doc_id").alias(id_), F.col("key").alias("other key"))
-        return whole.join(rows, (F.col(key) == F.col("other key")) & F.col("doc_id").eqNullSafe(F.col(id_)), how)
+        rows = rows.select(F.col("doc_id").alias(id_), F.col("key").alias(other))
+        return whole.join(rows, (F.col(key) == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(id_)), how)
 
     gone = judged.filter("not kept or n > 1")
     among = row_filter(gone)(F.col("doc_id"), F.col(key))
