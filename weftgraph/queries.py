@@ -506,7 +506,7 @@ graph(
 
 # -- documents ------------------------------------------------------------------------------------
 
-tables("chunk_documents")(lambda spark, sf: X.chunk_rows(table(spark, sf, "documents"), most=2000, overlap=200))
+tables("chunk_documents")(lambda spark, sf: X.chunk_rows(table(spark, sf, "documents")))
 tables("html_text")(lambda spark, sf: D.pages_text(table(spark, sf, "pages")))
 _strip = "trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\f\\r\\x0b]{2,}', ' ', 'g'))"
 tables("html_strip_tags", f"select page_id, {_strip} as text from pages")(lambda spark, sf: table(spark, sf, "pages").select("page_id", X.strip_tags(F.col("html")).alias("text")))
