@@ -7,12 +7,15 @@
    probability that its similarity reaches the threshold falls below TOLERANCE. A bucket emits a spanning forest of the
    pairs that pass, never the pairs.
 3. Components of these forests are groups of likely near duplicates. Each class's shingles are read again and brought to
-   its group once; all pairs of a group are compared, pruned the same way, and what is left is verified exactly by the
-   sizes of the sets' intersections. A group beyond a block's size is spread over pairs of blocks.
+   its group once; all pairs of a group are compared, pruned the same way at EXACT_TOLERANCE, and what is left is verified
+   exactly by the sizes of the sets' intersections. A group beyond a block's size is spread over pairs of blocks.
 4. What comes out is the number of links of each class and a spanning forest of the exact links, whose components are the
    near-duplicate groups.
 
-A pair at the threshold shares no band with probability (1 - t^ROWS)^BANDS, 3e-6 at 0.8.
+A pair at the threshold shares no band with probability (1 - t^ROWS)^BANDS, 3e-6 at 0.8, and is pruned with a further 1e-5,
+so 1.3e-5 in all (2e-6 at 0.82) would not bring two classes into one group by themselves; within a group hardly any link is lost.
+A group's pairs are all compared, for the numbers of links; that work, and the rows that pairs of blocks read, grow with
+the square of a group beyond a block.
 
 Words part at white space, A-Z in lower case. Similarity is the Jaccard index of the sets of shingles. Cases: a null text
 is empty; a text of fewer than K words has one shingle of all its words; a text without words has none, is linked to
@@ -41,7 +44,7 @@ K = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
-TOLERANCE = 1e-6
+TOLERANCE, EXACT_TOLERANCE = 1e-6, 1e-12
 STEP = 16
 #: The most classes of a bucket, and shingles of a group, in a block.
 BLOCK_ROWS, BLOCK_SHINGLES = 2000, 2_000_000
@@ -271,7 +274,7 @@ def likely_links(classes: DataFrame, tolerance: float = TOLERANCE, threshold: fl
     return placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class").mapInArrow(compare, "a bigint, b bigint")
 
 
-def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, tolerance: float = EXACT_TOLERANCE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """a, b, links: edges of forests of exact links (links null), and for a class the linked rows of one block pair (b null)."""
     needed = least_matches(threshold, tolerance)
     inside = stage(classes.join(groups, F.col("class") == F.col("id")).select("class", "doc_id", "key", "root", "size", "shingles", "signature"), "jaccard-inside")
@@ -341,7 +344,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     sketches = rows.select(F.col("row").alias("class"), "doc_id", "key", "signature", "bands")
     classes = stage(firsts.join(sketches, "class"), "jaccard-classes")
     groups = components(likely_links(classes, tolerance, threshold, block_rows))
-    found = stage(exact_links(docs, classes, groups, threshold, tolerance, block_shingles), "jaccard-links")
+    found = stage(exact_links(docs, classes, groups, threshold, min(tolerance, EXACT_TOLERANCE), block_shingles), "jaccard-links")
     exact = components(found.filter("b is not null").select("a", "b"))
     links = stage(found.filter("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links")), "jaccard-counts")
     known = firsts.join(exact, F.col("class") == F.col("id"), "left").join(links, "class", "left")
