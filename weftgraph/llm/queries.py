@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, decontaminate, exact_dedup, language_model, mixing, ngram_join, quality, toxicity, url_reputation, warc
+from weftgraph.llm import chat, decontaminate, exact_dedup, language_id, language_model, merkle, mixing, ngram_join, prefix_trie, quality, toxicity, url_reputation, warc
 from weftgraph.stage import table
 
 
@@ -56,9 +56,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("key", "parent")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_quality_classifier, op4_warc, op5_url_filters, op6_decontamination, op7_ngram_jaccard_join, op8_mixing, op9_lm_scoring, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_quality_classifier, op4_warc, op5_url_filters, op6_decontamination, op7_ngram_jaccard_join, op8_mixing, op9_lm_scoring, op10_exact_dedup, op11_prefix_trie, op12_language_id, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.SQL, "op4_warc": warc.SQL, "op5_url_filters": url_reputation.SQL, "op7_ngram_jaccard_join": ngram_join.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op2_chat_formatting": chat.SQL, "op4_warc": warc.SQL, "op5_url_filters": url_reputation.SQL, "op7_ngram_jaccard_join": ngram_join.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_prefix_trie": prefix_trie.SQL, "op13_merkle_manifest": merkle.SQL}
