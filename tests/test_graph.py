@@ -10,6 +10,7 @@ from weftgraph.graph import Graph
 from weftgraph.operators import analytics as A
 from weftgraph.operators import mutate as M
 from weftgraph.operators import paths as P
+from weftgraph.operators import trees
 from weftgraph.operators import relational as R
 from weftgraph.operators import vectors as V
 from weftgraph.operators.components import components
@@ -156,7 +157,7 @@ def test_components_and_bridges_by_brute_force(spark, seed):
     assert {r.id: r.component for r in P.wcc(graph).collect()} == parts(edges)
     und = sorted({tuple(sorted(e)) for e in edges if e[0] != e[1]})
     want = [e for e in und if len(set(parts([x for x in und if x != e]).values())) > len(set(parts(und).values()))]
-    assert rows(P.bridges(graph)) == want
+    assert rows(trees.bridges(graph)) == want
 
 
 def test_components_of_a_long_chain(spark):

@@ -13,10 +13,11 @@ from weftgraph.functions import text as X
 from weftgraph.functions.extract import clean_output, extract, first_object, lexicon_extractor, parse_answers, unseen
 from weftgraph.graph import Graph
 from weftgraph.sources import documents as D
-from weftgraph.sources import nodelink, sinks
+from weftgraph.sources import nodelink, pdf, sinks
 from weftgraph.stage import new_path
 from weftgraph.streaming import windows as W
-from weftgraph.streaming.ingest import GraphStore, delta, feed_totals, ingest, ingest_batch, once_per_url, statuses
+from weftgraph.streaming.ingest import delta, feed_totals, ingest, ingest_batch, once_per_url, statuses
+from weftgraph.streaming.store import BatchLog, GraphStore
 
 
 def plain_chunks(text, most, overlap):
@@ -40,8 +41,12 @@ def plain_chunks(text, most, overlap):
 @pytest.mark.parametrize("most, overlap", [(200, 20), (60, 59), (2000, 100)])
 def test_chunks_follow_the_plain_model(spark, sf_dir, most, overlap):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()] + ["", " a ", "x" * 500, "One. Two! Three? " * 40, "a" * 300 + ". b."]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.chunks(F.col("t"), most, overlap).alias("c"))
-    assert {r.i: r.c for r in df.collect()} == {i: plain_chunks(t, most, overlap) for i, t in enumerate(texts)}
+    rows = X.chunk_rows(spark.createDataFrame([*enumerate(texts), (None, "x" * 9000), (-1, None)], "doc_id int, text string"), "doc_id", most, overlap).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r.chunk):
+        got.setdefault(r.doc_id, []).append(r.text)
+        assert r.chunk == len(got[r.doc_id]) <= r.n_chunks
+    assert len(got.pop(None)) > 1 and got == {i: plain_chunks(t, most, overlap) for i, t in enumerate(texts)}
 
 
 def test_first_object():
@@ -144,6 +149,18 @@ def test_files(spark, tmp_path):
     (tmp_path / "bad.md").write_bytes(b"a\xffb\xc3")
     assert [r.text for r in D.files(spark, str(tmp_path)).filter("kind = 'md'").collect()] == ["ab"]
     (tmp_path / "bad.md").unlink()
+    with zipfile.ZipFile(tmp_path / "nobody.docx", "w") as z:
+        z.writestr("word/document.xml", "<a/>")
+    with zipfile.ZipFile(tmp_path / "bomb.docx", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", b"<a>" + b" " * (65 << 20) + b"</a>")
+    (tmp_path / "e.pdf").write_bytes(b"no pdf")
+    (tmp_path / "f.pdf").write_bytes(pdf.write(["Body of a page"]))
+    (tmp_path / "g.txt").write_bytes(b"x" * (11 << 20))
+    odd = {r.path.rpartition("/")[2]: (r.text, r.error) for r in D.files(spark, str(tmp_path)).collect()}
+    assert odd["nobody.docx"] == odd["bomb.docx"] == odd["e.pdf"] == odd["c.docx"] == (None, "unreadable")
+    assert odd["f.pdf"] == ("Body of a page", None) and odd["g.txt"] == (None, "too large")
+    for name in ("nobody.docx", "bomb.docx", "e.pdf", "f.pdf", "g.txt"):
+        (tmp_path / name).unlink()
     got = {r.path[-5:]: (r.text, r.error) for r in D.files(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": ("héllo", None), ".docx": got[".docx"], "d.exe": (None, "unknown kind")}
     texts = {r.text for r in D.files(spark, str(tmp_path)).filter("kind = 'docx'").collect()}
@@ -306,33 +323,84 @@ def test_windows(spark):
 def test_article_text(spark):
     long = "word " * 60
     df = spark.createDataFrame([(f"<body><header>h</header><nav>n</nav><p>{long}</p><footer>f</footer></body>",), ("<p>short</p>",), (None,)], "h string")
-    assert [r[0] for r in df.select(X.article_text(F.col("h"))).collect()] == [f"h {long}".strip(), " short ", None]
+    assert [r[0] for r in df.select(X.article_text(F.col("h"))).collect()] == [long.strip(), " short ", None]
 
 
 def test_store_refuses_gaps_and_other_checkpoints(spark):
     run = lexicon_extractor({"Iran": "country", "Peru": "country", "Ann": "person"}, {"sanctions": "sanctions"})
     docs = lambda *rows: spark.createDataFrame(list(rows), "doc_id bigint, text string")
-    store = GraphStore(spark, new_path(spark, "store"))
+    store = GraphStore(spark, new_path(spark, "store"), buckets=8)
     ingest_batch(store, run, docs((9_300_000_000_000, "Iran sanctions Peru."), (None, "Ann")), 0)
+    with pytest.raises(ValueError):  # a second checkpoint's first batch, on a store of one version
+        ingest_batch(store, run, docs((2, "Gamma")), 0, owner="other")
     ingest_batch(store, run, docs((1, "Ann sanctions Iran. Iran")), 1)
     with pytest.raises(ValueError):
         ingest_batch(store, run, docs((2, "Peru")), 5)
     with pytest.raises(ValueError):
         ingest_batch(store, run, docs((2, "Peru")), 0)
+    with pytest.raises(ValueError):
+        ingest_batch(store, run, docs((2, "Peru")), 2, owner="other")
     g, seen = store.load(1)
     assert sorted((r.src, r.dst) for r in g.e.collect()) == [("Ann", "Iran"), ("Iran", "Peru")] and seen.count() == 5
     assert [r.id for r in g.v.orderBy("seq").collect()][-1] != "Ann"  # a null id comes first
 
 
 def test_store_keeps_few_versions_and_all_keys(spark):
-    store, g = GraphStore(spark, new_path(spark, "store"), keep=2, compact=2), Graph.literal(spark, [("A", "x")], [])
+    store, g = GraphStore(spark, new_path(spark, "store"), keep=2, compact=2, buckets=4), Graph.literal(spark, [("A", "x")], [])
     keys = lambda i: spark.createDataFrame([(f"k{i}",)], "key string")
     for i in (0, 1, 1, 2, 3, 4, 5):  # with a rerun
         assert store.before(i) == i - 1
         store.save(i, g, keys(i))
-    assert store.versions() == [4, 5] and len(store.versions("seen")) < 6
+    assert store.versions() == [4, 5] and len(store.seen.ranges()) < 6
+    assert store.files.names("parts") == ["000000000004", "000000000005"]
     assert sorted(r.key for r in store.load(5)[1].collect()) == [f"k{i}" for i in range(6)]
     with pytest.raises(ValueError):
         store.load(0)
     store.clear()
     assert store.newest() == -1 and store.load(-1)[0].v.count() == 0
+
+
+def test_a_batch_rewrites_the_buckets_that_it_touches(spark):
+    """A few documents on a graph of many vertices: only their buckets are written, and the graph is that of an upsert."""
+    store = GraphStore(spark, new_path(spark, "store"), buckets=64)
+    many = Graph.of(spark.range(20_000).selectExpr("concat('Q', hex(id * 7919)) as id", "'person' as `group`", "0.5 as confidence", "id as seq"), spark.createDataFrame([("Q0", "Q1EEF", "knows", 0.5)], "src string, dst string, label string, confidence double"))
+    store.save(0, many, spark.createDataFrame([], "key string"))
+    run = lexicon_extractor({"Iran": "country", "Peru": "country"}, {"sanctions": "sanctions"})
+    change = ingest_batch(store, run, spark.createDataFrame([(i, "Iran sanctions Peru.") for i in range(10)], "doc_id bigint, text string"), 1)
+    assert sorted(r.id for r in change.nodes_added.collect()) == ["Iran", "Peru"]
+    written = store.files.names("parts/000000000001/vertices"), store.files.names("parts/000000000001/edges")
+    assert 1 <= len([n for n in written[0] if n[0] == "b"]) <= 2 and len([n for n in written[1] if n[0] == "b"]) == 1
+    g, _ = store.load(1)
+    assert g.v.count() == 20_002 and sorted((r.src, r.dst) for r in g.e.collect()) == [("Iran", "Peru"), ("Q0", "Q1EEF")]
+
+
+def test_an_update_function_takes_the_place_of_the_upsert(spark):
+    from weftgraph.operators.mutate import applied
+
+    told = []
+
+    def update(g, x, names):
+        told.append(x.count())
+        return applied(g, x.filter("class <> 'person'"), names)
+
+    store = GraphStore(spark, new_path(spark, "store"), buckets=4)
+    run = lexicon_extractor({"Iran": "country", "Ann": "person"}, {})
+    ingest_batch(store, run, spark.createDataFrame([(1, "Ann. Iran.")], "doc_id bigint, text string"), 0, update=update)
+    assert told == [2] and [r.id for r in store.load(0)[0].v.collect()] == ["Iran"]
+
+
+def test_batch_log_survives_a_crash_while_it_tidies(spark, monkeypatch):
+    log = BatchLog(spark, new_path(spark, "log"), "x string", keep=1, compact=3)
+    rows = lambda i: spark.createDataFrame([(f"x{i}",)], "x string")
+    dropped = log.files.drop
+    for i in range(8):
+        if i == 3:  # dies as soon as the larger folder is marked
+            monkeypatch.setattr(log.files, "drop", lambda name: (_ for _ in ()).throw(RuntimeError("crash")))
+            with pytest.raises(RuntimeError):
+                log.write(i, rows(i))
+            monkeypatch.setattr(log.files, "drop", dropped)
+        log.write(i, rows(i))
+        assert sorted((r.batch, r.x) for r in log.read().collect()) == [(k, f"x{k}") for k in range(i + 1)]
+    assert len(log.ranges()) < 6 and log.batches() == 7 and log.read(3).count() == 3 + (log.ranges()[0][1] == 3 or (3, 3) in log.ranges())
+    with pytest.raises(ValueError):
+        log.write(0, rows(0))

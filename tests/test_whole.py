@@ -9,7 +9,7 @@ import pytest
 
 from tests.test_graph import brute_betweenness, g
 from weftgraph import fixtures, queries
-from weftgraph.operators import mutate as M
+from weftgraph.operators import matching
 
 EDGES = [("S1", "N1", "based in"), ("S2", "N2", "based in"), ("N1", "N2", "threatens"), ("N2", "N3", "monitors"), ("N3", "N1", "cooperates with"), ("N1", "R1", "member of"), ("N3", "R1", "member of"), ("NATION_6", "N1", "monitors")]
 VERTICES = [*((n, "country") for n in ("N1", "N2", "N3", "NATION_6")), ("S1", "organization"), ("S2", "organization"), ("R1", "organization"), ("P1", "person")]
@@ -83,7 +83,8 @@ def test_name_queries_take_all_names(spark, small):
 def test_similar_pairs_by_brute_force(spark, monkeypatch):
     r = random.Random(6)
     ids = sorted({"".join(r.choice("abA1") for _ in range(r.randrange(1, 9))) for _ in range(120)} | {f"Customer#{i:05}" for i in range(40)})
-    monkeypatch.setattr(M, "_TALL", 30)
+    monkeypatch.setattr(matching, "TALL", 30)
+    monkeypatch.setattr(matching, "WIDE", 50)
     monkeypatch.setattr(fixtures, "build", lambda *_: g(spark, [], [(i, "person") for i in ids]))
     got = {(x.a, x.b): x.score for x in queries.QUERIES["similar_names"](spark, "").collect()}
     want = {(a, b): SequenceMatcher(None, a.lower(), b.lower()).ratio() for a in ids for b in ids if a < b}

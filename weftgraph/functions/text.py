@@ -1,18 +1,21 @@
-"""Text: chunks, words, seeds and contexts for retrieval, HTML to text, signs of injection. Columns, but for the DOM."""
+"""Text: chunks, words, seeds and contexts for retrieval, HTML to text, signs of injection. Columns, but for long texts and the DOM."""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from weftgraph import vocab
+from weftgraph.batches import bounded
 from weftgraph.graph import Graph
 
 CHUNK_CHARS, CHUNK_OVERLAP = 8000, 400
@@ -53,23 +56,32 @@ def split_text(text: str, most: int, overlap: int) -> list[str]:
     return out + ([now] if now else []) or [text]
 
 
-def chunks(text: Column, most: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> Column:
-    """An array of chunks of at most `most` characters, cut after sentences; a next chunk repeats the last one's end.
+def _chunker(kind: str, id_: str, most: int, overlap: int) -> type:
+    """A table function from rows of an id and a long text to rows of its chunks."""
 
-    A text that fits is one chunk as it is. A sentence that doesn't fit is cut at a fixed stride. Arrow batches reach Python.
-    """
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, most, overlap), na_action="ignore")
+    class Chunks:
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            keys = batch.column(0)
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                parts = split_text(text, most, overlap)
+                n = len(parts)
+                yield pa.table({id_: pa.concat_arrays([keys.slice(i, 1)] * n), "chunk": pa.array(range(1, n + 1), pa.int32()), "n_chunks": pa.array([n] * n, pa.int32()), "text": pa.array(parts, pa.string())})
 
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(cut(text))
+    return F.arrow_udtf(Chunks, returnType=f"`{id_}` {kind}, chunk int, n_chunks int, text string")
 
 
 def chunk_rows(docs: DataFrame, id_: str = "doc_id", most: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """id, chunk (from 1), n_chunks, text for each chunk of each text; a null text has none."""
-    every = docs.filter("text is not null").select(id_, chunks(F.col("text"), most, overlap).alias("chunks"))
-    return every.select(id_, F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("pos", "text")).select(id_, (F.col("pos") + 1).alias("chunk"), "n_chunks", "text")
+    """id, chunk (from 1), n_chunks, text for each chunk of each text; a null text has none.
+
+    Chunks have at most `most` characters and are cut after sentences; a next chunk repeats the last one's end. A sentence that
+    doesn't fit is cut at a fixed stride. A text that fits is one chunk as it is and doesn't reach Python; the others go to a table
+    function that gives its chunks as rows, so no row holds all chunks of a text.
+    """
+    rows = bounded(docs).filter("text is not null").select(id_, "text")
+    fits = F.length("text") <= most
+    one = rows.filter(fits).select(id_, F.lit(1).alias("chunk"), F.lit(1).alias("n_chunks"), "text")
+    cut = _chunker(docs.schema[id_].dataType.simpleString(), id_, most, overlap)
+    return one.unionByName(cut(rows.filter(~fits).asTable()))
 
 
 def name_words(text: Column) -> Column:
@@ -90,7 +102,7 @@ def retrieval_seeds(g: Graph, queries: DataFrame) -> DataFrame:
 
 def fuzzy_seed(g: Graph, query: str, least: float = 0.4) -> DataFrame:
     """The vertex most like any word of a query, where none shares a word; none below `least`."""
-    from weftgraph.operators.mutate import similarity
+    from weftgraph.operators.matching import similarity
 
     words = [w for w in set(re.sub(r"[^\w\s]", "", query.lower()).split()) if len(w) > 2]
 
@@ -174,27 +186,168 @@ def dom_text(html: str, dropped: frozenset[str] = BOILERPLATE, containers: bool
     return re.sub(r"\s{2,}", " ", " ".join(t for _, t in p.texts)).strip()
 
 
+# -- the readable part of a page ------------------------------------------------------------------
+
+# Fixed values of the published rule: what counts for and against an element by its class and id, and points by tag.
+UNLIKELY = "combx|comment|community|disqus|extra|foot|header|menu|remark|rss|shoutbox|sidebar|sponsor|ad-break|agegate|pagination|pager|popup|tweet|twitter"
+MAYBE = "and|article|body|column|main|shadow"
+POSITIVE = "article|body|content|entry|hentry|main|page|pagination|post|text|blog|story"
+NEGATIVE = "combx|comment|com-|contact|foot|footer|footnote|masthead|media|meta|outbrain|promo|related|scroll|shoutbox|sidebar|sponsor|shopping|tags|tool|widget"
+TAG_POINTS = {"div": 5, "article": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5, "th": -5, "header": -5, "footer": -5, "nav": -5, "aside": -5}
+BLOCKS = frozenset(("a", "blockquote", "dl", "div", "img", "ol", "p", "pre", "table", "ul", "section", "article", "main"))
+LEAST_PARAGRAPH, LEAST_READABLE = 25, 200
+_UNLIKELY, _MAYBE, _POSITIVE, _NEGATIVE = (re.compile(x, re.I) for x in (UNLIKELY, MAYBE, POSITIVE, NEGATIVE))
+_SCRIPTS = frozenset(("script", "style", "noscript", "template"))
+#: Start tags that end an open paragraph.
+_ENDS_P = frozenset(("p", "div", "ul", "ol", "dl", "table", "section", "article", "main", "nav", "header", "footer", "aside", "form", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"))
+
+
+class _Page(HTMLParser):
+    """The elements of a page in document order, as columns: tag, parent, class weight, own pieces of text."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.tag, self.parent, self.weight, self.block = ["#root"], [-1], [0], [False]
+        self.pieces: list[tuple[int, str, bool]] = []  # element, text, whether in a link
+        self.open, self.hidden, self.links = [0], 0, 0
+        self.dropped: list[bool] = [False]
+
+    def handle_starttag(self, tag, attrs) -> None:
+        if tag in _Texts.VOID:
+            if tag == "br" and not self.hidden:
+                self.pieces.append((self.open[-1], " ", self.links > 0))
+            return
+        if tag in _ENDS_P and self.tag[self.open[-1]] == "p":
+            self._close(len(self.open) - 1)
+        told = dict(attrs)
+        names = [told.get("class") or "", told.get("id") or ""]
+        both = " ".join(names)
+        drop = tag in _SCRIPTS or tag not in ("html", "body") and bool(_UNLIKELY.search(both)) and not _MAYBE.search(both)
+        up = self.open[-1]
+        if tag in BLOCKS:
+            self.block[up] = True
+        self.tag.append(tag)
+        self.parent.append(up)
+        self.weight.append(sum(25 * bool(_POSITIVE.search(x)) - 25 * bool(_NEGATIVE.search(x)) for x in names if x))
+        self.block.append(False)
+        self.dropped.append(drop)
+        self.open.append(len(self.tag) - 1)
+        self.hidden += drop
+        self.links += tag == "a"
+
+    def _close(self, i: int) -> None:
+        for e in self.open[i:]:
+            self.hidden -= self.dropped[e]
+            self.links -= self.tag[e] == "a"
+        del self.open[i:]
+
+    def handle_endtag(self, tag) -> None:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.tag[self.open[i]] == tag:
+                self._close(i)
+                return
+
+    def handle_data(self, data) -> None:
+        if not self.hidden and data:
+            self.pieces.append((self.open[-1], data, self.links > 0))
+
+
+def _flat(text: str) -> str:
+    return re.sub(r"\s+", " ", text).strip()
+
+
+def readable_text(html: str) -> str:
+    """The article of a page, without menus, or an empty text.
+
+    Paragraphs of some length give points, by their commas and length, to the element that holds them and half of them to the one above;
+    an element's points shrink by the share of its text that is links. The best element's text is taken, with those
+    of its neighbours that have a fifth of its points, or are paragraphs of prose.
+    """
+    page = _Page()
+    page.feed(html)
+    page.close()
+    n = len(page.tag)
+    own: list[list[str]] = [[] for _ in range(n)]
+    linked = [0] * n
+    for e, text, link in page.pieces:
+        own[e].append(text)
+        linked[e] += link * len(_flat(text))
+    # an element's text has all below it in document order; sizes are of collapsed text
+    size = [sum(len(_flat(t)) for t in x) for x in own]
+    commas = [sum(t.count(",") for t in x) for x in own]
+    for e in range(n - 1, 0, -1):
+        for column in (size, commas, linked):
+            column[page.parent[e]] += column[e]
+    density = lambda e: min(1.0, linked[e] / size[e]) if size[e] else 0.0
+    points: dict[int, float] = {}
+    for e in range(1, n):
+        tag = page.tag[e]
+        if tag in ("p", "pre", "td") or tag == "div" and not page.block[e]:
+            up = page.parent[e]
+            if size[e] < LEAST_PARAGRAPH or up <= 0:
+                continue
+            more = 1 + commas[e] + min(size[e] // 100, 3)
+            for at, share in ((up, 1.0), (page.parent[up], 0.5)):
+                if at > 0:
+                    points[at] = points.get(at, TAG_POINTS.get(page.tag[at], 0) + page.weight[at]) + more * share
+    final = {e: x * (1 - density(e)) for e, x in points.items()}
+    if not final:
+        return ""
+    best = min(final, key=lambda e: (-final[e], e))
+    least = max(10.0, final[best] * 0.2)
+    chosen = []
+    for e in range(1, n):
+        if page.parent[e] != page.parent[best]:
+            continue
+        prose = page.tag[e] == "p" and (size[e] > 80 and density(e) < 0.25 or 0 < size[e] <= 80 and not linked[e] and bool(re.search(r"\.( |$)", _flat(" ".join(own[e])))))
+        if e == best or final.get(e, 0.0) >= least or prose:
+            chosen.append(e)
+    inside = [False] * n
+    for e in chosen:
+        inside[e] = True
+    for e in range(1, n):
+        inside[e] = inside[e] or inside[page.parent[e]]
+    return _flat(" ".join(t for e, t, _ in page.pieces if inside[e]))
+
+
+def page_text(html: str | None, dropped: frozenset[str] = BOILERPLATE, containers: bool = True, least: int = 100) -> str | None:
+    """The readable text if it is long enough, else the DOM's if that is, else None."""
+    if html is None:
+        return None
+    try:
+        text = readable_text(html)
+    except (AssertionError, ValueError, RecursionError):  # pages that the parser gives up
+        text = ""
+    if len(text) > LEAST_READABLE:
+        return text
+    try:
+        text = dom_text(html, dropped, containers)
+    except (AssertionError, ValueError):
+        return None
+    return text if len(text) > least else None
+
+
 @F.pandas_udf(StringType())
-def dom_text_udf(html: pd.Series) -> pd.Series:
-    return html.map(dom_text, na_action="ignore")
+def page_text_udf(html: pd.Series) -> pd.Series:
+    return html.map(page_text)
 
 
 def html_text(html: Column, least: int = 100) -> Column:
-    """Readable text of a page: by its DOM, else without tags; null where neither has `least` characters."""
-    dom, plain = dom_text_udf(html), strip_tags(html)
-    return F.when(F.length(dom) > least, dom).when(F.length(plain) >= least, plain)
+    """Readable text of a page: its article, else by its DOM, else without tags; null where none is long enough."""
+    plain = strip_tags(html)
+    return F.coalesce(page_text_udf(html), F.when(F.length(plain) >= least, plain))
 
 
 @F.pandas_udf(StringType())
 def _article_udf(html: pd.Series) -> pd.Series:
-    return html.map(lambda x: dom_text(x, ARTICLE_BOILERPLATE, containers=False), na_action="ignore")
+    return html.map(lambda x: page_text(x, ARTICLE_BOILERPLATE, False, 200))
 
 
-def article_text(html: Column, least: int = 200) -> Column:
-    """The text of a news article: the page without scripts, styles, navigation and footer; a short one without tags only."""
-    dom = _article_udf(html)
+def article_text(html: Column) -> Column:
+    """The text of a news article: its readable part, else the page without scripts, styles, navigation and footer, else
+    without tags only; the last may be short."""
     plain = F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " ")
-    return F.when(F.length(dom) > least, dom).otherwise(plain)
+    return F.coalesce(_article_udf(html), plain)
 
 
 def injection_signs(text: Column) -> Column:

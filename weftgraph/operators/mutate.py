@@ -3,97 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from weftgraph import vocab
 from weftgraph.graph import EDGES, VERTICES, Graph, conform
+from weftgraph.operators.matching import alike, leaders
 from weftgraph.stage import stage
 
-#: Names in a block.
-_TALL = 500
-
-
-def similarity(a: str, b: str) -> float:
-    """The share of matching blocks of two names in lower case; not symmetric."""
-    return SequenceMatcher(None, a.lower(), b.lower()).ratio()
-
-
-@F.pandas_udf(DoubleType())
-def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-def _grams(name):
-    """Pairs of neighbouring characters of a lower-case name of two or more, each once, else the name."""
-    low = F.lower(name)
-    pairs = F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substring(low, i, F.lit(2)))
-    return F.when(F.length(low) >= 2, F.array_distinct(pairs)).otherwise(F.array(low))
-
-
-def _counts(texts: list[str]) -> np.ndarray:
-    """How often each text has a character of each of 64 classes."""
-    out = np.zeros((len(texts), 64), np.int32)
-    for i, t in enumerate(texts):
-        np.add.at(out[i], np.fromiter(map(ord, t), np.int64, len(t)) % 64, 1)
-    return out
-
-
-def alike(names: DataFrame, ids: DataFrame, threshold: float, best: bool) -> DataFrame:
-    """name, id, score of pairs with a ratio of at least the threshold; null names and ids have none.
-
-    best: for a name only its largest ratio within a block of ids, with ties. Else: only ids before the name.
-    Names and ids meet in blocks, so each pair is seen once however common its characters are. A ratio is at most that of
-    the characters that both have, in any order; pairs whose bound is too small are not matched.
-    """
-    wide = 20_000 if best else 4_000  # ids in a block, for _TALL names: what a task holds at once
-    names, ids = names.select("name").filter("name is not null"), ids.select("id").filter("id is not null")
-    tall, across = (max(1, -(-df.count() // most)) for df, most in ((names, _TALL), (ids, wide)))
-    zero = F.lit(0).cast("bigint")
-    left = names.withColumn("r", F.pmod(F.xxhash64("name"), F.lit(tall))).withColumn("c", F.explode(F.sequence(zero, F.lit(across - 1).cast("bigint"))))
-    right = ids.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(across))).withColumn("r", F.explode(F.sequence(zero, F.lit(tall - 1).cast("bigint"))))
-
-    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        own, other = x["name"].tolist(), y["id"].tolist()
-        low, against = [t.lower() for t in own], [t.lower() for t in other]
-        a, b = _counts(low), _counts(against)
-        size = np.array([len(t) for t in against])
-        used = np.flatnonzero(a.any(0) & b.any(0))
-        b = np.ascontiguousarray(b[:, used].T)
-        order = None if best else np.array(other, object)
-        out: tuple[list, list, list] = ([], [], [])
-        match = SequenceMatcher(None)
-        for i, name in enumerate(low):
-            both = np.zeros(len(other), np.int64)
-            for k, u in enumerate(used):
-                if a[i, u]:
-                    both += np.minimum(b[k], a[i, u])
-            total = size + len(name)
-            bound = np.where(total > 0, 2.0 * both / np.maximum(total, 1), 1.0)
-            chosen = np.flatnonzero(bound >= threshold if best else (bound >= threshold) & (order < own[i]))
-            match.set_seq2(name)
-            least = threshold
-            for j in chosen[np.argsort(-bound[chosen], kind="stable")].tolist() if best else chosen.tolist():
-                if bound[j] < least:
-                    break
-                match.set_seq1(against[j])
-                score = match.ratio()
-                if score >= least:
-                    least = score if best else least
-                    for column, value in zip(out, (own[i], other[j], score)):
-                        column.append(value)
-        return pd.DataFrame({"name": pd.Series(out[0], dtype=object), "id": pd.Series(out[1], dtype=object), "score": pd.Series(out[2], dtype="float64")})
-
-    parts = min(tall * across, 4 * names.sparkSession.sparkContext.defaultParallelism)  # by number, or small blocks that take long would land in one task
-    left, right = (df.repartition(parts, "r", "c") for df in (left, right))
-    return left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(compare, "name string, id string, score double")
-
-
 def resolve(names: DataFrame, v: DataFrame, threshold: float = vocab.FUZZY_THRESHOLD, aliases: DataFrame | None = None) -> DataFrame:
     """name, id for each distinct name: the vertex it means, or null.
 
@@ -119,40 +37,11 @@ def resolve(names: DataFrame, v: DataFrame, threshold: float = vocab.FUZZY_THRES
 def similar_pairs(v: DataFrame, threshold: float = 0.8) -> DataFrame:
     """a < b, score: vertices of one graph whose names are alike."""
     ids = v.select("id").filter("id is not null").distinct()
-    found = alike(ids.withColumnRenamed("id", "name"), ids, threshold, best=False).filter(F.col("score") > threshold)
+    ranked = ids.withColumn("rank", F.col("id"))
+    found = alike(ranked.withColumnRenamed("id", "name"), ranked, threshold, ranked=True).filter(F.col("score") > threshold)
     return found.select(F.col("id").alias("a"), F.col("name").alias("b"), "score")
 
 
-def _new_names(names: DataFrame, threshold: float) -> DataFrame:
-    """name, id of names that no vertex has: in order (pos), each takes the most similar one before it, or is new.
-
-    Names that could be alike share a pair of characters; components of such pairs are resolved one after the other inside.
-    """
-    from weftgraph.operators.components import components
-
-    grams = names.select("name", F.explode(_grams(F.col("name"))).alias("gram"))
-    a, b = grams.select(F.col("name").alias("a"), "gram"), grams.select(F.col("name").alias("b"), "gram")
-    m, n = F.length("a"), F.length("b")
-    near = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.least(m, n) * 2 >= threshold * (m + n))).select("a", "b").distinct()
-    ratio = F.greatest(similarity_udf("a", "b"), similarity_udf("b", "a"))
-    groups = components(near.filter(ratio >= threshold))
-    rows = names.join(groups, names["name"] == groups["id"], "left").select("name", "pos", F.coalesce("root", "name").alias("root"))
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        out = []
-        for name in group.sort_values(["pos", "name"])["name"]:
-            same = next((k for k in kept if k.lower() == name.lower()), None)
-            score, best = max(((similarity(k, name), -i) for i, k in enumerate(kept)), default=(0.0, 0))
-            id_ = same or (kept[-best] if score >= threshold else name)
-            if id_ == name and name not in kept:
-                kept.append(name)
-            out.append((name, id_))
-        return pd.DataFrame(out, columns=["name", "id"])
-
-    return rows.groupBy("root").applyInPandas(settle, "name string, id string")
-
-
 @dataclass
 class Change:
     graph: Graph
@@ -160,23 +49,36 @@ class Change:
     edges_added: DataFrame
 
 
-def upsert(g: Graph, extractions: DataFrame, threshold: float = vocab.FUZZY_THRESHOLD, aliases: DataFrame | None = None) -> Change:
-    """Adds entities and relationships (class, text, attributes, confidence, pos).
+def _entities(x: DataFrame) -> DataFrame:
+    return x.filter(F.lower("class") != vocab.RELATIONSHIP).select(F.col("text").alias("name"), F.lower("class").alias("kind"), "attributes", "confidence", "pos")
 
-    Names are resolved to vertices, then to each other in order. Of an entity's mentions the most confident gives title and
-    confidence, if it is more confident than the vertex was; a group replaces `unknown` only. A relationship's ends that
-    no entity names become vertices of the group unknown, which do not count as added. Of edges with the same ends the
-    last wins, over older ones too.
-    """
-    x = extractions.withColumn("kind", F.lower("class"))
-    entities = x.filter(F.col("kind") != vocab.RELATIONSHIP).select(F.col("text").alias("name"), "kind", "attributes", "confidence", "pos")
-    relations = x.filter(F.col("kind") == vocab.RELATIONSHIP).select(F.col("attributes")["source"].alias("a"), F.col("attributes")["target"].alias("b"), F.col("text").alias("label"), "confidence", "pos")
-    mentions = stage(entities.select("name", "pos").unionByName(relations.select(F.col("a").alias("name"), "pos")).unionByName(relations.select(F.col("b").alias("name"), "pos")).groupBy("name").agg(F.min("pos").alias("pos")), "upsert-names")
-    known = stage(resolve(mentions, g.v, threshold, aliases), "upsert-known")
+
+def _relations(x: DataFrame) -> DataFrame:
+    told = x.filter(F.lower("class") == vocab.RELATIONSHIP)
+    return told.select(F.col("attributes")["source"].alias("a"), F.col("attributes")["target"].alias("b"), F.col("text").alias("label"), "confidence", "pos")
+
+
+def named(v: DataFrame, extractions: DataFrame, threshold: float = vocab.FUZZY_THRESHOLD, aliases: DataFrame | None = None) -> DataFrame:
+    """name, id of all names of extractions: resolved to the vertices v (id, seq), then to each other in order."""
+    relations = _relations(extractions)
+    every = _entities(extractions).select("name", "pos").unionByName(relations.select(F.col("a").alias("name"), "pos")).unionByName(relations.select(F.col("b").alias("name"), "pos"))
+    mentions = stage(every.groupBy("name").agg(F.min("pos").alias("pos")), "upsert-names")
+    known = stage(resolve(mentions, v, threshold, aliases), "upsert-known")
     fresh = mentions.join(known.filter("id is null").select("name"), "name", "left_semi")
-    names = stage(known.filter("id is not null").unionByName(_new_names(fresh, threshold)), "upsert-resolved")
+    return known.filter("id is not null").unionByName(leaders(fresh, threshold))
 
-    called = entities.join(names, "name").withColumn("title", F.to_json("attributes"))
+
+def edges_of(extractions: DataFrame, names: DataFrame) -> DataFrame:
+    """src, dst, label, confidence, weight, seq: for each ordered pair of vertices the last relationship."""
+    a, b = names.select(F.col("name").alias("a"), F.col("id").alias("src")), names.select(F.col("name").alias("b"), F.col("id").alias("dst"))
+    linked = _relations(extractions).join(a, "a").join(b, "b")
+    last = linked.groupBy("src", "dst").agg(F.max_by(F.struct("label", "confidence", "pos"), "pos").alias("x"))
+    return last.select("src", "dst", "x.label", "x.confidence", F.lit(None).cast("double").alias("weight"), F.col("x.pos").alias("seq"))
+
+
+def applied(g: Graph, extractions: DataFrame, names: DataFrame) -> Change:
+    """g with the extractions whose names mean the given ids. Of the graph only vertices and pairs that are named need be in g."""
+    called = _entities(extractions).join(names, "name").withColumn("title", F.to_json("attributes"))
     rank = F.struct("confidence", -F.col("pos"))
     told = called.groupBy("id").agg(F.max_by("title", rank).alias("new_title"), F.max("confidence").alias("new_confidence"), F.min_by("kind", "pos").alias("new_group"), F.max_by("attributes", rank).alias("new_attributes"), F.min("pos").alias("pos"))
     better = F.col("new_confidence") > F.coalesce("confidence", F.lit(0.0))
@@ -186,11 +88,7 @@ def upsert(g: Graph, extractions: DataFrame, threshold: float = vocab.FUZZY_THRE
         F.when(better, F.col("new_attributes")).otherwise(F.col("attributes")).alias("attributes"), "seq",
     )
     added = told.join(g.v.select("id"), "id", "left_anti").select("id", F.col("new_group").alias("group"), F.col("new_confidence").alias("confidence"), F.col("new_title").alias("title"), F.col("new_attributes").alias("attributes"), F.col("pos").alias("seq"))
-
-    a, b = names.select(F.col("name").alias("a"), F.col("id").alias("src")), names.select(F.col("name").alias("b"), F.col("id").alias("dst"))
-    linked = relations.join(a, "a").join(b, "b")
-    last = linked.groupBy("src", "dst").agg(F.max_by(F.struct("label", "confidence", "pos"), "pos").alias("x")).select("src", "dst", "x.label", "x.confidence", F.lit(None).cast("double").alias("weight"), F.col("x.pos").alias("seq"))
-    last = stage(last, "upsert-edges")
+    last = stage(edges_of(extractions, names), "upsert-edges")
     ends = last.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     stubs = ends.join(g.v.select("id"), "id", "left_anti").join(added.select("id"), "id", "left_anti").withColumn("group", F.lit("unknown"))
     v = old.unionByName(added).unionByName(conform(stubs, VERTICES))
@@ -199,6 +97,17 @@ def upsert(g: Graph, extractions: DataFrame, threshold: float = vocab.FUZZY_THRE
     return Change(Graph(v, conform(e, EDGES)), added.select("id"), edges_added.select("src", "dst"))
 
 
+def upsert(g: Graph, extractions: DataFrame, threshold: float = vocab.FUZZY_THRESHOLD, aliases: DataFrame | None = None) -> Change:
+    """Adds entities and relationships (class, text, attributes, confidence, pos).
+
+    Names are resolved to vertices, then to each other in order. Of an entity's mentions the most confident gives title and
+    confidence, if it is more confident than the vertex was; a group replaces `unknown` only. A relationship's ends that
+    no entity names become vertices of the group unknown, which do not count as added. Of edges with the same ends the
+    last wins, over older ones too.
+    """
+    return applied(g, extractions, stage(named(g.v, extractions, threshold, aliases), "upsert-resolved"))
+
+
 def merge(g: Graph, source: str, target: str) -> Graph:
     """Source's edges go to target and source goes; edges between the two go. A missing target renames source.
 

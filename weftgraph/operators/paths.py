@@ -6,7 +6,6 @@ a frontier is empty. Joins leave the choice of strategy to the optimizer, which
 
 from __future__ import annotations
 
-import itertools
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -24,25 +23,75 @@ def arcs(g: Graph, directed: bool = True) -> DataFrame:
     return out if directed else out.unionByName(g.e.select(F.col("dst").alias("x"), F.col("src").alias("y"))).distinct()
 
 
+class _Side:
+    """One end of a search: vertices reached, and what was reached last."""
+
+    def __init__(self, steps: DataFrame, start: str, name: str) -> None:
+        self.steps, self.name, self.level = steps, name, 0
+        self.front = steps.sparkSession.createDataFrame([(start, 0)], "id string, d int")
+        self.seen, self.size = [self.front], 1
+
+    def reached(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.seen)
+
+    def grow(self) -> int:
+        """One level further; how many vertices that adds."""
+        self.level += 1
+        step = self.front.join(self.steps, self.front["id"] == self.steps["x"]).select(F.col("y").alias("id")).distinct()
+        step = step.join(self.reached().select("id"), "id", "left_anti").withColumn("d", F.lit(self.level))
+        self.front = stage(step, f"path-{self.name}-{self.level}")
+        self.size = self.front.count()
+        self.seen.append(self.front)
+        if len(self.seen) > 8:  # a plan of bounded size, however long the path
+            self.seen = [stage(self.reached(), f"path-{self.name}-seen-{self.level}")]
+        return self.size
+
+
 def _search(steps: DataFrame, source: str, target: str) -> list[str] | None:
-    """The smallest, as text, of the shortest paths. A node keeps one path, its smallest: a shortest path's beginnings are.
+    """The smallest, as text, of the shortest paths, from both ends: the smaller front grows, until the two meet.
 
-    A level is one write and one count of what it reached.
+    Then the path is read from the source on: of the next vertices that are on a shortest path, the smallest.
     """
-    spark = steps.sparkSession
     if source == target:
         return [source]
-    seen = [spark.createDataFrame([(source,)], "id string")]
-    front = spark.createDataFrame([(source, [source])], "id string, path array<string>")
-    for level in itertools.count():
-        reached = front.join(steps, front["id"] == steps["x"]).select(F.col("y").alias("id"), F.concat("path", F.array("y")).alias("path"))
-        front = stage(reached.join(reduce(DataFrame.unionByName, seen), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")), f"path-{level}")
-        n, found = front.agg(F.count(F.lit(1)), F.max(F.when(F.col("id") == target, F.col("path")))).first()
-        if found or not n:
-            return found
-        seen.append(front.select("id"))
-        if len(seen) > 8:  # a plan of bounded size, however long the path
-            seen = [stage(reduce(DataFrame.unionByName, seen), f"path-seen-{level}")]
+    back_steps = steps.select(F.col("y").alias("x"), F.col("x").alias("y"))
+    ahead, back = _Side(steps, source, "ahead"), _Side(back_steps, target, "back")
+    while True:
+        side, other = (ahead, back) if ahead.size <= back.size else (back, ahead)
+        if not side.grow():
+            return None
+        # a path as long as both levels meets in the front that just grew
+        meets = stage(side.front.select("id").join(other.reached().filter(F.col("d") == other.level).select("id"), "id"), f"path-meets-{ahead.level}-{back.level}")
+        if not meets.isEmpty():
+            break
+    # distances to the target of vertices on shortest paths, from the meeting back to the source
+    left = back.reached().join(_towards(back, meets), ["id", "d"])
+    right = left.select("id", F.col("d").alias("togo"))
+    here = meets.select("id").withColumn("togo", F.lit(back.level))
+    for level in range(ahead.level - 1, -1, -1):
+        up = here.join(back_steps, here["id"] == back_steps["x"]).select(F.col("y").alias("id")).distinct()
+        up = up.join(ahead.reached().filter(F.col("d") == level).select("id"), "id")
+        here = stage(up.withColumn("togo", F.lit(back.level + ahead.level - level)), f"path-up-{level}")
+        right = right.unionByName(here)
+    right = stage(right.distinct(), "path-togo")
+    path, at = [source], source
+    for togo in range(ahead.level + back.level - 1, -1, -1):
+        following = steps.filter(F.col("x") == at).select(F.col("y").alias("id")).join(right.filter(F.col("togo") == togo), "id")
+        at = following.agg(F.min("id")).first()[0]
+        path.append(at)
+    return path
+
+
+def _towards(back: _Side, meets: DataFrame) -> DataFrame:
+    """id, d of what lies on shortest paths from the meeting to the target."""
+    front, found = meets.select("id"), []
+    forth = back.steps.select(F.col("y").alias("x"), F.col("x").alias("y"))
+    for d in range(back.level, -1, -1):
+        found.append(front.withColumn("d", F.lit(d)))
+        if d:
+            step = front.join(forth, front["id"] == forth["x"]).select(F.col("y").alias("id")).distinct()
+            front = stage(step.join(back.reached().filter(F.col("d") == d - 1).select("id"), "id"), f"path-down-{d}")
+    return reduce(DataFrame.unionByName, found)
 
 
 def shortest_path(g: Graph, source: str, target: str, default_label: str = "connects to") -> DataFrame:
@@ -135,16 +184,28 @@ def wcc_count(g: Graph) -> DataFrame:
     return g.v.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(hang)).select((F.col("n") - F.col("hang")).alias("components"))
 
 
-def betweenness(g: Graph) -> DataFrame:
-    """id, betweenness of every vertex: directed, unweighted, ends excluded, divided by (n - 1)(n - 2); 0 for n < 3.
+#: Sources whose searches run together.
+SOURCES = 4096
+
+
+def dependencies(steps: DataFrame, sources: DataFrame, most: int = SOURCES) -> DataFrame:
+    """id, share: how much of the shortest paths from sources (s) to all vertices goes through a vertex, ends excluded.
 
-    Breadth-first search from all sources at once counts shortest paths level by level; then dependencies are summed from
-    the last level back. Levels hold a row for each source and vertex reached, so the work is that of all-pairs distances.
+    Breadth-first search counts shortest paths level by level; then shares are summed from the last level back. Levels hold
+    a row for each source and vertex reached, so sources run at most about `most` at a time, and each batch adds to one sum.
     """
-    steps = stage(arcs(g).filter("x <> y").distinct(), "bc-arcs")
-    n = g.v.count()
-    start = steps.select(F.col("x").alias("s")).distinct()  # vertices without edges out are sources of nothing
-    levels = [stage(start.select("s", F.col("s").alias("id"), F.lit(1.0).alias("paths")), "bc-0")]
+    batches = max(1, -(-sources.count() // most))
+    total = None
+    for batch in range(batches):
+        own = sources.filter(F.pmod(F.xxhash64("s"), F.lit(batches)) == batch)
+        got = _dependencies(steps, own)
+        if got is not None:
+            total = got if total is None else stage(total.unionByName(got).groupBy("id").agg(F.sum("share").alias("share")), "bc-sums")
+    return steps.sparkSession.createDataFrame([], "id string, share double") if total is None else total
+
+
+def _dependencies(steps: DataFrame, sources: DataFrame) -> DataFrame | None:
+    levels = [stage(sources.select("s", F.col("s").alias("id"), F.lit(1.0).alias("paths")), "bc-0")]
     seen = levels[0].select("s", "id")
     while True:
         nxt = levels[-1].join(steps, F.col("id") == F.col("x")).groupBy("s", "y").agg(F.sum("paths").alias("paths")).withColumnRenamed("y", "id")
@@ -163,10 +224,22 @@ def betweenness(g: Graph) -> DataFrame:
             share = here.join(up.groupBy("s", "id").agg(F.sum("part").alias("part")), ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share"))
         below = stage(share, f"bc-share-{k}")
         total = below.select("id", "share") if total is None else total.unionByName(below.select("id", "share"))
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    if total is None:
-        return g.v.select("id", F.lit(0.0).alias("betweenness"))
-    return g.v.select("id").join(total.groupBy("id").agg(F.sum("share").alias("share")), "id", "left").select("id", (F.coalesce("share", F.lit(0.0)) * scale).alias("betweenness"))
+    return None if total is None else stage(total.groupBy("id").agg(F.sum("share").alias("share")), "bc-total")
+
+
+def _scale(n: int) -> float:
+    return 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+
+
+def _steps(g: Graph, name: str) -> DataFrame:
+    return stage(arcs(g).filter("x <> y").distinct(), name)
+
+
+def betweenness(g: Graph, most: int = SOURCES) -> DataFrame:
+    """id, betweenness of every vertex: directed, unweighted, ends excluded, divided by (n - 1)(n - 2); 0 for n < 3."""
+    steps = _steps(g, "bc-arcs")
+    total = dependencies(steps, steps.select(F.col("x").alias("s")).distinct(), most)  # vertices without edges out are sources of nothing
+    return g.v.select("id").join(total, "id", "left").select("id", (F.coalesce("share", F.lit(0.0)) * _scale(g.v.count())).alias("betweenness"))
 
 
 def top_betweenness(g: Graph, k: int, between: DataFrame | None = None) -> DataFrame:
@@ -181,52 +254,60 @@ def without(g: Graph, node: str) -> Graph:
     return Graph(g.v.filter(F.col("id") != node), g.e.filter((F.col("src") != node) & (F.col("dst") != node)))
 
 
-def node_removal(g: Graph, node: str) -> DataFrame:
-    """What the removal of a vertex does: components before and after, and vertices left without edges."""
+def orphaned(g: Graph, node: str) -> DataFrame:
+    """id of vertices that have edges, but none without node."""
     from weftgraph.operators.relational import isolated
 
-    rest = without(g, node)
-    before, after = wcc_count(g).select(F.col("components").alias("before")), wcc_count(rest).select(F.col("components").alias("after"))
-    orphans = isolated(rest).join(isolated(g).select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("orphans"), F.concat_ws(",", F.array_sort(F.collect_list("id"))).alias("orphan_ids"))
+    return isolated(without(g, node)).select("id").join(isolated(g).select("id"), "id", "left_anti")
+
+
+def node_removal(g: Graph, node: str) -> DataFrame:
+    """What the removal of a vertex does: components before and after, and how many vertices are left without edges."""
+    before, after = wcc_count(g).select(F.col("components").alias("before")), wcc_count(without(g, node)).select(F.col("components").alias("after"))
+    orphans = orphaned(g, node).agg(F.count(F.lit(1)).alias("orphans"), F.min("id").alias("first_orphan"))
     row = before.join(F.broadcast(after)).join(F.broadcast(orphans))
-    return row.select(F.lit(node).alias("removed"), "before", "after", (F.col("after") > F.col("before")).alias("fragments"), "orphans", "orphan_ids")
+    return row.select(F.lit(node).alias("removed"), "before", "after", (F.col("after") > F.col("before")).alias("fragments"), "orphans", "first_orphan")
 
 
-def bridges(g: Graph) -> DataFrame:
-    """a < b: connections whose removal parts a component, direction ignored.
+def centrality_shift(g: Graph, node: str, between: DataFrame | None = None) -> DataFrame:
+    """id, before, after, delta: betweenness of the other vertices with and without node.
 
-    Leaves are peeled round by round (their edges are bridges). What is left is tested edge by edge against a spanning
-    forest: an edge outside the forest is never a bridge; a forest edge is one if no other edge crosses it. Crossing is
-    tested by random 64-bit labels: each edge outside the forest gets a label, a tree edge the xor of the labels of the
-    edges that cross it, and it is a bridge if that is zero.
+    Only searches from vertices that reach node can change, so only these, and node's own, are made again, on both graphs; between
+    is what betweenness(g) gives, if that is known.
     """
-    spark = g.spark
-    e = stage(g.e.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "bridge-edges")
-    if e.isEmpty():
-        return e
-    roots = stage(components(e), "bridge-roots")
-    both = stage(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("x"), F.col("b").alias("y")), "bridge-arcs")
-    tree = stage(roots.filter("id = root").select("id", F.lit(None).cast("string").alias("up"), F.lit(0).alias("depth")), "bridge-tree")
-    front, depth = tree, 0
+    n = g.v.count()
+    steps = _steps(g, "shift-arcs")
+    rest = stage(steps.filter((F.col("x") != node) & (F.col("y") != node)), "shift-rest")
+    back = steps.select(F.col("y").alias("x"), F.col("x").alias("y"))
+    front = seen = stage(g.spark.createDataFrame([(node,)], "s string"), "shift-0")
+    level = 0
     while True:
-        depth += 1
-        step = front.join(both, front["id"] == both["x"]).select(F.col("y").alias("id"), F.col("x").alias("up")).join(tree, "id", "left_anti")
-        front = stage(step.groupBy("id").agg(F.min("up").alias("up")).select("id", "up", F.lit(depth).alias("depth")), f"bridge-level-{depth}")
+        level += 1
+        front = stage(front.join(back, front["s"] == back["x"]).select(F.col("y").alias("s")).distinct().join(seen, "s", "left_anti"), f"shift-{level}")
         if front.isEmpty():
             break
-        tree = stage(tree.unionByName(front), "bridge-tree")
-    kept = tree.filter("up is not null").select(F.least("id", "up").alias("a"), F.greatest("id", "up").alias("b"))
-    other = e.join(kept, ["a", "b"], "left_anti").select("a", "b", F.xxhash64("a", "b").alias("mark"))
-    marks = other.select(F.explode(F.array("a", "b")).alias("id"), "mark").groupBy("id").agg(F.bit_xor("mark").alias("mark"))
-    state = stage(tree.join(marks, "id", "left").select("id", "up", "depth", F.coalesce("mark", F.lit(0)).alias("mark")), "bridge-marks")
-    out = None
-    for d in range(depth - 1, 0, -1):  # add marks up the tree, deepest level first
-        level = state.filter(F.col("depth") == d)
-        found = level.filter("mark = 0").select(F.least("id", "up").alias("a"), F.greatest("id", "up").alias("b"))
-        out = found if out is None else out.unionByName(found)
-        sums = level.groupBy(F.col("up").alias("id")).agg(F.bit_xor("mark").alias("more"))
-        state = stage(state.filter(F.col("depth") < d).join(sums, "id", "left").select("id", "up", "depth", F.col("mark").bitwiseXOR(F.coalesce("more", F.lit(0))).alias("mark")), "bridge-marks")
-    return spark.createDataFrame([], "a string, b string") if out is None else out
+        seen = stage(seen.unionByName(front), f"shift-seen-{level}")
+    old, new = dependencies(steps, seen), dependencies(rest, seen.filter(F.col("s") != node))
+    whole = betweenness(g) if between is None else between
+    change = old.select("id", (-F.col("share")).alias("d")).unionByName(new.select("id", F.col("share").alias("d"))).groupBy("id").agg(F.sum("d").alias("d"))
+    before = F.col("betweenness")
+    after = (before / (_scale(n) or 1.0) + F.coalesce("d", F.lit(0.0))) * _scale(n - 1)
+    rows = whole.filter(F.col("id") != node).join(change, "id", "left")
+    return rows.select("id", before.alias("before"), after.alias("after"), (after - before).alias("delta"))
+
+
+def removal_effect(g: Graph, node: str, between: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """One row: removed, component_change, fragments, orphans, winners, losers (id and delta of betweenness; of the `most` that
+    change most, those that gain and those that lose, five at most), tension_delta, tension_pct."""
+    from weftgraph.operators.analytics import country_tension
+
+    top = F.broadcast(centrality_shift(g, node, between).orderBy(F.desc(F.abs("delta")), "id").limit(most))
+    pick = lambda c, ok: F.slice(F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct((-F.abs("delta")).alias("k"), "id", "delta")))), lambda x: F.struct(x["id"].alias("id"), x["delta"].alias("delta"))), 1, 5).alias(c)
+    moved = top.agg(pick("winners", F.col("delta") > 0), pick("losers", F.col("delta") < 0))
+    tension = lambda graph, c: country_tension(graph).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias(c))
+    row = node_removal(g, node).join(F.broadcast(moved)).join(F.broadcast(tension(g, "old"))).join(F.broadcast(tension(without(g, node), "new")))
+    delta = F.col("new") - F.col("old")
+    return row.select("removed", (F.col("after") - F.col("before")).alias("component_change"), "fragments", "orphans", "winners", "losers", delta.alias("tension_delta"), (delta / F.greatest("old", F.lit(1.0)) * 100).alias("tension_pct"))
 
 
 def structural_features(g: Graph, between: DataFrame) -> DataFrame:

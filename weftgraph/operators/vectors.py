@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
 from weftgraph.operators.paths import arcs
+from weftgraph.ordered import within_keys
 from weftgraph.stage import stage
 
 
@@ -68,11 +69,11 @@ def load_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, vector array<double>").parquet(path)
 
 
-def kmeans(vectors: DataFrame, id_: str, vector: str, k: int = 6, seed: int = 42) -> DataFrame:
-    """id, cluster; 2 to 20 clusters, of unit vectors."""
-    ready = vectors.select(id_, array_to_vector(unit(F.col(vector))).alias("features"))
-    model = KMeans(k=max(2, min(20, k)), seed=seed, featuresCol="features", predictionCol="cluster").fit(ready)
-    return model.transform(ready).select(id_, "cluster")
+def kmeans(vectors: DataFrame, id_: str, vector: str, k: int = 6, seed: int = 42, starts: int = 10) -> DataFrame:
+    """id, cluster; 2 to 20 clusters, of unit vectors: the best of so many starts, by the sum of squared distances."""
+    ready = stage(vectors.select(id_, array_to_vector(unit(F.col(vector))).alias("features")), "kmeans-vectors")
+    fits = (KMeans(k=max(2, min(20, k)), seed=seed + i, featuresCol="features", predictionCol="cluster").fit(ready) for i in range(starts))
+    return min(fits, key=lambda m: m.summary.trainingCost).transform(ready).select(id_, "cluster")
 
 
 def walks(g: Graph, per_node: int = 100, length: int = 20, seed: int = 42) -> DataFrame:
@@ -81,7 +82,7 @@ def walks(g: Graph, per_node: int = 100, length: int = 20, seed: int = 42) -> Da
     Neighbours are numbered within a vertex; a walk draws a number, so a step is one equi-join however large the degree.
     """
     both = arcs(g, directed=False).filter("x <> y")
-    numbered = stage(_numbered(both), "walk-arcs")
+    numbered = stage(within_keys(stage(both, "walk-both"), "x", ["y"], "walk-places").withColumnRenamed("place", "n"), "walk-arcs")
     degrees = stage(numbered.groupBy("x").agg(F.count(F.lit(1)).alias("degree")), "walk-degrees")
     front = degrees.select(F.col("x").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("walk"), F.array("x").alias("path"), F.col("x").alias("at"))
     for step in range(length - 1):
@@ -92,16 +93,43 @@ def walks(g: Graph, per_node: int = 100, length: int = 20, seed: int = 42) -> Da
     return front.select("start", "walk", "path")
 
 
-def _numbered(both: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
+def co_visits(paths: DataFrame, window: int = 10) -> DataFrame:
+    """x, y, n: how often two different vertices stand within `window` steps of each other on a path, both ways."""
+    at = paths.select("path", F.posexplode("path").alias("pos", "x"))
+    near = at.select("x", F.explode(F.slice("path", F.col("pos") + 2, F.lit(window))).alias("y")).filter("x <> y")
+    counts = near.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(counts.select(F.col("y").alias("x"), F.col("x").alias("y"), "n")).groupBy("x", "y").agg(F.sum("n").alias("n"))
 
-    return both.withColumn("n", (F.row_number().over(Window.partitionBy("x").orderBy("y")) - 1).cast("bigint"))
 
+def surprise(counts: DataFrame) -> DataFrame:
+    """x, y, weight: positive pointwise mutual information of counts (x, y, n)."""
+    own = counts.groupBy("x").agg(F.sum("n").alias("n_x"))
+    total = counts.agg(F.sum("n").alias("total"))
+    rows = counts.join(own, "x").join(own.select(F.col("x").alias("y"), F.col("n_x").alias("n_y")), "y").join(F.broadcast(total))
+    return rows.select("x", "y", F.log(F.col("n") * F.col("total") / (F.col("n_x") * F.col("n_y"))).alias("weight")).filter("weight > 0")
 
-def node_embeddings(g: Graph, dim: int = 64, per_node: int = 100, length: int = 20, window: int = 10, seed: int = 42, least: int = 5) -> DataFrame:
-    """id, vector (unit length) of vertices with edges; none for a graph of fewer than `least` vertices."""
+
+def node_embeddings(g: Graph, dim: int = 64, per_node: int = 100, length: int = 20, window: int = 10, seed: int = 42, least: int = 5, rounds: int = 5) -> DataFrame:
+    """id, vector (unit length) of vertices with edges; none for a graph of fewer than `least` vertices.
+
+    What random walks see together, weighted by how surprising it is, is factorised by alternating least squares: vectors of
+    each side are solved block by block against the blocks of the other that they need, so no task and no driver holds all.
+    A vertex's vector is the sum of its two sides.
+    """
+    nothing = g.spark.createDataFrame([], "id string, vector array<double>")
     if len(g.v.limit(least).take(least)) < least:
-        return g.spark.createDataFrame([], "id string, vector array<double>")
-    paths = stage(walks(g, per_node, length, seed).select("path"), "walks")
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, seed=seed, maxIter=1, inputCol="path").fit(paths)
-    return model.getVectors().select(F.col("word").alias("id"), unit(vector_to_array("vector")).alias("vector"))
+        return nothing
+    seen = stage(co_visits(stage(walks(g, per_node, length, seed).select("path"), "walks"), window), "walk-counts")
+    if seen.isEmpty():
+        return nothing
+    weights = stage(surprise(seen), "walk-weights")
+    ids = stage(weights.select(F.col("x").alias("id")).unionByName(weights.select(F.col("y").alias("id"))).distinct().withColumn("one", F.lit(0)), "walk-ids")
+    numbers = stage(within_keys(ids, "one", ["id"], "walk-numbers").select("id", F.col("place").cast("int").alias("n")), "walk-numbered")
+    x, y = numbers.select(F.col("id").alias("x"), F.col("n").alias("user")), numbers.select(F.col("id").alias("y"), F.col("n").alias("item"))
+    ratings = stage(weights.join(x, "x").join(y, "y").select("user", "item", F.col("weight").cast("float").alias("weight")), "walk-ratings")
+    blocks = max(2, ratings.rdd.getNumPartitions())
+    model = ALS(rank=dim, maxIter=rounds, regParam=0.1, implicitPrefs=True, alpha=10.0, seed=seed, userCol="user", itemCol="item", ratingCol="weight", numUserBlocks=blocks, numItemBlocks=blocks).fit(ratings)
+    sides = model.userFactors.select(F.col("id").alias("n"), F.col("features").alias("u")).join(model.itemFactors.select(F.col("id").alias("n"), F.col("features").alias("w")), "n", "full_outer")
+    none = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    both = F.zip_with(F.coalesce("u", none), F.coalesce("w", none), lambda a, b: a.cast("double") + b.cast("double"))
+    return sides.join(numbers, "n").select("id", unit(both).alias("vector"))

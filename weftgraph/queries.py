@@ -18,6 +18,7 @@ from weftgraph.operators import analytics as A
 from weftgraph.operators import mutate as M
 from weftgraph.operators import paths as P
 from weftgraph.operators import relational as R
+from weftgraph.operators import trees
 from weftgraph.operators import vectors as V
 from weftgraph.plans import gql
 from weftgraph.sources import documents as D
@@ -69,14 +70,20 @@ def graph(name: str, sql: str | None = None, *ctes: str, recursive: bool = False
     """Registers a query over the fixture graph, and its SQL over v(id, grp, confidence) and e(src, dst, label, confidence)."""
 
     def add(f: Callable[[Graph], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(fixtures.build(spark, sf_dir))
-        if sql:
-            SQL[name] = f"with {'recursive ' if recursive else ''}{', '.join((fixtures.CTES, *ctes))} {sql}"
+        QUERIES[name], told = graph_query(f, sql, ctes, recursive)
+        if told:
+            SQL[name] = told
         return f
 
     return add
 
 
+def graph_query(f: Callable[[Graph], DataFrame], sql: str | None, ctes: tuple[str, ...], recursive: bool) -> tuple[Query, str | None]:
+    """f over the fixture graph, and its SQL after what defines that."""
+    told = f"with {'recursive ' if recursive else ''}{', '.join((fixtures.CTES, *ctes))} {sql}" if sql else None
+    return lambda spark, sf_dir: f(fixtures.build(spark, sf_dir)), told
+
+
 def tables(name: str, sql: str | None = None):
     def add(f: Query):
         QUERIES[name] = f
@@ -235,7 +242,7 @@ graph("context_edges", "select src, dst, label from e where src in (select id fr
 graph(
     "node_removal_impact",
     """select 'NATION_6' as removed, (select count(distinct component) from labels_) as before, (select count(distinct component) from labels2) as after,
-    (select count(distinct component) from labels2) > (select count(distinct component) from labels_) as fragments, count(*) as orphans, string_agg(id, ',' order by id) as orphan_ids
+    (select count(distinct component) from labels2) > (select count(distinct component) from labels_) as fragments, count(*) as orphans, min(id) as first_orphan
     from (select distinct x.id from (select src as id from e where dst = 'NATION_6' union select dst from e where src = 'NATION_6') x where x.id <> 'NATION_6' and not exists (select 1 from e2 where src = x.id or dst = x.id))""",
     LABELS,
     """e2 as (select * from e where src <> 'NATION_6' and dst <> 'NATION_6'), both2 as (select src as a, dst as b from e2 union select dst, src from e2),
@@ -243,7 +250,13 @@ graph(
     labels2 as (select id, min(root) as component from wcc2 group by id)""",
     recursive=True,
 )(lambda g: P.node_removal(g.staged(), "NATION_6"))
-graph("bridge_edges", "select least(src, dst) as a, greatest(src, dst) as b from e where label = 'based in'")(P.bridges)
+graph(
+    "bridge_edges",
+    "select a, b from lines l where not exists (select 1 from around r where r.a = l.a and r.b = l.b and r.id = l.b)",
+    """both_ways as (select src as a, dst as b from e union select dst, src from e), lines as (select distinct least(src, dst) as a, greatest(src, dst) as b from e where src <> dst),
+    around(a, b, id) as (select a, b, a from lines union select r.a, r.b, w.b from around r join both_ways w on w.a = r.id where not (least(w.a, w.b) = r.a and greatest(w.a, w.b) = r.b))""",
+    recursive=True,
+)(trees.bridges)
 _RISK = f"""risks as (select id, round((coalesce(score, 0) / 100 * 0.4 + betweenness * 0.2 + coalesce(h, 0) * 0.2) * 100, 1) as risk from bc left join tension using (id)
     left join (select src as id, avg(case when {_hostile("label")} then 1.0::double else 0.0::double end) as h from e group by src) using (id))"""
 graph("entity_risk", "select id, risk from risks", BETWEEN, TENSION, _RISK, recursive=True)(lambda g: A.entity_risk(*_between(g)))
@@ -475,7 +488,7 @@ def _snapshots(g: Graph) -> DataFrame:
 
 @graph("store_round_trip", "select src, dst, label, confidence from e")
 def _store(g: Graph) -> DataFrame:
-    from weftgraph.streaming.ingest import GraphStore
+    from weftgraph.streaming.store import GraphStore
 
     store = GraphStore(g.spark, new_path(g.spark, "store"))
     store.save(0, g, g.v.select(F.col("id").alias("key")))

@@ -7,16 +7,20 @@ import ipaddress
 import re
 import unicodedata
 import zipfile
+import zlib
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType
 
 from weftgraph.functions.text import html_text
+from weftgraph.sources import pdf
 
 MAX_FILE_BYTES = 10 << 20
+MAX_MEMBER_BYTES = 64 << 20
 MAX_TEXT = 50_000
 MAX_REQUEST = 500_000
 SHORT_ARTICLE = 200
@@ -24,50 +28,60 @@ PROCESSED_KEPT = 5000
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+def _member(z: zipfile.ZipFile, name: str, most: int = MAX_MEMBER_BYTES) -> bytes:
+    """A member of an archive, if it isn't larger than `most` once inflated; what it says of its size doesn't count."""
+    with z.open(name) as f:
+        data = f.read(most + 1)
+    if len(data) > most:
+        raise ValueError("too large")
+    return data
+
+
 def docx_text(content: bytes) -> str | None:
-    """Paragraphs, then table cells, of a DOCX file; None where it is none."""
+    """Paragraphs, then table cells, of a DOCX file; None where it is none, is encrypted, broken, or inflates without a bound."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+            body = ElementTree.fromstring(_member(z, "word/document.xml")).find(f"{_W}body")
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, RuntimeError, NotImplementedError, EOFError, OSError, zlib.error):
+        return None
+    if body is None:
         return None
     text = lambda node: "".join(t.text or "" for t in node.iter(f"{_W}t")).strip()
     parts = [text(p) for p in body.findall(f"{_W}p")] + [text(c) for c in body.iter(f"{_W}tc")]
     return "\n".join(p for p in parts if p)
 
 
-def pdf_text(content: bytes) -> str | None:
-    """The text of a PDF file, if the optional package pypdf is there; None otherwise."""
-    try:
-        import pypdf
-    except ImportError:
-        return None
-    return "\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(content)).pages)
-
+def plain_text(content: bytes) -> str:
+    return content.decode("utf-8", "ignore")
 
-@F.pandas_udf(StringType())
-def _docx(content: pd.Series) -> pd.Series:
-    return content.map(docx_text)
 
+#: What reads a file of each kind: bytes to a text, or None where they have none.
+READERS: dict[str, Callable[[bytes], str | None]] = {"txt": plain_text, "md": plain_text, "docx": docx_text, "pdf": pdf.read}
 
-@F.pandas_udf(StringType())
-def _plain(content: pd.Series) -> pd.Series:
-    return content.map(lambda x: x.decode("utf-8", "ignore"))
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path, kind, text, error of files of the known kinds; larger ones and others have an error. Bytes that are no UTF-8 are left out.
 
-@F.pandas_udf(StringType())
-def _pdf(content: pd.Series) -> pd.Series:
-    return content.map(pdf_text)
+    Only files of a known kind and size reach Python, each kind its own reader; a reader's failure is its file's error.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    raw = raw.select("path", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("kind"), "length", "content")
+    known, fits = F.col("kind").isin(*READERS), F.col("length") <= MAX_FILE_BYTES
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            out = []
+            for path, kind, content in zip(x["path"], x["kind"], x["content"]):
+                try:
+                    text = READERS[kind](bytes(content))
+                    out.append((path, kind, text, None if text is not None else "unreadable"))
+                except Exception as e:  # one file's failure is its own
+                    out.append((path, kind, None, f"unreadable: {type(e).__name__}"))
+            yield pd.DataFrame(out, columns=["path", "kind", "text", "error"])
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, kind, text, error of files of the known kinds; larger ones and others have an error. Bytes that are no UTF-8 are left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    raw = raw.select("path", kind.alias("kind"), "length", "content")
-    text = F.when(F.col("length") > MAX_FILE_BYTES, None).when(F.col("kind").isin("txt", "md"), _plain("content")).when(F.col("kind") == "docx", _docx("content")).when(F.col("kind") == "pdf", _pdf("content"))
-    error = F.when(F.col("length") > MAX_FILE_BYTES, "too large").when(~F.col("kind").isin("txt", "md", "docx", "pdf"), "unknown kind").when(F.col("text").isNull(), "unreadable")
-    return raw.withColumn("text", text).select("path", "kind", "text", error.alias("error"))
+    read = raw.filter(known & fits).select("path", "kind", "content").mapInPandas(run, "path string, kind string, text string, error string")
+    why = F.when(~known, "unknown kind").otherwise("too large")
+    return read.unionByName(raw.filter(~known | ~fits).select("path", "kind", F.lit(None).cast("string").alias("text"), why.alias("error")))
 
 
 def pages_text(pages: DataFrame) -> DataFrame:
@@ -117,12 +131,15 @@ def _blocked_udf(host: pd.Series) -> pd.Series:
 
 
 def url_allowed(url: Column) -> Column:
-    """Whether a url is http or https and its host neither private nor reserved. Only hosts that could be numbers reach Python."""
+    """Whether a url is http or https and its host neither private nor reserved.
+
+    Names of plain letters are judged here; only their hosts' places go to Python as nulls, which cost next to nothing.
+    """
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#\\]*@)?(\[[^\]]*\]|[^/?#:\\]*)", 1)
     web = F.lower(url).rlike("^https?://") & (host != "")
     named = F.lower(host).rlike(r"(^|\.)(localhost|local|internal|metadata)\.?$")
     odd = host.rlike(_NUMBERS + r"|^[0-9.]*$|^\[|[^\x21-\x7e]|%")
-    return F.coalesce(web & ~named & F.when(odd, ~_blocked_udf(host)).otherwise(True), F.lit(False))
+    return F.coalesce(web & ~named & F.coalesce(~_blocked_udf(F.when(odd, host)), F.lit(True)), F.lit(False))
 
 
 def long_enough(text: Column, least: int = SHORT_ARTICLE) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.graph import EDGES, VERTICES, Graph
 from weftgraph.operators.relational import group_counts, shown_confidence, shown_group
+from weftgraph.sources import pdf
 
 MAX_SNAPSHOTS, DEBOUNCE_SECONDS = 50, 30
 STAMP = "%Y-%m-%dT%H%M%SZ"
@@ -85,6 +88,34 @@ def markdown_brief(g: Graph, entities: list[str], now: datetime, summary: str =
     return "\n".join([*lines, ""])
 
 
+def pdf_briefs(g: Graph, entities: DataFrame, title: str = "Knowledge graph brief") -> DataFrame:
+    """id, pdf: a brief on each entity (id), eight relationships each way at most, written by the task that has it."""
+    rows = dossiers(g, entities, 8, 8).select("id", "grp", "confidence", *(F.transform(c, lambda x: F.replace(F.substr(x, F.lit(3)), F.lit("*"), F.lit(""))).alias(c) for c in ("outgoing", "incoming")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            out = []
+            for id_, grp, confidence, outgoing, incoming in zip(*(x[c] for c in ("id", "grp", "confidence", "outgoing", "incoming"))):
+                lines = [f"# {title}", f"## {id_}", f"Type: {grp.upper()}, confidence: {confidence:.0%}"]
+                for name, part in (("Outgoing", outgoing), ("Incoming", incoming)):
+                    if part is not None:
+                        lines += [f"{name}:", *part]
+                out.append((id_, pdf.write(lines, f"{title}: {id_}")))
+            yield pd.DataFrame(out, columns=["id", "pdf"])
+
+    return rows.mapInPandas(run, "id string, pdf binary")
+
+
+def pdf_text(files: DataFrame) -> DataFrame:
+    """id, text of files (id, pdf)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            yield pd.DataFrame({"id": x["id"], "text": [pdf.read(bytes(p)) for p in x["pdf"]]})
+
+    return files.select("id", "pdf").mapInPandas(run, "id string, text string")
+
+
 def note_vault(g: Graph) -> DataFrame:
     """id, note: a note for each vertex with wiki links to its successors."""
     links = g.e.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.concat(F.lit("- "), F.coalesce("label", F.lit("relates to")), F.lit(" [["), "dst", F.lit("]]")))).alias("links"))

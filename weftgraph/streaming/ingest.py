@@ -2,116 +2,74 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weftgraph.functions.extract import Extractor, extract, unseen
-from weftgraph.graph import EDGES, VERTICES, Graph
-from weftgraph.operators.mutate import Change, upsert
+from weftgraph.graph import Graph
+from weftgraph.operators.mutate import Change, applied, edges_of, named
 from weftgraph.stage import stage
+from weftgraph.streaming.store import Files, GraphStore
 
 
-class GraphStore:
-    """A graph in versioned folders, and the keys of extractions that each version added.
+#: Partitions in which a batch's items are put in order; a batch's places are under 2^43.
+_TASKS, _PLACES = 1000, 1 << 43
 
-    Batch n writes version n from the newest one before it, so a batch that is run again gives the same version. A store
-    that is ahead of a batch by more than a rerun, or behind it by a gap, belongs to another checkpoint and is refused. The
-    newest `keep` versions stay; keys are never rewritten, and small files of them are put together every `compact` versions.
+#: Makes a changed graph from what it touches of the old one, extractions (class, text, attributes, confidence, pos), and the ids
+#: that their names mean (name, id).
+Update = Callable[[Graph, DataFrame, DataFrame], Change]
+
+
+def ingest_found(store: GraphStore, found: DataFrame, batch: int, owner: str = "", update: Update = applied) -> Change:
+    """Extractions (doc_id, chunk, pos, ..., without faults) of one micro-batch into the store; only buckets they touch are rewritten.
+
+    Names are resolved against the ids of all vertices; then only the buckets of what was named are read and written.
     """
+    base = store.before(batch, owner)
+    order = ["doc_id", "chunk", "pos"]
+    items = stage(unseen(found, store.load(base)[1], order), "ingest-items")
+    # numbers that rise in the order of batches, documents, chunks and items
+    parts = min(_TASKS, int(store.spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = items.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    x = stage(placed.select("class", "text", "attributes", "confidence", (F.monotonically_increasing_id() + F.lit(batch * _PLACES)).alias("pos")), "ingest-placed")
+    names = stage(named(store.part(base).v, x), "ingest-names")
+    ends = edges_of(x, names)
+    touched = store.touched(names.select("id"), ends)
+    change = update(store.part(base, *touched), x, names)
+    store.save(batch, change.graph, items.select("key"), touched, owner)
+    return change
+
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = 5, compact: int = 100) -> None:
-        self.spark, self.root, self.keep, self.compact = spark, root, keep, compact
-
-    def _at(self, version: int, part: str = "v") -> str:
-        return f"{self.root}/{part}{version:012d}"
-
-    def _fs(self):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _path(self, path: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-    def versions(self, part: str = "v") -> list[int]:
-        """The finished versions, the oldest first."""
-        fs, p = self._fs()
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(int(n[len(part) :]) for n in names if n[: len(part)] == part and n[len(part) :].isdigit() and fs.exists(self._path(f"{self.root}/{n}/_DONE")))
-
-    def newest(self) -> int:
-        return max(self.versions(), default=-1)
-
-    def before(self, batch: int) -> int:
-        """The version that a batch starts from, -1 for none."""
-        done = self.versions()
-        base = max((v for v in done if v < batch), default=-1)
-        if done and done[-1] > batch:
-            raise ValueError(f"the store has version {done[-1]} already; batch {batch} is of another checkpoint")
-        if base != batch - 1:
-            raise ValueError(f"the store ends at version {base}; batch {batch} would leave a gap")
-        return base
-
-    def load(self, version: int) -> tuple[Graph, DataFrame | None]:
-        """A version's graph and all keys up to it; an empty graph for -1."""
-        if version < 0:
-            return Graph.empty(self.spark), None
-        if version not in self.versions():
-            raise ValueError(f"the store has no version {version}")
-        at = self._at(version)
-        g = Graph(self.spark.read.schema(VERTICES).parquet(f"{at}/vertices"), self.spark.read.schema(EDGES).parquet(f"{at}/edges"))
-        return g, self.spark.read.schema("key string").parquet(*(f"{self._at(v, 'seen')}/keys" for v in self.versions("seen") if v <= version))
-
-    def save(self, version: int, g: Graph, keys: DataFrame) -> None:
-        """Writes a version; keys: those that it adds."""
-        done = lambda at: self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{at}/_DONE")
-        at, seen = self._at(version), self._at(version, "seen")
-        g.v.write.mode("overwrite").parquet(f"{at}/vertices")
-        g.e.write.mode("overwrite").parquet(f"{at}/edges")
-        keys.write.mode("overwrite").parquet(f"{seen}/keys")
-        done(seen)
-        done(at)
-        fs, _ = self._fs()
-        for old in self.versions()[: -self.keep]:
-            fs.delete(self._path(self._at(old)), True)
-        small = [v for v in self.versions("seen") if v <= version - self.keep]
-        if len(small) >= self.compact:  # into the newest of them; the others go when it is there
-            whole = self.spark.read.schema("key string").parquet(*(f"{self._at(v, 'seen')}/keys" for v in small))
-            whole = stage(whole, "seen-keys")
-            whole.coalesce(max(1, len(small) // 50)).write.mode("overwrite").parquet(f"{self._at(small[-1], 'seen')}/keys")
-            for v in small[:-1]:
-                fs.delete(self._path(self._at(v, "seen")), True)
-
-    def clear(self) -> None:
-        """Deletes all versions and all keys."""
-        fs, p = self._fs()
-        fs.delete(p, True)
-
-
-def ingest_batch(store: GraphStore, extractor: Extractor, docs: DataFrame, batch: int, on_change: Callable[[Change, DataFrame], None] | None = None) -> Change:
-    """One micro-batch of documents (doc_id, text) into the store. A chunk with a faulty answer adds nothing and is told."""
-    g, seen = store.load(store.before(batch))
+def ingest_batch(store: GraphStore, extractor: Extractor, docs: DataFrame, batch: int, on_change: Callable[[Change, DataFrame], None] | None = None, owner: str = "", update: Update = applied) -> Change:
+    """One micro-batch of documents (doc_id, text) into the store. A chunk with a faulty answer adds nothing and is told.
+
+    The change that is returned, and that on_change gets with the faults, has those parts of the graph that the batch touched.
+    """
+    store.before(batch, owner)
     found = stage(extract(docs, extractor), "ingest-found")
-    errors = found.filter("parse_error is not null").select("doc_id", "chunk", "parse_error")
-    order = ["doc_id", "chunk", "pos"]
-    items = stage(unseen(found.filter("parse_error is null").drop("parse_error"), seen, order), "ingest-items")
-    # places in the order of documents, chunks and items: those of a document before, and the row's among its own
-    sizes = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))).select("doc_id", F.coalesce("start", F.lit(0)).alias("start"))
-    own = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk", "pos"))
-    ordered = items.withColumn("own", own).join(starts, items["doc_id"].eqNullSafe(starts["doc_id"])).withColumn("pos", F.col("start") + F.col("own"))
-    change = upsert(g, ordered.select("class", "text", "attributes", "confidence", "pos"))
-    store.save(batch, change.graph, items.select("key"))
+    change = ingest_found(store, found.filter("parse_error is null").drop("parse_error"), batch, owner, update)
     if on_change:
-        on_change(change, errors)
+        on_change(change, found.filter("parse_error is not null").select("doc_id", "chunk", "parse_error"))
     return change
 
 
-def ingest(stream: DataFrame, store: GraphStore, extractor: Extractor, checkpoint: str, once: bool = True, every: str = "60 seconds", on_change: Callable[[Change, DataFrame], None] | None = None) -> StreamingQuery:
+def owner_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of a checkpoint: drawn once, and kept in it."""
+    files = Files(spark, checkpoint)
+    if (name := files.read("weftgraph-owner")) is None:
+        files.write("weftgraph-owner", uuid.uuid4().hex)
+        name = files.read("weftgraph-owner")
+    return name
+
+
+def ingest(stream: DataFrame, store: GraphStore, extractor: Extractor, checkpoint: str, once: bool = True, every: str = "60 seconds", on_change: Callable[[Change, DataFrame], None] | None = None, update: Update = applied) -> StreamingQuery:
     """Runs ingest_batch on a stream of documents: over what is there, or again and again."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: ingest_batch(store, extractor, df.select("doc_id", "text"), i, on_change) and None)
+    owner = owner_of(store.spark, checkpoint)
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: ingest_batch(store, extractor, df.select("doc_id", "text"), i, on_change, owner, update) and None)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
