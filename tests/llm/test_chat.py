@@ -3,6 +3,7 @@ import hashlib
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import LONG
 from weftgraph.llm import chat
@@ -66,9 +67,9 @@ def test_stored_parts_in_any_order(spark, tmp_path):
     """A conversation of several parts is one row again after its parts were stored in another order."""
     long = "x" * (5 << 20)
     turns = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", f"{i}{long}") for i in range(6)] + [(2, 0, "user", "hi"), (None, 0, "user", "lost")], "conv_id bigint, turn bigint, role string, text string")
-    made = C.format_chats(turns)
-    made.repartition(5, "part").orderBy("part", ascending=False).withColumn("n_turns", C.F.lit("clash")).write.parquet(f"{tmp_path}/chats")
+    made = chat.format_chats(turns)
+    made.repartition(5, "part").orderBy("part", ascending=False).withColumn("n_turns", F.lit("clash")).write.parquet(f"{tmp_path}/chats")
     stored = spark.read.parquet(f"{tmp_path}/chats")
     assert stored.filter("conv_id = 1").count() > 1
-    want, got = (sorted(map(str, x.collect())) for x in (C.digest_chats(made, in_order=True), C.digest_chats(stored)))
+    want, got = (sorted(map(str, x.collect())) for x in (chat.digest_chats(made, in_order=True), chat.digest_chats(stored)))
     assert got == want and len(got) == 3

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.batches import bounded
-from weftgraph.llm.ordered import within_keys
+from weftgraph.ordered import within_keys
 from weftgraph.stage import stage
 
 FAN = 3
@@ -157,7 +157,7 @@ def _on_driver(spark: SparkSession, nodes: list, over: bool) -> DataFrame:
     for r in sorted(nodes, key=lambda r: (r.tree.encode(), r.place)):
         trees.setdefault(r.tree, []).append(bytes(r.digest))
     done = {t: reduced(x) for t, x in trees.items()}
-    root, ways = reduced([x for x, _ in done.values()]) if over else (None, [b""] * len(done))
+    root, ways = reduced([x for x, _ in done.values()]) if over and done else (None, [b""] * len(done))
     rows = [(t, i, p + last, sub, root if over else sub) for (t, (sub, way)), last in zip(done.items(), ways) for i, p in enumerate(way)]
     return spark.createDataFrame(rows, "tree string, place bigint, suffix binary, subroot binary, root binary")
 
