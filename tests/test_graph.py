@@ -136,7 +136,7 @@ def test_betweenness_guard(spark):
     assert P.top_betweenness(g(spark, [("A", "B", "l"), ("B", "C", "l")]), 5).collect() == []
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3])
 def test_components_and_bridges_by_brute_force(spark, seed):
     edges, ids = random_edges(seed, 14, 14)
 

@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import re
 import zipfile
 from datetime import datetime, timedelta
@@ -187,7 +188,15 @@ def test_node_link_round_trip(spark, tmp_path):
     g = nodelink.load(spark, str(at))
     assert {r.id: r.attributes for r in g.v.collect()} == {"A": {"k": "v"}, "B": {"role": "x", "n": "None"}}
     assert [(r.src, r.dst, r.label, r.seq) for r in g.e.collect()] == [("A", "B", "l", 0)]
-    nodelink.save(g, new_path(spark, "nodelink"))
+    path = new_path(spark, "nodelink")
+    many = Graph.of(spark.createDataFrame([(f"n{i}", "x", i / 7, f'"{i},\n{{', {"k": "v\n"} if i % 2 else None, i) for i in range(50)], "id string, `group` string, confidence double, title string, attributes map<string,string>, seq bigint"), spark.createDataFrame([(f"n{i}", f"n{i * 3 % 50}", ",{", i) for i in range(50)], "src string, dst string, label string, seq bigint"))
+    nodelink.save(many, path)
+    files = sorted(f for f in os.listdir(path.removeprefix("file://")) if f.startswith("part-"))
+    whole = json.loads("".join(open(f"{path.removeprefix('file://')}/{f}").read() for f in files))
+    assert len(whole["nodes"]) == len(whole["links"]) == 50 and whole["directed"]
+    saved = nodelink.load_saved(spark, path)
+    assert sorted(map(str, saved.v.collect())) == sorted(map(str, many.v.collect())) and sorted(map(str, saved.e.collect())) == sorted(map(str, many.e.collect()))
+    assert json.loads(nodelink.dumps(many)) == whole and json.loads(nodelink.dumps(Graph.empty(spark)))["nodes"] == []
     back = json.loads(nodelink.dumps(g))
     assert {n["id"] for n in back["nodes"]} == {"A", "B"} and back["links"][0]["source"] == "A"
     at.write_text("{broken")

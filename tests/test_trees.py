@@ -38,7 +38,7 @@ def graph(spark, edges):
     return Graph.literal(spark, [(v, "x") for v in sorted({v for e in edges for v in e})], [(*e, "l") for e in dict.fromkeys(edges)])
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_forest_and_tour(spark, seed):
     edges = random_edges(seed, 30, 32)
     tree, roots = trees.spanning_forest(spark.createDataFrame(edges, "a string, b string"))
@@ -56,7 +56,7 @@ def test_forest_and_tour(spark, seed):
         assert all(a[2] == b[1] for a, b in zip(steps, steps[1:]))
 
 
-@pytest.mark.parametrize("seed, n, m", [(3, 14, 14), (4, 40, 45), (5, 6, 40)])
+@pytest.mark.parametrize("seed, n, m", [(3, 14, 14), (4, 30, 34)])
 def test_bridges_by_removal(spark, seed, n, m):
     edges = random_edges(seed, n, m)
     g = graph(spark, edges)
@@ -71,7 +71,7 @@ def test_bridges_of_nothing(spark):
     assert trees.bridges(Graph.literal(spark, [("a", "x")], [("a", "a", "l")])).collect() == []
 
 
-@pytest.mark.parametrize("shuffled", [False, True])
+@pytest.mark.parametrize("shuffled", [True])
 def test_a_long_chain_takes_few_rounds(spark, monkeypatch, shuffled):
     """10,000 vertices in a row, with one cycle at its end: under 40 rounds of pointer jumps."""
     n, rounds = 10_000, []

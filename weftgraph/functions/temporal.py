@@ -39,12 +39,6 @@ def trajectory(points: DataFrame, least: int = 3, slope: float = 0.02) -> DataFr
     return ends.filter(F.col("n") >= least).select("id", "n", F.round("slope", 6).alias("slope"), trend.alias("trend"))
 
 
-def steps(points: DataFrame) -> DataFrame:
-    """points (id, ts, value) with the change from the one before."""
-    w = Window.partitionBy("id").orderBy("ts")
-    return points.withColumn("change", F.col("value") - F.lag("value").over(w))
-
-
 def edge_credibility(sources: Column) -> Column:
     """From 0.5 up by 0.15 for each source, and by a tenth of the known domains' quality; 1 at most."""
     quality = F.create_map(*(F.lit(x) for kv in vocab.SOURCE_QUALITY.items() for x in kv))

@@ -100,7 +100,7 @@ def neighbors(g: Graph, node: str) -> DataFrame:
 
 
 def capped(df: DataFrame, order: list | None = None, cap: int = RESULT_CAP) -> DataFrame:
-    """The first rows in order of arrival (or the given order), at most cap; a further column tells whether more exist."""
+    """The first rows in order of arrival (or the given order), at most cap."""
     keys = order if order is not None else [F.col("seq").asc_nulls_last(), *(c for c in ("id", "src", "dst") if c in df.columns)]
     return df.orderBy(*keys).limit(cap)
 

@@ -333,16 +333,15 @@ graph(
     """select 'node' as item, id as key, 'removed' as status from v where confidence < 0.55 union all select 'edge', src || '>' || dst, 'removed' from e where label = 'monitors'
     union all select 'edge', src || '>' || dst, 'changed' from e where label = 'threatens'""",
 )(lambda g: M.diff(g, _later(g)))
-graph("workspace_recurrence", "select id, 'a,b' as workspaces, 2::bigint as n from v where confidence >= 0.55")(lambda g: M.recurrence({"a": g, "b": _later(g)}))
+graph("workspace_recurrence", "select id, string_agg(w, ',' order by w) as workspaces, count(*) as n from (select id, 'a' as w from v union all select id, 'b' from v where confidence >= 0.55) group by id having count(*) >= 2")(lambda g: M.recurrence({"a": g, "b": _later(g)}))
 
 
-@graph("scenario_changes", "select src, dst, label from e where label <> 'monitors' union all select 'NATION_0', 'NATION_24', 'blockades'")
+@graph("scenario_changes", "select src, dst, label from e where label <> 'monitors' and not (src = 'NATION_0' and dst = 'NATION_24') union all select 'NATION_0', 'NATION_24', 'blockades'")
 def _scenario(g: Graph) -> DataFrame:
     add = g.spark.createDataFrame([("NATION_0", "NATION_24", "blockades", 0.9)], "src string, dst string, label string, confidence double")
     return M.apply_changes(g, add, g.e.filter("label = 'monitors' or (src = 'NATION_0' and dst = 'NATION_24')")).e.select("src", "dst", "label")
 
 
-SQL["scenario_changes"] = SQL["scenario_changes"].replace("where label <> 'monitors'", "where label <> 'monitors' and not (src = 'NATION_0' and dst = 'NATION_24')")
 
 
 @graph("fuzzy_resolve", "select lower(id) || suffix as name, id from v, (values (''), ('x')) s(suffix)")
@@ -378,7 +377,7 @@ graph(
     recursive=True,
 )(lambda g: gql.run(g, "find path from supplier#000000001 to nation_6").select("narrative"))
 graph("gql_ego", "select id, grp from v where id in (select id from near) order by id limit 200", _EGO)(lambda g: gql.run(g, "ego of nation_6 hops 2"))
-graph("gql_edges_over_cap", "select 'edges_label' as kind, 200 as shown, count(*) as n, count(*) > 200 as truncated from e where contains(label, 'a')")(lambda g: _told(g, "edges where label contains a"))
+graph("gql_edges_over_cap", "select 'edges_label' as kind, cast(least(count(*), 200) as int) as shown, count(*) as n, count(*) > 200 as truncated from e where contains(label, 'a')")(lambda g: _told(g, "edges where label contains a"))
 
 
 def _told(g: Graph, text: str) -> DataFrame:
@@ -386,7 +385,6 @@ def _told(g: Graph, text: str) -> DataFrame:
     return g.spark.createDataFrame([(a.kind, len(a.rows), a.count, a.truncated)], "kind string, shown int, n bigint, truncated boolean")
 
 
-SQL["gql_edges_over_cap"] = SQL["gql_edges_over_cap"].replace("200 as shown", "cast(least(count(*), 200) as int) as shown")
 
 
 @graph("enrich_vertices", "select v.id, r_name as region, case when n_name is not null then 'table' end as origin, case when n_name is not null then 'kept' end as note from v left join nation on n_name = v.id left join region on n_regionkey = r_regionkey")
@@ -414,7 +412,9 @@ graph(
     """select cast(round_even(g / 7.0 * 25 + k * 25 + s * 25 + 0.9 * 25, 0) as int) as score, round(s, 4) as source_diversity, 0.9::double as recency from
     (select (select count(distinct grp) from v)::double as g, least(1.0, count(distinct label) / greatest(count(*) * 0.3, 1.0)) as k, (select least(1.0, avg(n) / 3) from (select src, count(distinct dst) as n from e group by src)) as s from e)""",
 )(lambda g: A.health_by_sources(g, g.e.select(F.col("src").alias("id"), F.col("dst").alias("source")), 3.0))
-graph("totals_of_nothing", "select 0::bigint as n_nodes, 0::bigint as n_edges, 0.0::double as density")(lambda g: A.totals(M.clear(g)))
+graph("totals_of_nothing", "select count(*) as n_nodes, (select count(*) from e where confidence < 0) as n_edges, case when count(*) > 1 then (select count(*) from e where confidence < 0) / (count(*) * (count(*) - 1)) else 0.0 end::double as density from v where confidence < 0")(
+    lambda g: A.totals(Graph(g.v.filter("confidence < 0"), g.e.filter("confidence < 0")))
+)
 graph("entity_relation_split", "select (select count(*) from v where grp = 'country') as entities, (select 2 * count(*) + 1 from e where label = 'monitors') as relations")(lambda g: X2.entity_relation_split(_extractions(g)))
 graph("delta_projection", "select src, dst, label from e where src in (select r_name from region) or dst in (select r_name from region)")(lambda g: _delta(g))
 graph("delta_vertices", "select id from v where id in (select r_name from region)")(lambda g: _delta(g, True))
@@ -472,7 +472,7 @@ def _timeline(g: Graph) -> DataFrame:
 def _node_link(g: Graph) -> DataFrame:
     path = new_path(g.spark, "node-link")
     N.save(g, path)
-    return N.load(g.spark, path).e.select("src", "dst", "label", F.round("confidence", 4).alias("confidence"))
+    return N.load_saved(g.spark, path).e.select("src", "dst", "label", F.round("confidence", 4).alias("confidence"))
 
 
 @graph("snapshot_timeline", "select * from (values ('2024-01-01T000000Z', 1, (select count(*) from v)), ('2024-01-01T000100Z', 2, (select count(*) from v where confidence >= 0.55))) t(stamp, place, n_nodes)")
@@ -537,7 +537,14 @@ def _seeds(spark: SparkSession, sf: str) -> DataFrame:
     return X.retrieval_seeds(g, table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text")))
 
 
-@tables("extract_validate")
+_TURN_CLASS, _TURN_CONFIDENCE = "['country', 'Person', 'planet', 'relationship'][turn % 4 + 1]", "[0.9, 1.0, 0.4][conv_id % 3 + 1]::double"
+
+
+@tables(
+    "extract_validate",
+    f"""select conv_id, turn, 0 as pos, {_TURN_CLASS} as class, stripped as text, {_TURN_CONFIDENCE} as confidence, cast(null as varchar) as parse_error
+    from (select *, regexp_replace(text, '^[\\s\\x0b\\x85\\p{{Z}}]+|[\\s\\x0b\\x85\\p{{Z}}]+$', '', 'g') as stripped from conversations) where {_TURN_CLASS} in ('country', 'Person') and {_TURN_CONFIDENCE} >= 0.5 and stripped <> ''""",
+)
 def _extract(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as answers of a model: wrapped in JSON with classes and confidences by turn."""
     turns = table(spark, sf, "conversations")
@@ -549,11 +556,11 @@ def _extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @tables("lexicon_extract")
 def _lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """What a lexicon finds in all documents."""
     from weftgraph.functions.extract import extract
 
-    run = lexicon_extractor({"ring": "technology", "widget": "technology", "bolt": "resource"}, {"and": "pairs with"})
-    docs = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" and ", "p_name", F.lit("steel bolt")).alias("text"))
-    return extract(docs, run).drop("attributes")
+    run = lexicon_extractor({"The": "organization", "Und": "country", "Les": "person", "Que": "event"}, {"of": "part of", "und": "joins", " et": "meets"})
+    return extract(table(spark, sf, "documents").select("doc_id", "text"), run).drop("attributes")
 
 
 _hosts = ("127.1", "2130706433", "0x7f.0.0.1", "10.0.0.1", "[::1]", "localhost", "8.8.8.8", "134744072")
@@ -634,16 +641,17 @@ tables(
 )(lambda spark, sf: V.text_search(table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding"), "id", "embedding", "77").select("id", F.round("similarity", 6).alias("similarity")))
 
 
-@tables("embedding_store", f"select vec_id::varchar as id, len(embedding)::int as dim, round({_dot('embedding', 'embedding')} / {_dot('embedding', 'embedding')}, 4) as square from embeddings")
+@tables("embedding_store", f"select vec_id::varchar as id, len(embedding)::int as dim, round(embedding[1]::double / sqrt({_dot('embedding', 'embedding')}), 4) as first, round(list_sum(list_transform(embedding, lambda x: x::double / sqrt({_dot('embedding', 'embedding')}))), 4) as total from embeddings")
 def _embedding_store(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors written and read again, of length 1."""
     path = new_path(spark, "embeddings")
     V.save_embeddings(table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector")), path)
-    return V.load_embeddings(spark, path).select("id", F.size("vector").alias("dim"), F.round(V.dot(F.col("vector"), F.col("vector")), 4).alias("square"))
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return V.load_embeddings(spark, path).select("id", F.size("vector").alias("dim"), F.round(F.col("vector")[0], 4).alias("first"), F.round(total, 4).alias("total"))
 
 
 tables("kmeans_clusters")(lambda spark, sf: V.kmeans(table(spark, sf, "embeddings"), "vec_id", "embedding", 6))
-graph("node_embeddings")(lambda g: V.node_embeddings(g.staged()).select("id", F.size("vector").alias("dim")))
+graph("node_embeddings")(lambda g: V.node_embeddings(g.staged()))
 
 # -- events and history ---------------------------------------------------------------------------
 

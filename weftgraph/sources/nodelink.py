@@ -33,8 +33,9 @@ def literal_map(text: pd.Series) -> pd.Series:
 
 
 def title_map(title):
-    """The attributes that a title holds: JSON with either quote, else a Python literal."""
-    return F.coalesce(F.from_json(title, "map<string,string>"), literal_map(title))
+    """The attributes that a title holds: JSON with either quote, else a Python literal; only titles that are no JSON are sent to Python."""
+    told = F.from_json(title, "map<string,string>")
+    return F.coalesce(told, literal_map(F.when(told.isNull(), title)))
 
 
 def load(spark: SparkSession, path: str) -> Graph:
@@ -47,25 +48,43 @@ def load(spark: SparkSession, path: str) -> Graph:
     return Graph.of(v, e)
 
 
-def to_json_text(g: Graph) -> DataFrame:
-    """One row: the graph as text. For exports of graphs that a reader can hold; tables are saved as Parquet."""
-    order = lambda x: F.array_sort(F.collect_list(x))
-    nodes = g.v.agg(order(F.struct("id", "group", "confidence", "title", "seq")).alias("nodes"))
-    links = g.e.agg(order(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "label", "confidence", "weight")).alias("links"))
-    whole = F.struct(F.lit(True).alias("directed"), F.lit(False).alias("multigraph"), F.create_map().cast("map<string,string>").alias("graph"), "nodes", "links")
-    return nodes.join(F.broadcast(links)).select(F.to_json(whole).alias("value"))
+#: Lines around the nodes and the links.
+_HEAD, _BETWEEN, _FOOT = '{"directed": true, "multigraph": false, "graph": {}, "nodes": [', '], "links": [', "]}"
+_LINE = "struct<id: string, group: string, confidence: double, title: string, attributes: map<string,string>, seq: bigint, source: string, target: string, label: string, weight: double>"
 
 
-def lines(g: Graph) -> DataFrame:
-    """The graph as JSON lines, a node or a link each, without gathering it."""
-    nodes = g.v.select(F.to_json(F.struct(F.lit("node").alias("kind"), "id", "group", "confidence", "title", "attributes")).alias("value"))
-    return nodes.unionByName(g.e.select(F.to_json(F.struct(F.lit("link").alias("kind"), F.col("src").alias("source"), F.col("dst").alias("target"), "label", "confidence", "weight")).alias("value")))
+def document_lines(g: Graph) -> DataFrame:
+    """place, key, value: the lines of one JSON document, in the order of place and key; a node or a link to a line."""
+    node = F.to_json(F.struct("id", "group", "confidence", "title", "attributes", "seq"))
+    link = F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "label", "confidence", "weight", "seq"))
+
+    def part(df: DataFrame, key, value, place: int) -> DataFrame:
+        first = F.broadcast(df.agg(F.min(key).alias("first")))  # the first one has no comma before it
+        rows = df.select(key.alias("key"), value.alias("value")).join(first)
+        own = F.col("key") == F.col("first")
+        return rows.select(F.when(own, place).otherwise(place + 1).alias("place"), "key", F.when(own, F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+
+    ends = g.spark.createDataFrame([(0, "", _HEAD), (3, "", _BETWEEN), (6, "", _FOOT)], "place int, key string, value string")
+    pair = F.concat(F.length("src").cast("string"), F.lit(":"), "src", "dst")
+    return ends.unionByName(part(g.v, F.col("id"), node, 1)).unionByName(part(g.e, pair, link, 4))
 
 
 def save(g: Graph, path: str) -> None:
-    """The graph as one JSON file under path."""
-    to_json_text(g).coalesce(1).write.mode("overwrite").text(path)
+    """Files under path that, one after the other by their names, are one JSON document; each task writes its range of lines."""
+    rows = document_lines(g).repartitionByRange("place", "key").sortWithinPartitions("place", "key")
+    rows.select("value").write.mode("overwrite").text(path)
+
+
+def load_saved(spark: SparkSession, path: str) -> Graph:
+    """A graph that save has written, line by line."""
+    rows = spark.read.text(path).filter(F.startswith("value", F.lit("{\"")) | F.startswith("value", F.lit(",{\""))).filter(F.col("value") != _HEAD)
+    rows = rows.select(F.from_json(F.regexp_replace("value", "^,", ""), _LINE).alias("x")).select("x.*")
+    v = rows.filter("source is null and id is not null")
+    e = rows.filter("source is not null").select(F.col("source").alias("src"), F.col("target").alias("dst"), "label", "confidence", "weight", "seq")
+    return Graph.of(v, e)
 
 
 def dumps(g: Graph) -> str:
-    return json.dumps(json.loads(to_json_text(g).first()[0]), indent=2)
+    """The document as text, for graphs that a reader can hold."""
+    rows = document_lines(g).orderBy("place", "key").select("value").toLocalIterator()
+    return json.dumps(json.loads("".join(r.value for r in rows)), indent=2)

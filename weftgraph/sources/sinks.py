@@ -49,7 +49,8 @@ def graphml_rows(g: Graph) -> DataFrame:
 
 
 def write_graphml(g: Graph, path: str) -> None:
-    graphml_rows(g).coalesce(1).sortWithinPartitions("part", "value").select("value").write.mode("overwrite").text(path)
+    """Files under path that, one after the other by their names, are one GraphML document; each task writes its range of lines."""
+    graphml_rows(g).repartitionByRange("part", "value").sortWithinPartitions("part", "value").select("value").write.mode("overwrite").text(path)
 
 
 def dossiers(g: Graph, entities: DataFrame, out: int = 10, into: int = 10) -> DataFrame:
