@@ -36,6 +36,15 @@ def test_bytes_part_texts_whose_hashes_collide(spark):
     check(rows, exact_dedup(documents(spark, rows), "largest", weak).collect(), max)
 
 
+def test_texts_whose_hashes_are_too_many_to_send(spark, monkeypatch):
+    from weftgraph.llm import exact_dedup as E
+
+    monkeypatch.setattr(E, "SENT_HASHES", 0)
+    rows = ODD + [(i, f"t{i % 7}") for i in range(100, 160)]
+    weak = lambda t: F.unhex(F.lpad(F.substring(F.md5(t), 1, 1), 2, "0"))
+    check(rows, exact_dedup(documents(spark, rows), "largest", weak).collect(), max)
+
+
 def test_empty_table(spark):
     assert exact_dedup(documents(spark, [])).collect() == []
     assert keep_one(documents(spark, [])).collect() == []

@@ -1,7 +1,7 @@
 """Exact duplicates: groups by a 128-bit content hash, bytes compared inside groups. DataFrame functions only.
 
 What is grouped on the hash is combined before the shuffle, so a text that a third of all rows repeat costs each task
-one row. Bytes are compared by grouping on (hash, text), likewise combined before its shuffle.
+one row. Bytes are compared by grouping texts whose hash occurs more than once on (hash, text), likewise combined before the shuffle.
 
 Cases: a null text is an empty text, and all empty texts are equal. Of rows with the same text and the same id one is
 kept. A row with a null id stays only where all rows of the text have none. A long text is read whole; its groups hold one
@@ -20,6 +20,10 @@ from pyspark.sql import types as T
 from weftgraph.stage import stage
 
 
+#: Hashes that are sent to tasks, 16 bytes each; with more of them all texts are shuffled.
+SENT_HASHES = 500_000
+
+
 def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
@@ -28,9 +32,16 @@ def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def collided(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """The hashes (h) that different texts share."""
-    texts = docs.select(hashed(_text()).alias("h"), _text().alias("t")).groupBy("h", "t").agg(F.count(F.lit(1)).alias("n"))
+def collided(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash, rows: DataFrame | None = None) -> DataFrame:
+    """The hashes (h) that different texts share; rows has the hashes (h) of docs, if they are known.
+
+    Only texts whose hash occurs twice are shuffled, as long as the list of those hashes is small enough to be sent.
+    """
+    texts = docs.select(hashed(_text()).alias("h"), _text().alias("t"))
+    again = stage((texts if rows is None else rows).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "exact-again")
+    if again.count() <= SENT_HASHES:
+        texts = texts.join(F.broadcast(again), "h", "left_semi")
+    texts = texts.groupBy("h", "t").agg(F.count(F.lit(1)).alias("n"))
     return texts.groupBy("h").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1").select("h")
 
 
@@ -49,7 +60,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", hashed: Callable[[Colum
     row = F.monotonically_increasing_id().alias("row")
     digest = F.sha2(_text(), 256).alias("text_sha256")
     rows = stage(docs.select("doc_id", row, hashed(_text()).alias("h"), digest), "exact-rows")
-    shared = stage(collided(docs, hashed), "exact-collided")
+    shared = stage(collided(docs, hashed, rows), "exact-collided")
     if shared.isEmpty():
         return judged(rows, ["h"])
     apart = docs.select("doc_id", row, hashed(_text()).alias("h"), _text().alias("t"), digest).join(shared, "h", "left_semi")
