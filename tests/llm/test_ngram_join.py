@@ -103,3 +103,43 @@ def test_signatures_estimate_similarity():
     b = np.unique(np.concatenate([a[:3000], r.integers(0, 2**63, 1000).astype(np.uint64)]))
     s = J.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
     assert abs((s[0] == s[1]).mean() - 3000 / 5000) < 0.12
+
+
+@pytest.mark.parametrize("block_shingles", [2_000_000, 2500, 400])
+def test_keep_one_by_brute_force(spark, block_shingles):
+    """The smallest id of each group stays, however small the blocks in which groups are joined."""
+    rows = [(i, t) for i, t, *_ in corpus(11)]
+    got = J.keep_one(documents(spark, rows).repartition(3), block_shingles=block_shingles)
+    best = {}
+    for i, group, _ in brute(rows):
+        best.setdefault(group if group is not None else "none", i)
+    want = sorted({str(g) for _, g, _ in brute(rows)})
+    assert sorted(str(r.doc_id) for r in got.collect() if r.doc_id is not None) == [x for x in want if x != "None"]
+
+
+def test_a_group_of_near_copies_ships_each_text_about_once(spark, monkeypatch):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i, k in enumerate(r.randrange(150) for _ in range(300))]
+    rows += [(1000 + i, " ".join(base[:75] + [word() for _ in range(75)])) for i in range(20)]  # not alike, if likely
+    shipped, real = [], J._joined
+    monkeypatch.setattr(J, "_joined", lambda placed, *a: (shipped.append(placed.count()), real(placed, *a))[1])
+    kept = sorted(r.doc_id for r in J.keep_one(documents(spark, rows), block_shingles=3000).collect())
+    assert kept == [0, *range(1000, 1020)] and sum(shipped) < 2 * len(rows)
+
+
+def test_large_parts_that_one_text_links(spark):
+    """Two families that only a text between them links, in other blocks than the families' first texts."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+    end = list(base)
+    end[190:] = [word() for _ in range(10)]
+    far = list(end)
+    far[:26] = [word() for _ in range(26)]
+    families = [" ".join([*t, f"a{i}"]) for t in (base, far) for i in range(40)]
+    rows = list(enumerate([*families, " ".join(end)]))
+    classes = {c for _, c, _ in brute(rows)}
+    for block in (2_000_000, 1500):
+        assert len(J.keep_one(documents(spark, rows), block_shingles=block).collect()) == len(classes)

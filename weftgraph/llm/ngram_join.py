@@ -12,14 +12,20 @@
 4. What comes out is the number of links of each class and a spanning forest of the exact links, whose components are the
    near-duplicate groups.
 
+Where only the groups are asked for (keep_one), step 3 compares no pair that hangs together already. A group is dealt to blocks once;
+each block is joined exactly, what hangs together sends one representative on, and representatives are joined the same way, until they fit
+one block. Only if a group of several blocks is still in parts, all but its largest part is compared with all of it. So a group of n
+near copies ships each text once, and few of them again; a large group of many large parts costs its square in blocks.
+
 A pair at the threshold shares no band with probability (1 - t^ROWS)^BANDS, 3e-6 at 0.8, and is pruned with a further 1e-5,
 so 1.3e-5 in all (2e-6 at 0.82) would not bring two classes into one group by themselves; within a group hardly any link is lost.
-A group's pairs are all compared, for the numbers of links; that work, and the rows that pairs of blocks read, grow with
+For the numbers of links a group's pairs are all compared; that work, and the rows that pairs of blocks read, grow with
 the square of a group beyond a block.
 
 Words part at white space, A-Z in lower case. Similarity is the Jaccard index of the sets of shingles. Cases: a null text
 is empty; a text of fewer than K words has one shingle of all its words; a text without words has none, is linked to
-nothing and stands alone; rows that repeat (also with one doc_id) are rows of one class; a null doc_id is a row like others
+nothing and stands alone; a very long text is read whole, and is a block of its own where it passes a block's size; rows that repeat
+(also with one doc_id) are rows of one class; a null doc_id is a row like others
 and never names a group if another id can; other columns are not read; an empty table gives an empty result.
 """
 
@@ -46,8 +52,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 TOLERANCE, EXACT_TOLERANCE = 1e-6, 1e-12
 STEP = 16
-#: The most classes of a bucket, and shingles of a group, in a block.
-BLOCK_ROWS, BLOCK_SHINGLES = 2000, 2_000_000
+#: The most classes of a bucket, and shingles and classes of a group, in a block.
+BLOCK_ROWS, BLOCK_SHINGLES, GROUP_ROWS = 2000, 2_000_000, 10_000
 #: The most bits of a filter that is sent to tasks.
 FILTER_BITS = 1 << 26
 _SIGNS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -274,50 +280,72 @@ def likely_links(classes: DataFrame, tolerance: float = TOLERANCE, threshold: fl
     return placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class").mapInArrow(compare, "a bigint, b bigint")
 
 
-def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, tolerance: float = EXACT_TOLERANCE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """a, b, links: edges of forests of exact links (links null), and for a class the linked rows of one block pair (b null)."""
-    needed = least_matches(threshold, tolerance)
+class _Members:
+    """The signatures and sets of shingles of a group's rows, and which of them are alike."""
+
+    def __init__(self, group: pa.Table, needed: list[tuple[int, int]], threshold: float) -> None:
+        self.ids, self.needed, self.threshold = group["class"].to_numpy(), needed, threshold
+        self.signs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(-1, HASHES)
+        parts, counts = [], []
+        for _, sets, ptr in shingle_sets(group["text"]):
+            parts.append(sets)
+            counts.append(np.diff(ptr))
+        self.n = np.concatenate(counts)
+        self.begin = np.cumsum(self.n) - self.n
+        known, self.number = np.unique(np.concatenate(parts), return_inverse=True)
+        self.mark = np.zeros(len(known), bool)
+
+    def near(self, x: int, rest: np.ndarray) -> np.ndarray:
+        """The rows of rest that are alike row x: by size, by signature, then exactly."""
+        n, mark, number = self.n, self.mark, self.number
+        rest = rest[np.minimum(n[rest], n[x]) >= self.threshold * np.maximum(n[rest], n[x])]
+        rest = rest[survivors(self.signs[x], self.signs[rest], self.needed)] if len(rest) else rest
+        if not len(rest):
+            return rest
+        own = number[self.begin[x] : self.begin[x] + n[x]]
+        mark[own] = True
+        size = n[rest]
+        cut = np.cumsum(size) - size
+        both = np.add.reduceat(mark[number[np.repeat(self.begin[rest] - cut, size) + np.arange(size.sum())]].astype(np.int64), cut)
+        mark[own] = False
+        return rest[both >= self.threshold * (size + n[x] - both)]
+
+
+def _inside(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes of likely groups (class, root, size, shingles, signature), and one text for each (class, text)."""
     inside = stage(classes.join(groups, F.col("class") == F.col("id")).select("class", "doc_id", "key", "root", "size", "shingles", "signature"), "jaccard-inside")
-    blocks = stage(inside.groupBy("root").agg(F.ceil(F.sum("shingles") / block_shingles).cast("bigint").alias("blocks")), "jaccard-blocks")
     ids = inside.select("class", F.col("doc_id").alias("id"), F.col("key").alias("text_key"))
     among = row_filter(inside.select("doc_id", "key"))
     texts = docs.select("doc_id", _key(F.col("text")).alias("key"), "text").filter(among(F.col("doc_id"), F.col("key")))
     texts = texts.join(ids, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    texts = stage(texts.groupBy("class").agg(F.first("text").alias("text")), "jaccard-texts")  # rows that repeat come once
-    placed = _block_pairs(inside.join(blocks, "root").select("class", "root", "size", "signature", "blocks"), F.col("blocks"), F.col("class"))
+    return inside, stage(texts.groupBy("class").agg(F.first("text").alias("text")), "jaccard-texts")  # rows that repeat come once
+
+
+def _blocks(members: DataFrame, block_shingles: int) -> DataFrame:
+    """root, blocks: how many blocks the members of a group fill."""
+    most = F.greatest(F.ceil(F.sum("shingles") / block_shingles), F.ceil(F.count(F.lit(1)) / GROUP_ROWS))
+    return stage(members.groupBy("root").agg(most.cast("bigint").alias("blocks")), "jaccard-blocks")
+
+
+def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, tolerance: float = EXACT_TOLERANCE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """a, b, links: edges of forests of exact links (links null), and for a class the linked rows of one block pair (b null)."""
+    needed = least_matches(threshold, tolerance)
+    inside, texts = _inside(docs, classes, groups)
+    placed = _block_pairs(inside.join(_blocks(inside, block_shingles), "root").select("class", "root", "size", "signature", "blocks"), F.col("blocks"), F.col("class"))
     placed = placed.select("root", "i", "j", "mine", "class", "size", "signature").join(texts, "class")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["root", "i", "j"]):
-            ids, mine, weight = (group[c].to_numpy() for c in ("class", "mine", "size"))
-            signs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(-1, HASHES)
-            parts, counts = [], []
-            for _, sets, ptr in shingle_sets(group["text"]):
-                parts.append(sets)
-                counts.append(np.diff(ptr))
-            n = np.concatenate(counts)
-            begin = np.cumsum(n) - n
-            known, number = np.unique(np.concatenate(parts), return_inverse=True)
-            mark = np.zeros(len(known), bool)
+            mine, weight = (group[c].to_numpy() for c in ("mine", "size"))
             cross = mine.min() != mine.max()
             if not cross and group["i"][0] != group["j"][0]:
                 continue
+            members = _Members(group, needed, threshold)
+            ids = members.ids
             forest, links = Forest(len(ids)), np.zeros(len(ids), np.int64)
             for x in range(len(ids) - 1):
                 rest = np.arange(x + 1, len(ids))
-                if cross:
-                    rest = rest[mine[rest] != mine[x]]
-                rest = rest[np.minimum(n[rest], n[x]) >= threshold * np.maximum(n[rest], n[x])]
-                rest = rest[survivors(signs[x], signs[rest], needed)]
-                if not len(rest):
-                    continue
-                own = number[begin[x] : begin[x] + n[x]]
-                mark[own] = True
-                size = n[rest]
-                cut = np.cumsum(size) - size
-                both = np.add.reduceat(mark[number[np.repeat(begin[rest] - cut, size) + np.arange(size.sum())]].astype(np.int64), cut)
-                mark[own] = False
-                near = rest[both >= threshold * (size + n[x] - both)]
+                near = members.near(x, rest[mine[rest] != mine[x]] if cross else rest)
                 if len(near):
                     links[x] += weight[near].sum()
                     links[near] += weight[x]
@@ -331,8 +359,84 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshol
     return placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "class").mapInArrow(verify, "a bigint, b bigint, links bigint")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """A row for each row of docs: doc_id, key, class_id, n_links, class_size, kept.
+def _joined(placed: DataFrame, keys: list[str], needed: list[tuple[int, int]], threshold: float) -> DataFrame:
+    """a, b: a spanning forest, by group of keys, of the exact links between rows (class, signature, text, part, mine).
+
+    Rows of one part hang together already. Where keys tell two blocks (i, j), only rows of different ones are compared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, keys):
+            mine = group["mine"].to_numpy()
+            cross = mine.min() != mine.max()
+            if "j" in keys and not cross and group["i"][0] != group["j"][0]:
+                continue
+            members = _Members(group, needed, threshold)
+            forest = Forest(len(mine))
+            _, first, part = np.unique(group["part"].to_numpy(), return_index=True, return_inverse=True)
+            forest.up = first[part]  # the parts, each under its first row
+            for x in range(len(mine) - 1):
+                rest = np.arange(x + 1, len(mine))
+                if cross and "j" in keys:
+                    rest = rest[mine[rest] != mine[x]]
+                roots = forest.up
+                while not np.array_equal(roots, roots[roots]):
+                    roots = roots[roots]
+                forest.up = roots
+                near = members.near(x, rest[roots[rest] != roots[x]])
+                if len(near):
+                    forest.join(x, near)
+            a, b = forest.edges(members.ids)
+            yield _rows([a, b], ["a", "b"], [pa.int64()] * 2)
+
+    return placed.repartition(*keys).sortWithinPartitions(*keys, "class").mapInArrow(run, "a bigint, b bigint")
+
+
+def exact_groups(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, tolerance: float = EXACT_TOLERANCE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """a, b: edges whose components are those of all exact links between classes of the same likely group."""
+    needed = least_matches(threshold, tolerance)
+    inside, texts = _inside(docs, classes, groups)
+    left, found, large, level = inside.select("root", "class", "shingles", "signature"), [], None, 0
+    while True:
+        level += 1
+        blocks = _blocks(left, block_shingles)
+        placed = left.join(blocks, "root").withColumns({"mine": F.pmod(F.xxhash64("class", F.lit(level)), F.col("blocks")), "part": F.col("class")})
+        edges = stage(_joined(placed.select("root", "mine", "class", "signature", "part").join(texts, "class"), ["root", "mine"], needed, threshold), "jaccard-inner")
+        found.append(edges)
+        several = blocks.filter("blocks > 1").select("root")
+        large = several if large is None else large
+        before = left.join(several, "root", "left_semi")
+        left = stage(before.join(edges.select(F.col("b").alias("class")), "class", "left_anti").select(left.columns), "jaccard-ahead")
+        ahead = left.count()
+        if not ahead or ahead > 0.7 * before.count():  # one block each, or hardly any that hang together
+            break
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    if large.isEmpty():
+        return every
+    roots = components(every).select(F.col("id").alias("class"), F.col("root").alias("part"))
+    members = inside.join(large, "root", "left_semi").join(roots, "class", "left").select("root", "class", "shingles", "signature", F.coalesce("part", "class").alias("part"))
+    members = stage(members, "jaccard-parts")
+    parts = members.groupBy("root", "part").agg(F.sum("shingles").alias("total"))
+    open_ = parts.groupBy("root").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("total", "part")).alias("most")).filter("parts > 1")
+    open_ = stage(open_, "jaccard-open")
+    if open_.isEmpty():
+        return every
+    members = members.join(open_, "root").withColumn("rest", F.col("part") != F.col("most"))
+    counts = members.groupBy("root").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("rest") == r, F.col("shingles")).otherwise(0)) / block_shingles)).cast("bigint").alias(c) for r, c in ((True, "low"), (False, "high"))))
+    members = members.join(stage(counts, "jaccard-sides"), "root")
+    # blocks 0 to low - 1 have the smaller parts, the others the largest; each of the former meets itself, the later ones of them, and all others
+    zero, hashed = F.lit(0).cast("bigint"), F.xxhash64("class", F.lit(5))
+    mine = F.when(F.col("rest"), F.pmod(hashed, F.col("low"))).otherwise(F.col("low") + F.pmod(hashed, F.col("high")))
+    meets = F.explode(F.when(F.col("rest"), F.sequence(zero, F.col("low") + F.col("high") - 1)).otherwise(F.sequence(zero, F.col("low") - 1))).alias("other")
+    placed = members.withColumn("mine", mine).select("root", "class", "signature", "part", "mine", meets)
+    placed = placed.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "class", "signature", "part", "mine").join(texts, "class")
+    return every.unionByName(stage(_joined(placed, ["root", "i", "j"], needed, threshold), "jaccard-cross"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES, count_links: bool = True) -> DataFrame:
+    """A row for each row of docs: doc_id, key, class_id, n_links (null unless count_links), class_size, kept.
 
     class_id: the smallest doc_id of its group of near duplicates (components of links). n_links: how many other rows have a
     similarity of at least the threshold. class_size: rows with an equal set of shingles. kept: for one row of each group,
@@ -344,24 +448,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     sketches = rows.select(F.col("row").alias("class"), "doc_id", "key", "signature", "bands")
     classes = stage(firsts.join(sketches, "class"), "jaccard-classes")
     groups = components(likely_links(classes, tolerance, threshold, block_rows))
-    found = stage(exact_links(docs, classes, groups, threshold, min(tolerance, EXACT_TOLERANCE), block_shingles), "jaccard-links")
-    exact = components(found.filter("b is not null").select("a", "b"))
-    links = stage(found.filter("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links")), "jaccard-counts")
-    known = firsts.join(exact, F.col("class") == F.col("id"), "left").join(links, "class", "left")
-    known = stage(known.select("digest", "shingles", F.coalesce("root", "class").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "size"), "jaccard-known")
+    strict = min(tolerance, EXACT_TOLERANCE)
+    if count_links:
+        found = stage(exact_links(docs, classes, groups, threshold, strict, block_shingles), "jaccard-links")
+        exact = components(found.filter("b is not null").select("a", "b"))
+        links = stage(found.filter("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links")), "jaccard-counts")
+        known = firsts.join(exact, F.col("class") == F.col("id"), "left").join(links, "class", "left")
+        n_links = F.coalesce("links", F.lit(0)) + F.col("size") - 1
+    else:
+        known = firsts.join(components(exact_groups(docs, classes, groups, threshold, strict, block_shingles)), F.col("class") == F.col("id"), "left")
+        n_links = F.lit(None).cast("bigint")
+    known = stage(known.select("digest", "shingles", F.coalesce("root", "class").alias("root"), n_links.alias("n_links"), "size"), "jaccard-known")
     placed = rows.select("row", "doc_id", "key", "digest", "shingles").join(known, ["digest", "shingles"], "left")
-    placed = stage(placed.select("row", "doc_id", "key", F.coalesce("root", own).alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("size", F.lit(1)).alias("class_size")), "jaccard-placed")
+    placed = stage(placed.select("row", "doc_id", "key", F.coalesce("root", own).alias("root"), (F.coalesce("n_links", F.lit(0)) if count_links else n_links).alias("n_links"), F.coalesce("size", F.lit(1)).alias("class_size")), "jaccard-placed")
     named = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     named = stage(named.select("root", "class_id", F.col("first.row").alias("first")), "jaccard-named")
     return placed.join(named, "root").select("doc_id", "key", "class_id", "n_links", "class_size", (F.col("row") == F.col("first")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row of each group of near duplicates (the smallest doc_id), with all columns of docs. docs is read several times.
 
     Rows are told apart by doc_id and text; of rows that agree in both, one is kept.
     """
-    judged = near_duplicates(docs, threshold, tolerance)
+    judged = near_duplicates(docs, threshold, tolerance, block_shingles=block_shingles, count_links=False)
     judged = stage(judged.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "jaccard-judged")
     names, key, id_, other = docs.columns, "text key", "text id", "other key"
     while {key, id_, other} & set(names):
