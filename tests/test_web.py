@@ -106,6 +106,31 @@ def test_entries_of_feeds():
             web.entries(bad, 5)
 
 
+def test_a_model_service_as_extractor(spark):
+    from weftgraph.functions.extract import extract, service_extractor
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            told = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = told["prompt"].removeprefix("Extract: ")
+            good = json.dumps({"extractions": [{"extraction_class": "country", "extraction_text": text, "attributes": {}, "confidence": 0.9}]})
+            self.send_response(200 if text != "down" else 500)
+            self.end_headers()
+            self.wfile.write(json.dumps({"response": "no idea" if text == "bad" else f"Sure: {good}", "model": told["model"]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    run = service_extractor(f"http://127.0.0.1:{s.server_port}/api", "m", "Extract: ")
+    docs = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {(r.doc_id, r.text, r.parse_error) for r in extract(docs("Peru", "bad"), run).collect()} == {(0, "Peru", None), (1, None, "no JSON object")}
+    with pytest.raises(Exception, match="500"):
+        extract(docs("down"), run).collect()
+    s.shutdown()
+
+
 def feed(*links):
     return "<rss><channel>" + "".join(f"<item><title>{x}</title><link>http://n.example.com/{x}</link></item>" for x in links) + "</channel></rss>"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -87,6 +88,25 @@ def extract(docs: DataFrame, extractor: Extractor, id_: str = "doc_id", most: in
     return parse_answers(rows.mapInPandas(ask, f"{id_} {docs.schema[id_].dataType.simpleString()}, chunk int, answer string"))
 
 
+def service_extractor(address: str, model: str, instructions: str = "", timeout: float = 120) -> Extractor:
+    """An extractor that posts each text to a model service (`prompt` in, `response` out, as JSON) and gives its answers.
+
+    A service that can't be reached, or doesn't answer in JSON, raises: that is no fault of a chunk, and its task is tried again. What
+    the model says is judged later; an answer that holds no JSON object is its chunk's fault alone.
+    """
+
+    def run(texts: list[str]) -> list[str]:
+        out = []
+        for text in texts:
+            body = json.dumps({"model": model, "prompt": f"{instructions}{text}", "stream": False}).encode()
+            request = urllib.request.Request(address, body, {"Content-Type": "application/json"})
+            with urllib.request.urlopen(request, timeout=timeout) as r:
+                out.append(str(json.loads(r.read()).get("response", "")))
+        return out
+
+    return run
+
+
 def lexicon_extractor(names: dict[str, str], verbs: dict[str, str]) -> Extractor:
     """A model stand-in that finds known names (to their class) and, between two names of a sentence, known verbs."""
     find = re.compile("|".join(rf"\b{re.escape(n)}\b" for n in sorted(names, key=len, reverse=True)) or r"(?!)")

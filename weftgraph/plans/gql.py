@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from weftgraph.graph import Graph
 from weftgraph.operators import paths as P
 from weftgraph.operators import relational as R
+from weftgraph.stage import stage
 from weftgraph.vocab import RESULT_CAP
 
 HELP = (
@@ -136,9 +137,11 @@ def _between(g: Graph, q: dict[str, str]) -> DataFrame:
 
 
 def _path(g: Graph, q: dict[str, str]) -> DataFrame:
-    a, b = vertex(g, q["a"]), vertex(g, q["b"])
-    out = P.path_summary(P.shortest_path(g, a, b, default_label=""), a, b)
-    return out
+    """Both names are looked up in one job; the search reads what it needs of the graph as it was written once."""
+    slim = Graph(stage(g.v.select("id", "seq"), "path-v"), stage(g.e.select("src", "dst", "label"), "path-e"))
+    found = {r.which: r.id for r in R.named(slim.v, q["a"]).select(F.lit("a").alias("which"), "id").unionByName(R.named(slim.v, q["b"]).select(F.lit("b").alias("which"), "id")).collect()}
+    a, b = (found.get(x) or vertex(slim, q[x]) for x in "ab")
+    return P.path_summary(P.shortest_path(slim, a, b, default_label=""), a, b)
 
 
 def _number(text: str) -> float:
