@@ -5,7 +5,7 @@ from weftgraph.llm import url_reputation as U
 
 PAGES = [
     (1, "http://A.Example.NET/en/1"), (2, "https://b.example.com/de/2?x"), (3, "x://org/fr/"), (4, "http://sub.org/fr"), (5, "http://net"), (6, "http://a.net/x"), (7, None), (8, "no scheme"),
-    (9, "://"), (14, "http://10.0.0.1/en/2"), (15, "http://[::1]:80/en/1"), (16, "http://u:p@x.com.au:8080/en/11"), (17, "http://y.com.au/" + "z" * 100_000), (10, "http://good.example.org/en/10"), (11, "http://bad.example.org/en/11#a://b.net/"), (12, "http://ÄB.net/"), (13, "http://u@h.co.uk:80/a/b?c#d"), (None, "http://bad.example.org/en/12"), (11, "http://bad.example.org/en/11"),
+    (9, "://"), (14, "http://10.0.0.1/en/2"), (15, "http://[::1]:80/en/1"), (16, "http://u:p@x.com.au:8080/en/11"), (17, "http://y.com.au/" + "z" * 100_000), (18, "http://good.example.org./en/10"), (19, "http://" + "long." * 20_000 + "com/x"), (10, "http://good.example.org/en/10"), (11, "http://bad.example.org/en/11#a://b.net/"), (12, "http://ÄB.net/"), (13, "http://u@h.co.uk:80/a/b?c#d"), (None, "http://bad.example.org/en/12"), (11, "http://bad.example.org/en/11"),
 ]
 
 
@@ -47,7 +47,7 @@ def test_reputation_shrinks_and_blocks(spark):
 def test_suffixes(spark):
     want = {
         "a.b.co.uk": ("b.co.uk", "co.uk"), "b.com": ("b.com", "com"), "com": ("com", "com"), "": ("", ""), "co.uk": ("co.uk", "co.uk"), "u@b.co.uk:80": ("b.co.uk", "co.uk"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"),
-        "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"), "a.com:8080": ("a.com", "com"), "x.y.example.de": ("example.de", "de"), "a.gov.in": ("a.gov.in", "gov.in"),
+        "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"), "a.com:8080": ("a.com", "com"), "x.y.example.de": ("example.de", "de"), "a.gov.in": ("a.gov.in", "gov.in"), "a.com.": ("a.com", "com"), "x.b.co.uk.:80": ("b.co.uk", "co.uk"), ".": ("", ""),
     }
     df = spark.createDataFrame([(h,) for h in want], "h string")
     from pyspark.sql import functions as F

@@ -6,7 +6,7 @@ for hosts on that of their domain. The strength of each level's prior comes from
 binomial noise would make them (the method of moments). A host is blocked when the lower bound of its posterior, the
 mean less z standard deviations, exceeds a rate.
 
-A host's domain and suffix are those of its name without user and port; an address is its own domain and suffix.
+A host's domain and suffix are those of its name without user, port and a last dot; an address is its own domain and suffix.
 
 Cases: a url that is null or has no `://` has an empty host and path and is judged by the reputation of the empty host.
 Pages without a label count for no outcome but are judged. Outcomes of an id that occurs twice are bad if one is. With
@@ -43,8 +43,8 @@ def path_of(url: Column) -> Column:
 
 
 def name_of(host: Column) -> Column:
-    """A host without user and port."""
-    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    """A host without user, port and the dot that may end a name."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"\.?(:[0-9]*)?$", "")
 
 
 def _last(host: Column, more: int) -> Column:
@@ -131,7 +131,7 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z,
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, method).alias("verdict"), F.round("mean", 6).alias("bad_mean"), F.round("bound", 6).alias("bad_bound"))
 
 
-_name = "regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '')"
+_name = r"regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '')"
 
 
 def _ends(more: int) -> str:
