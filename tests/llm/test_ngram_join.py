@@ -105,9 +105,10 @@ def test_signatures_estimate_similarity():
     assert abs((s[0] == s[1]).mean() - 3000 / 5000) < 0.12
 
 
-@pytest.mark.parametrize("block_shingles", [2_000_000, 2500, 400])
-def test_keep_one_by_brute_force(spark, block_shingles):
+@pytest.mark.parametrize("block_shingles, inner_rows", [(2_000_000, 256), (2500, 256), (400, 3)])
+def test_keep_one_by_brute_force(spark, monkeypatch, block_shingles, inner_rows):
     """The smallest id of each group stays, however small the blocks in which groups are joined."""
+    monkeypatch.setattr(J, "INNER_ROWS", inner_rows)
     rows = [(i, t) for i, t, *_ in corpus(11)]
     got = J.keep_one(documents(spark, rows).repartition(3), block_shingles=block_shingles)
     best = {}

@@ -52,8 +52,9 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 TOLERANCE, EXACT_TOLERANCE = 1e-6, 1e-12
 STEP = 16
-#: The most classes of a bucket, and shingles and classes of a group, in a block.
+#: The most classes of a bucket, and shingles and classes of a group, in a block; smaller blocks where each text is shipped once.
 BLOCK_ROWS, BLOCK_SHINGLES, GROUP_ROWS = 2000, 2_000_000, 10_000
+INNER_SHINGLES, INNER_ROWS = 250_000, 256
 #: The most bits of a filter that is sent to tasks.
 FILTER_BITS = 1 << 26
 _SIGNS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -321,9 +322,9 @@ def _inside(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> tuple[Dat
     return inside, stage(texts.groupBy("class").agg(F.first("text").alias("text")), "jaccard-texts")  # rows that repeat come once
 
 
-def _blocks(members: DataFrame, block_shingles: int) -> DataFrame:
+def _blocks(members: DataFrame, block_shingles: int, block_rows: int = GROUP_ROWS) -> DataFrame:
     """root, blocks: how many blocks the members of a group fill."""
-    most = F.greatest(F.ceil(F.sum("shingles") / block_shingles), F.ceil(F.count(F.lit(1)) / GROUP_ROWS))
+    most = F.greatest(F.ceil(F.sum("shingles") / block_shingles), F.ceil(F.count(F.lit(1)) / block_rows))
     return stage(members.groupBy("root").agg(most.cast("bigint").alias("blocks")), "jaccard-blocks")
 
 
@@ -399,7 +400,7 @@ def exact_groups(docs: DataFrame, classes: DataFrame, groups: DataFrame, thresho
     left, found, large, level = inside.select("root", "class", "shingles", "signature"), [], None, 0
     while True:
         level += 1
-        blocks = _blocks(left, block_shingles)
+        blocks = _blocks(left, min(block_shingles, INNER_SHINGLES), INNER_ROWS)
         placed = left.join(blocks, "root").withColumns({"mine": F.pmod(F.xxhash64("class", F.lit(level)), F.col("blocks")), "part": F.col("class")})
         edges = stage(_joined(placed.select("root", "mine", "class", "signature", "part").join(texts, "class"), ["root", "mine"], needed, threshold), "jaccard-inner")
         found.append(edges)
