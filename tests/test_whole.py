@@ -40,7 +40,7 @@ def test_betweenness_queries_take_the_whole_graph(small):
 
 def test_features_and_embeddings_take_the_whole_graph(small):
     assert {"S1", "S2"} <= {r.id for r in small("structural_similarity")}
-    assert {r.id: r.dim for r in small("node_embeddings")} == {v: 64 for v, _ in VERTICES if v != "P1"}
+    assert {r.id: len(r.vector) for r in small("node_embeddings")} == {v: 64 for v, _ in VERTICES if v != "P1"}
 
 
 def plain_parse(answer):

@@ -193,11 +193,11 @@ UNLIKELY = "combx|comment|community|disqus|extra|foot|header|menu|remark|rss|sho
 MAYBE = "and|article|body|column|main|shadow"
 POSITIVE = "article|body|content|entry|hentry|main|page|pagination|post|text|blog|story"
 NEGATIVE = "combx|comment|com-|contact|foot|footer|footnote|masthead|media|meta|outbrain|promo|related|scroll|shoutbox|sidebar|sponsor|shopping|tags|tool|widget"
-TAG_POINTS = {"div": 5, "article": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5, "th": -5, "header": -5, "footer": -5, "nav": -5, "aside": -5}
+TAG_POINTS = {"div": 5, "article": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5, "th": -5}
 BLOCKS = frozenset(("a", "blockquote", "dl", "div", "img", "ol", "p", "pre", "table", "ul", "section", "article", "main"))
 LEAST_PARAGRAPH, LEAST_READABLE = 25, 200
 _UNLIKELY, _MAYBE, _POSITIVE, _NEGATIVE = (re.compile(x, re.I) for x in (UNLIKELY, MAYBE, POSITIVE, NEGATIVE))
-_SCRIPTS = frozenset(("script", "style", "noscript", "template"))
+_SCRIPTS = BOILERPLATE | {"noscript", "template"}
 #: Start tags that end an open paragraph.
 _ENDS_P = frozenset(("p", "div", "ul", "ol", "dl", "table", "section", "article", "main", "nav", "header", "footer", "aside", "form", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"))
 

@@ -166,26 +166,27 @@ def _pairs(names: Names, ids: Names, rank: tuple[np.ndarray, np.ndarray] | None,
 def _best(names: Names, ids: Names, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each name the ids of its largest ratio of at least the threshold, and the ratio.
 
-    Ids are matched in the order of their bounds, more and more at a time, until the next bound is under the best ratio.
+    In rounds, for all names at once: the ids of the largest bounds that were not matched yet, more of them each round, until no
+    bound is left that reaches the name's best ratio.
     """
     used = np.flatnonzero(names.counts.any(0) & ids.counts.any(0))
-    out = []
-    for i in range(len(names.low)):
-        bound = bounds(names, i, ids, used)
-        order = np.flatnonzero(bound >= threshold)
-        order = order[np.argsort(-bound[order], kind="stable")]
-        least, at, step, found = threshold, 0, 16, []
-        while at < len(order) and bound[order[at]] >= least:
-            j = order[at : at + step]
-            j = j[bound[j] >= least]
-            score = ratios(ids, j, names, np.full(len(j), i))
-            found.append((j, score))
-            least = max(least, float(score.max()))
-            at, step = at + len(j), step * 4
-        for j, score in found:
-            ok = score >= least
-            out.append((np.full(int(ok.sum()), i), j[ok], score[ok]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    n, m = len(names.low), len(ids.low)
+    left = np.array([bounds(names, i, ids, used) for i in range(n)]).reshape(n, m)
+    least, active, step, found = np.full(n, threshold), np.arange(n), 16, []
+    while len(active):
+        own = np.where(left[active] >= least[active, None], left[active], -1.0)
+        k = min(step, m)
+        j = np.argpartition(-own, k - 1, axis=1)[:, :k]
+        row, at = np.nonzero(np.take_along_axis(own, j, axis=1) >= 0)
+        i, j = active[row], j[row, at]
+        score = ratios(ids, j, names, i)
+        np.maximum.at(least, i, score)
+        found.append((i, j, score))
+        left[i, j] = -1.0  # matched
+        active, step = np.unique(i), step * 4
+    i, j, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    ok = score >= least[i]
+    return i[ok], j[ok], score[ok]
 
 
 def _bins(counts: list[tuple[int, int]], most: int) -> list[tuple[int, int, int, int]]:

@@ -34,6 +34,12 @@ class _Side:
     def reached(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.seen)
 
+    def forward(self, steps: DataFrame) -> DataFrame:
+        """x, y of the steps from one level to the next."""
+        levels = self.reached()
+        near, far = levels.select(F.col("id").alias("x"), "d"), levels.select(F.col("id").alias("y"), (F.col("d") - 1).alias("d"))
+        return steps.select("x", "y").join(near, "x").join(far, ["y", "d"]).select("x", "y")
+
     def grow(self) -> int:
         """One level further; how many vertices that adds."""
         self.level += 1
@@ -64,7 +70,36 @@ def _search(steps: DataFrame, source: str, target: str) -> list[str] | None:
         meets = stage(side.front.select("id").join(other.reached().filter(F.col("d") == other.level).select("id"), "id"), f"path-meets-{ahead.level}-{back.level}")
         if not meets.isEmpty():
             break
-    # distances to the target of vertices on shortest paths, from the meeting back to the source
+    following = stage(ahead.forward(steps).unionByName(back.forward(back_steps).select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "path-following")
+    few = following.limit(FOLLOWING + 1).collect()
+    if len(few) <= FOLLOWING:
+        return _read([(r.x, r.y) for r in few], source, target)
+    return _read_far(steps, back_steps, ahead, back, meets, source)
+
+
+#: Steps of the searched levels that are read on the driver; with more of them the path is read level by level.
+FOLLOWING = 100_000
+
+
+def _read(edges: list[tuple[str, str]], source: str, target: str) -> list[str]:
+    """The smallest of the shortest paths over a few edges that have them all."""
+    into: dict[str, list[str]] = {}
+    out: dict[str, list[str]] = {}
+    for x, y in edges:
+        into.setdefault(y, []).append(x)
+        out.setdefault(x, []).append(y)
+    togo, front = {target: 0}, [target]
+    while front and source not in togo:
+        front = list({x for y in front for x in into.get(y, ()) if x not in togo})
+        togo.update(dict.fromkeys(front, max(togo.values()) + 1))
+    path = [source]
+    while path[-1] != target:
+        path.append(min(y for y in out[path[-1]] if togo.get(y) == togo[path[-1]] - 1))
+    return path
+
+
+def _read_far(steps: DataFrame, back_steps: DataFrame, ahead: _Side, back: _Side, meets: DataFrame, source: str) -> list[str]:
+    """The smallest of the shortest paths, by the distances to the target of the vertices on them, step by step from the source."""
     left = back.reached().join(_towards(back, meets), ["id", "d"])
     right = left.select("id", F.col("d").alias("togo"))
     here = meets.select("id").withColumn("togo", F.lit(back.level))

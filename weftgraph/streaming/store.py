@@ -211,7 +211,7 @@ class GraphStore:
             for kind in ("vertices", "edges"):
                 own = {int(n[len("bucket=") :]) for n in self.files.names(f"parts/{name}/{kind}") if n.startswith("bucket=")}
                 gone = {b for b in own if (kind, b, int(name)) not in needed}
-                if gone and gone == own:
+                if gone == own:
                     self.files.drop(f"parts/{name}/{kind}")
                 else:
                     for b in gone:
