@@ -67,7 +67,7 @@ def _search(steps: DataFrame, source: str, target: str) -> list[str] | None:
         if not side.grow():
             return None
         # a path as long as both levels meets in the front that just grew
-        meets = stage(side.front.select("id").join(other.reached().filter(F.col("d") == other.level).select("id"), "id"), f"path-meets-{ahead.level}-{back.level}")
+        meets = side.front.select("id").join(other.front.select("id"), "id")
         if not meets.isEmpty():
             break
     following = stage(ahead.forward(steps).unionByName(back.forward(back_steps).select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "path-following")

@@ -137,8 +137,8 @@ def _between(g: Graph, q: dict[str, str]) -> DataFrame:
 
 
 def _path(g: Graph, q: dict[str, str]) -> DataFrame:
-    """Both names are looked up in one job; the search reads what it needs of the graph as it was written once."""
-    slim = Graph(stage(g.v.select("id", "seq"), "path-v"), stage(g.e.select("src", "dst", "label"), "path-e"))
+    """Both names are looked up in one job, on the vertices as they were written once; the search writes the edges that it reads."""
+    slim = Graph(stage(g.v.select("id", "seq"), "path-v"), g.e)
     found = {r.which: r.id for r in R.named(slim.v, q["a"]).select(F.lit("a").alias("which"), "id").unionByName(R.named(slim.v, q["b"]).select(F.lit("b").alias("which"), "id")).collect()}
     a, b = (found.get(x) or vertex(slim, q[x]) for x in "ab")
     return P.path_summary(P.shortest_path(slim, a, b, default_label=""), a, b)
