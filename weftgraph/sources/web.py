@@ -33,6 +33,7 @@ from weftgraph.sources.documents import blocked_host
 GROUP, MOST_BYTES, TIMEOUT = 100, 10 << 20, 15
 #: News: the most articles of a term, and the days that may be asked for.
 NEWS_ROWS, NEWS_DAYS = 10, (1, 90)
+# Fixed value: the form of a request to the public news service.
 NEWS_ENDPOINT = "https://api.gdeltproject.org/api/v2/doc/doc?query=%22{term}%22%20sourcelang:English&mode=artlist&maxrecords={rows}&format=json&timespan={days}d&sort=DateDesc"
 ANSWERS = "key string, url string, status int, body string"
 
