@@ -139,6 +139,12 @@ def _feed_ingest(spark: SparkSession, sf: str) -> FeedIngest:
 _STRIP = "trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\f\\r\\x0b]{2,}', ' ', 'g'))"
 
 
+def _per_url(log: DataFrame) -> DataFrame:
+    """poll, url, x: the status of each url at a poll, with its reason; where a further feed has the url too, it is skipped there without one."""
+    rank = F.when(F.col("status") == "ok", 0).when(F.col("status") == "error", 1).otherwise(2)
+    return log.groupBy("poll", "url").agg(F.min(F.struct(rank.alias("rank"), F.col("error").isNull().alias("bare"), "status", "error")).alias("x"))
+
+
 @tables(
     "feed_statuses",
     f"""with told as (select *, row_number() over (partition by page_id // {_PER_FEED} order by page_id) as place from pages where url is not null),
@@ -162,8 +168,7 @@ def _feeds(spark: SparkSession, sf: str) -> DataFrame:
         if query.exception():
             raise query.exception()
     log = ingest.log.read().withColumn("poll", F.when(F.col("batch") == 0, "first").otherwise("second"))
-    per_url = log.groupBy("poll", "url").agg(F.min(F.struct(F.when(F.col("status") == "ok", 0).when(F.col("status") == "error", 1).otherwise(2), "status", "error")).alias("x"))
-    return per_url.groupBy("poll", "x.status", "x.error").agg(F.count(F.lit(1)).alias("n"))
+    return _per_url(log).groupBy("poll", "x.status", "x.error").agg(F.count(F.lit(1)).alias("n"))
 
 
 @tables(
