@@ -267,7 +267,12 @@ graph(
     left join (select src as id, string_agg(src || ' → ' || label || ' → ' || dst, chr(10) order by dst) as lines from (select *, row_number() over (partition by src order by dst) as rn from e) where rn <= 8 group by src) o on o.id = v.id
     left join (select dst as id, string_agg(src || ' → ' || label || ' → ' || dst, chr(10) order by src) as lines from (select *, row_number() over (partition by dst order by src) as rn from e) where rn <= 8 group by dst) i on i.id = v.id
     where v.grp in ('country', 'organization')""",
-)(lambda g: sinks.pdf_text(sinks.pdf_briefs(g, g.v.filter("`group` in ('country', 'organization')"))))
+)(lambda g: _briefs(g.staged()))
+
+
+def _briefs(g: Graph) -> DataFrame:
+    return sinks.pdf_text(sinks.pdf_briefs(g, g.v.filter("`group` in ('country', 'organization')")))
+
 
 graph(
     "critical_edges",
