@@ -48,10 +48,14 @@ def register(spark: SparkSession) -> None:
 # -- what answers requests ------------------------------------------------------------------------
 
 
+#: Bytes of the blocks of an archive's files: a reader holds one at a time.
+BLOCK = 8 << 20
+
+
 def archive(answers: DataFrame, folder: str) -> None:
     """Writes answers (url, status, body) so that a task finds those of a group: sorted by a digest of the url."""
     rows = answers.select(F.sha2("url", 256).alias("key"), "url", F.col("status").cast("int").alias("status"), "body")
-    rows.filter("url is not null").repartitionByRange("key").sortWithinPartitions("key").write.parquet(folder)
+    rows.filter("url is not null").repartitionByRange("key").sortWithinPartitions("key").write.option("parquet.block.size", BLOCK).parquet(folder)
 
 
 def write_requests(df: DataFrame, column: str, folder: str, group: int = GROUP) -> None:
@@ -113,20 +117,28 @@ class Gateway(Web):
 
 
 class Folder:
-    """Answers of an archive; a url that it lacks is HTTP 404."""
+    """Answers of an archive; a url that it lacks is HTTP 404. Blocks whose keys can be asked for are read, one at a time."""
 
     def __init__(self, folder: str) -> None:
-        self.folder = folder
+        self.folder, self.data = folder, None
 
     def get(self, urls: list[str]) -> Iterator[tuple[str, Answer]]:
+        import pyarrow as pa
         import pyarrow.dataset as ds
 
+        if self.data is None:  # files are listed once, not for each group
+            self.data = ds.dataset(self.folder, format="parquet")
         keys = {hashlib.sha256(u.encode()).hexdigest(): u for u in urls}
-        there = ds.field("key").isin(list(keys)) & (ds.field("key") >= min(keys)) & (ds.field("key") <= max(keys)) if keys else ds.scalar(False)
         found = {}
-        for batch in ds.dataset(self.folder, format="parquet").to_batches(filter=there, columns=["key", "status", "body"], batch_size=256, use_threads=False):
-            for key, status, body in zip(*(batch.column(c).to_pylist() for c in ("key", "status", "body"))):
-                found[keys[key]] = Answer(status, body, None) if (status or 200) < 400 else Answer(status, None, f"HTTP {status}")
+        if keys:
+            there = ds.field("key").isin(list(keys))
+            near = there & (ds.field("key") >= min(keys)) & (ds.field("key") <= max(keys))
+            scan = ds.ParquetFragmentScanOptions(use_buffered_stream=True, pre_buffer=False)
+            batches = self.data.to_batches(filter=near, columns=["key", "status", "body"], batch_size=256, batch_readahead=0, fragment_readahead=1, fragment_scan_options=scan, use_threads=False)
+            for batch in batches:
+                for key, status, body in zip(*(batch.column(c).to_pylist() for c in ("key", "status", "body"))):
+                    found[keys[key]] = Answer(status, body, None) if (status or 200) < 400 else Answer(status, None, f"HTTP {status}")
+        pa.default_memory_pool().release_unused()
         for url in urls:
             yield url, found.get(url, Answer(404, None, "HTTP 404"))
 
