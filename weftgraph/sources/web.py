@@ -400,29 +400,41 @@ class FeedStream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         feeds = self._feeds() if end["poll"] > start["poll"] else []
+        feeds.sort(key=lambda x: hashlib.sha256(x[0].encode()).digest())  # those of a task are near each other in an archive
         return [Poll(tuple(feeds[i : i + self.size]), end["poll"]) for i in range(0, len(feeds), self.size)]
 
-    def _kept(self, url: str, number: int, answers: Web | Folder) -> Answer:
+    def _path(self, url: str, number: int) -> str:
+        return f"{self.options['snapshots'].rstrip('/')}/poll{number:012d}/{hashlib.sha256(url.encode()).hexdigest()}.json"
+
+    def _keep(self, url: str, number: int, a: Answer) -> None:
+        """Writes what a feed said, unless another attempt did."""
         from pyarrow import fs
 
-        store, at = _open(f"{self.options['snapshots'].rstrip('/')}/poll{number:012d}/{hashlib.sha256(url.encode()).hexdigest()}.json")
+        store, at = _open(self._path(url, number))
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        new = f"{at}.{uuid.uuid4().hex}"
+        with store.open_output_stream(new) as f:
+            f.write(json.dumps([a.status, a.body, a.error]).encode())
         if store.get_file_info(at).type == fs.FileType.NotFound:
-            ((_, a),) = answers.get([url])
-            store.create_dir(at.rpartition("/")[0], recursive=True)
-            new = f"{at}.{uuid.uuid4().hex}"
-            with store.open_output_stream(new) as f:
-                f.write(json.dumps([a.status, a.body, a.error]).encode())
-            if store.get_file_info(at).type == fs.FileType.NotFound:
-                store.move(new, at)
-            else:
-                store.delete_file(new)
-        with store.open_input_stream(at) as f:
-            return Answer(*json.loads(f.read()))
+            store.move(new, at)
+        else:
+            store.delete_file(new)
 
     def read(self, partition: Poll) -> Iterator[tuple]:
-        answers = answers_of(self.options)
+        from pyarrow import fs
+
+        missing = []
+        for url, _ in partition.feeds:
+            store, at = _open(self._path(url, partition.number))
+            if store.get_file_info(at).type == fs.FileType.NotFound:
+                missing.append(url)
+        if missing:  # together: an archive is opened once for all of them
+            for url, a in answers_of(self.options).get(list(dict.fromkeys(missing))):
+                self._keep(url, partition.number, a)
         for url, name in partition.feeds:
-            a = self._kept(url, partition.number, answers)
+            store, at = _open(self._path(url, partition.number))
+            with store.open_input_stream(at) as f:
+                a = Answer(*json.loads(f.read()))
             error, found = a.error, []
             if error is None:
                 try:

@@ -20,7 +20,7 @@ from weftgraph.functions.extract import Extractor, extract
 from weftgraph.functions.text import article_text
 from weftgraph.operators.mutate import Change, applied
 from weftgraph.sources.documents import SHORT_ARTICLE
-from weftgraph.sources.web import answers_of, register
+from weftgraph.sources.web import GROUP, answers_of, register
 from weftgraph.stage import stage
 from weftgraph.streaming.ingest import Update, ingest_found, owner_of
 from weftgraph.streaming.store import BatchLog, GraphStore
@@ -30,16 +30,24 @@ STATUSES = "url string, title string, feed string, status string, error string,
 SHORT, FETCH, EXTRACT = "Text too short", "Fetch: ", "Extract: "
 
 
+#: Groups of urls that a task fetches.
+FETCHES = 5
+
+
 def fetch_articles(urls: DataFrame, options: dict) -> DataFrame:
-    """url, html, error of each url, from what answers the options name."""
+    """url, html, error of each url, from what answers the options name; by groups that are near each other in an archive."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         answers = answers_of(options)
         for x in frames:
-            got = [(url, a.body, a.error) for url, a in answers.get(x["url"].tolist())]
-            yield pd.DataFrame(got, columns=["url", "html", "error"])
-
-    return urls.select("url").mapInPandas(run, "url string, html string, error string")
+            every = x["url"].tolist()
+            for i in range(0, len(every), GROUP):
+                got = [(url, a.body, a.error) for url, a in answers.get(every[i : i + GROUP])]
+                yield pd.DataFrame(got, columns=["url", "html", "error"])
+
+    key = F.sha2("url", 256)
+    dealt = urls.select("url").repartitionByRange(max(1, -(-urls.count() // (FETCHES * GROUP))), key).sortWithinPartitions(key)
+    return dealt.mapInPandas(run, "url string, html string, error string")
 
 
 @dataclass
